@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_files",)
+MODULES = ("separator_scan", "packing", "token_files")
 
 
 def _gather(kind: str) -> dict:
