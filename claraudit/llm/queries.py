@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("separator_scan", "packing", "token_files")
+MODULES = ("separator_scan", "packing", "mixing", "token_files", "hamming_search")
 
 
 def _gather(kind: str) -> dict:
