@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("separator_scan", "packing", "mixing", "minhash_join", "token_files", "hamming_search")
+MODULES = ("separator_scan", "packing", "mixing", "minhash_join", "flat_graph", "token_files", "hamming_search")
 
 
 def _gather(kind: str) -> dict:
