@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("separator_scan", "packing", "fingerprint_index", "mixing", "flat_graph", "minhash_join", "token_files", "hamming_search")
+MODULES = ("separator_scan", "resharding", "packing", "fingerprint_index", "mixing", "language_id", "flat_graph", "minhash_join", "token_files", "hamming_search")
 
 
 def _gather(kind: str) -> dict:
