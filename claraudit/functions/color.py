@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_rgb(color: Column) -> Column:
     """array(r, g, b) of `#rgb`, `#rrggbb` or the first three numbers of a functional notation; black otherwise."""
     c = F.lower(F.trim(color))
@@ -19,17 +24,17 @@ def parse_rgb(color: Column) -> Column:
 def luminance(rgb: Column, breakpoint: float = 0.04045) -> Column:
     """Relative luminance of array(r, g, b). The breakpoint is .04045 in the standard's errata and .03928 in its old text."""
 
-    def linear(i: int) -> Column:
-        s = F.element_at(rgb, i) / F.lit(255.0)
+    def linear(v: Column) -> Column:
+        s = v / F.lit(255.0)
         return F.when(s <= breakpoint, s / 12.92).otherwise(F.pow((s + 0.055) / 1.055, F.lit(2.4)))
 
-    return linear(1) * 0.2126 + linear(2) * 0.7152 + linear(3) * 0.0722
+    return let(F.transform(rgb, linear), lambda c: F.element_at(c, 1) * 0.2126 + F.element_at(c, 2) * 0.7152 + F.element_at(c, 3) * 0.0722)
 
 
 def contrast(a: Column, b: Column, breakpoint: float = 0.04045) -> Column:
     """Contrast ratio of two array(r, g, b), rounded to two places."""
-    x, y = luminance(a, breakpoint), luminance(b, breakpoint)
-    return F.round((F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05), 2)
+    both = F.struct(luminance(a, breakpoint).alias("x"), luminance(b, breakpoint).alias("y"))
+    return let(both, lambda p: F.round((F.greatest(p["x"], p["y"]) + 0.05) / (F.least(p["x"], p["y"]) + 0.05), 2))
 
 
 def large_text(size_px: Column, weight: Column, bold_px: float = 18.66) -> Column:

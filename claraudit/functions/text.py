@@ -32,7 +32,7 @@ def norm_alt(c: Column) -> Column:
 
 def word_contains(text: Column, part: Column) -> Column:
     """part stands in text at word boundaries on both sides."""
-    return text.rlike(F.concat(F.lit(r"(?U)\b\Q"), part, F.lit(r"\E\b")))
+    return F.rlike(text, F.concat(F.lit(r"(?U)\b\Q"), part, F.lit(r"\E\b")))
 
 
 def cjk_ratio(c: Column) -> Column:

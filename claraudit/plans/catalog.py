@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that register queries: each has QUERIES (name -> callable) and SQL (name -> DuckDB text).
-MODULES: tuple[str, ...] = ("claraudit.plans.q_pages", "claraudit.plans.q_findings")
+MODULES: tuple[str, ...] = ("claraudit.plans.q_pages", "claraudit.plans.q_findings", "claraudit.plans.q_rules")
 
 
 def all_queries() -> dict[str, Callable]:
