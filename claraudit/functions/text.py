@@ -42,8 +42,8 @@ def cjk_ratio(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Distinct lower-case words of letters and digits."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+    """Distinct lower-case words of letters, digits, underscores and hyphens."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}\s_-]+", " "), r"\s+")
     return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 

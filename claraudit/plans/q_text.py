@@ -81,7 +81,7 @@ def rule_lang_detect(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.coalesce("lang", F.lit("")) != "", F.col("lang")).when(ratio > 0.15, "ja").otherwise("en").alias("detected"))
 
 
-_TOKENS = "list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+_TOKENS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\s_-]+', ' ', 'g'), '\\s+'), lambda w: w <> ''))"
 
 
 @query("fn_tokenize", f"SELECT doc_id, CAST(len({_TOKENS.format('text')}) AS BIGINT) AS n_tokens FROM documents")
