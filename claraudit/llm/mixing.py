@@ -16,7 +16,7 @@ are held together, never documents.
 
 Defined results: every row gets exactly one position, whatever its weight; a null source is a source of its own; sources
 without a stated weight get the smallest stated one; text isn't read; rows may repeat; an empty table gives no rows;
-other columns are kept.
+other columns are kept, but mix_slot and mix_position, which are replaced.
 """
 
 from __future__ import annotations
@@ -103,7 +103,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, source: str = "sou
     table = table.withColumn("j", F.row_number().over(Window.partitionBy("q", "i").orderBy("slot")) - 1)
     table = staged(table.select(F.element_at("all", (F.col("i") + 1).cast("int"))["_source"].alias("_source"), F.col("q").alias("_turn"), F.col("j").cast("long").alias("_j"), "begun", "length", "slot"), "schedule")
     # each document's block, period, and the last turn at or before that period
-    rows = ranked(docs, named, key, known["rows"] or 0)
+    taken = [c for c in docs.columns if c not in ("mix_slot", "mix_position")]  # in a struct, so that no name clashes
+    rows = ranked(docs.select(F.struct(*[F.col(f"`{c}`") for c in taken]).alias("_kept"), named.alias("_named"), F.col(key).alias("_key")), F.col("_named"), "_key", known["rows"] or 0)
     facts = plan.join(F.broadcast(everything), F.lit(True)).select("_source", "quota", F.transform("all", lambda x: F.floor(x["blocks"] / x["quota"]).cast("long")).alias("fulls"))
     facts = facts.select("_source", "quota", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), "fulls", F.transform("fulls", lambda x: x + 1)))).alias("turns"))
     rows = rows.join(F.broadcast(facts), "_source")  # a row a source, MAX_SOURCES at most
@@ -118,7 +119,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, source: str = "sou
     small = small.agg(F.collect_list(F.struct((F.col("begun") + (F.col("p") - F.col("_turn")) * F.col("length") + F.col("slot")).alias("at"), "lack")).alias("_small"))  # one row, an entry a source
     rows = rows.join(F.broadcast(small), F.lit(True))
     lack = F.aggregate("_small", F.lit(0).cast("long"), lambda s, x: s + F.when(x["at"] < F.col("mix_slot"), x["lack"]).otherwise(0))
-    return rows.withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("_inside") - lack).drop("_source", "_turn", "_j", "_period", "_inside", "begun", "length", "slot", "_small")
+    position = F.col("mix_slot") * block_docs + F.col("_inside") - lack
+    return rows.select("_kept.*", F.col("mix_slot").cast("long").alias("mix_slot"), position.cast("long").alias("mix_position"))
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -134,9 +134,6 @@ def reshard(docs: DataFrame, *, n_new: int = SHARDS, n_old: int = OLD_SHARDS, he
     return base.select("doc_id", "text", "size", "text_crc32", "group", "old_shard", "shard"), {"flow": flow, "capacities": capacities, "bytes_moved": moved}
 
 
-_SUB = F.xxhash64(F.lit(2), "doc_id")
-
-
 def _cuts(spark: SparkSession, base: DataFrame, groups: DataFrame, placed: dict, split: set, flow: list, old_sizes: list) -> list[list[tuple[int, tuple[int, int] | None]]]:
     """For each old shard its blocks in order: (new shard, first (group, document hash) of the next block or None)."""
     light = groups.filter(~F.col("group").isin(list(placed))) if placed else groups
@@ -192,7 +189,7 @@ def _shard_of(cuts: list, n_old: int) -> Column:
             group, sub = k
             before = F.col("group") < group
             if sub > -(1 << 63):
-                before = before | ((F.col("group") == group) & (_SUB < sub))
+                before = before | ((F.col("group") == group) & (F.xxhash64(F.lit(2), "doc_id") < sub))
             here = F.when(before, j).otherwise(here)
         out = F.when(F.col("old_shard") == i, here).otherwise(out)
     return out.cast("int")
