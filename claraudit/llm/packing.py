@@ -2,9 +2,10 @@
 
 Pieces of tokenised documents go into sequences of a fixed capacity. Pieces are dealt over partitions by a hash; each
 partition runs best-fit decreasing and certifies its number of sequences by dual-feasible-function lower bounds. A
-partition whose number equals its bound is done. One with a gap keeps its well-filled sequences and gives the pieces of
-its emptiest ones into an exchange: they are dealt anew, mixed with those of other such partitions, and packed again.
-Rounds end when no partition has a gap, when the exchange fits one partition, or after a stated number.
+partition whose number equals its bound is done, but for its emptiest sequence, whose room is only due to rounding. One
+with a gap keeps its well-filled sequences. The pieces of the emptiest ones go into an exchange: they are dealt anew,
+mixed with those of other partitions, and packed again, until the exchange fits one partition or for a stated number of
+rounds.
 
 Defined results: null or empty text is a document of the end id alone; repeated rows are packed as often as they occur;
 doc_id may be null or repeated; an empty table gives no rows; other columns are never read.
@@ -111,10 +112,10 @@ def _packer(r: int, last: bool, capacity: int):
         bound = lower_bound(sizes, capacity)
         filled = np.bincount(bins, weights=sizes, minlength=made)
         stays = np.ones(made, bool)
-        if made > bound and not last:  # as many as hold the room of twice the gap
+        if not last:  # with a gap, as many as hold the room of twice the gap; else the emptiest one, for the rounding
             order = np.argsort(filled, kind="stable")
             room = np.cumsum(capacity - filled[order])
-            stays[order[: max(2, int(np.searchsorted(room, 2 * capacity * (made - bound))) + 1)]] = False
+            stays[order[: max(2, int(np.searchsorted(room, 2 * capacity * (made - bound))) + 1) if made > bound else 1]] = False
         rows["sequence_id"] = (np.int64(r) << 56) + (np.int64(key[0]) << 24) + bins
         rows["offset"], rows["done"], rows["bins"], rows["bound"] = offsets, stays[bins], made, bound
         return rows.drop(columns="part")
