@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from claraudit.llm.common import GROUP_BYTES, drop_path, free_shuffles, groups_for, shuffle_partitions, stage_path
 from claraudit.llm.words import Texts, windows, words
 
-WINDOW, BATCHES, SLICE = 13, 3, 6 << 20
+WINDOW, BATCHES, SLICE = 13, 3, 4 << 20
 _U = np.uint64
 _LAST = (1 << 63) - 1
 KIND_PRINTS, KIND_REPEATS, KIND_RUN = "prints", "repeats", "run"
@@ -252,7 +252,7 @@ class FingerprintIndex:
         self.spark, self.window = spark, window
         self.tables = shuffle_partitions(spark)
         self.bucket_bits = max(4, int(np.ceil(np.log2(groups_for(spark, text_bytes, GROUP_BYTES // 2, 8)))))
-        self.homes = groups_for(spark, text_bytes, GROUP_BYTES // 2, 2)
+        self.homes = max(1, -(-text_bytes // (GROUP_BYTES // 2)))  # by size only: each bucket gives a row to each home
         self.name, self.generation = f"prints_{uuid.uuid4().hex}", 0
 
     def _table(self, generation: int) -> str:
