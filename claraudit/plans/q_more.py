@@ -152,9 +152,6 @@ def src_normalize_records(spark, sf_dir):
     return good.agg(F.count(F.lit(1)).alias("good")).join(bad.agg(F.count(F.lit(1)).alias("bad")), F.lit(True))  # a row each
 
 
-_LINKS = "l AS (SELECT o_custkey % 200 AS s, o_orderkey * 7 % 200 AS t, o_orderkey AS p FROM orders)"
-
-
 @query("src_bfs_crawl")
 def src_bfs_crawl(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claraudit.functions import urls
 from claraudit.operators import checks, page_links
+from claraudit.plans.audit import AuditConfig, audit
 from claraudit.plans.registry import Registry, table
 
 query = Registry()
@@ -152,3 +153,12 @@ def chk_html_parsing(spark, sf_dir):
 @query("st_dedup", f"WITH {_LINKS_SQL} SELECT href, count(*) AS n FROM (SELECT DISTINCT page_id, href FROM links) GROUP BY href")
 def st_dedup(spark, sf_dir):
     return page_links.links(table(spark, sf_dir, "pages")).dropDuplicates(["page_id", "href"]).groupBy("href").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("audit_pages", f"""WITH a AS (SELECT '2.4.9' AS wcag_sc, CASE WHEN generic THEN 'fail' ELSE 'pass' END AS status FROM ({SQL["chk_link_purpose"]})
+  UNION ALL SELECT '2.4.8', status FROM ({SQL["chk_location"]}) UNION ALL SELECT '2.4.5', status FROM ({SQL["chk_multiple_ways"]}) UNION ALL SELECT '3.2.6', status FROM ({SQL["chk_consistent_help"]}))
+SELECT wcag_sc, count(*) FILTER (status = 'fail') AS violations, count(*) FILTER (status = 'incomplete') AS needs_review, count(*) FILTER (status = 'pass') AS passes FROM a GROUP BY wcag_sc""")
+def audit_pages(spark, sf_dir):
+    """The audit plan over raw pages: findings by criterion and status."""
+    report = audit(spark, {"pages": table(spark, sf_dir, "pages")}, AuditConfig(level="AAA"))
+    return report.by_dimension.filter("dimension = 'wcag_sc'").select(F.col("value").alias("wcag_sc"), "violations", "needs_review", "passes")
