@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claraudit.llm.common import GROUP_BYTES, drop_path, free_shuffles, groups_for, shuffle_partitions, stage_path
+from claraudit.llm.tokens import forget_encoders
 from claraudit.llm.words import Texts, windows, words
 
 WINDOW, BATCHES, SLICE = 13, 3, 4 << 20
@@ -91,6 +92,7 @@ def window_prints(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _prints(size: int, bucket_bits: int, homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, part in Texts.of(batch.column(1)).parts(SLICE):

@@ -18,7 +18,7 @@ of another width and only meet their like. An empty table gives no rows; other c
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb, log2
+from math import ceil, comb, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,8 +39,8 @@ def sign_code(vector: Column) -> Column:
 
 
 def segments_for(n_codes: int) -> int:
-    """Segments of about log2(codes) bits: a probe then meets about one code."""
-    return max(1, min(16, round(64 / max(4, log2(max(2, n_codes))))))
+    """Segments of at most log2(codes) bits: a probe then meets a code at least, on average, and few probes miss."""
+    return max(1, min(16, ceil(64 / max(4, log2(max(2, n_codes))))))
 
 
 def cuts(m: int) -> list[tuple[int, int]]:
@@ -107,7 +107,7 @@ def hamming_top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         for s, (shift, bits) in enumerate(cuts(m)):  # the first segment within the radius shows the code
             near = F.bit_count(_part(F.col("q_code").bitwiseXOR(F.col("code")), shift, bits)) <= radius
             here = here & ((F.col("p.seg") <= s) | ~near)
-        found = probes.alias("p").join(index.alias("i"), (F.col("p.seg") == F.col("i.seg")) & (F.col("p.value") == F.col("i.value")) & (_distance("q_code", "code") <= covered) & here)
+        found = probes.alias("p").join(index.hint("merge").alias("i"), (F.col("p.seg") == F.col("i.seg")) & (F.col("p.value") == F.col("i.value")) & (_distance("q_code", "code") <= covered) & here)
         # k + 1: a query's own id is among them
         top = staged(_top(found.select("q_code", _distance("q_code", "code").alias("distance"), "ids"), k + 1).select("q_code", "distance", "id", "rank"), "nearest")
         full = top.groupBy("q_code").agg(F.max("rank").alias("n")).filter(F.col("n") >= k + 1).select("q_code")

@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claraudit.llm.common import staged
+from claraudit.llm.tokens import forget_encoders
 from claraudit.llm.words import Texts, mix, words
 
 ORDER, TRAIN_DOCS, TRAIN_CHARS, CALIBRATION_DOCS, REJECT_Z = 5, 300, 1_500_000, 200, 6.0
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: Distinct words that a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Sharpness of the score: how a difference in bits a character turns into a probability.
 SHARPNESS = 4.0
 _U = np.uint64
@@ -51,25 +52,25 @@ def held_out(doc_id: str = "doc_id"):
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
-def _letter_codes() -> np.ndarray:
-    """Code of each code point below 0x3000: letters are themselves + 3, all else OTHER. Above, see codes()."""
-    out = np.full(0x3000, OTHER, np.int64)
-    for c in range(0x3000):
-        if unicodedata.category(chr(c))[0] in "LM":
-            out[c] = c + 3
-    return out
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point below 0x3000: its code, itself + 3 for letters and marks, else OTHER; and whether it's a letter."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(0x3000)]
+    return np.array([c + 3 if k in "LM" else OTHER for c, k in enumerate(kinds)], np.int64), np.array([k == "L" for k in kinds])
 
 
-_LETTERS = _letter_codes()
+_CODES, _LETTERS = _tables()
 
 
-def codes(points: np.ndarray) -> np.ndarray:
+def codes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each code point, whether it's a letter)."""
     low = np.minimum(points, 0x2FFF)
-    return np.where(points < 0x3000, _LETTERS[low], points + 3)
-
-
-def has_letter(code: np.ndarray) -> np.ndarray:
-    return code > OTHER
+    code, letter = _CODES[low], _LETTERS[low]
+    high = np.flatnonzero(points >= 0x3000)
+    if len(high):
+        some, inverse = np.unique(points[high], return_inverse=True)
+        is_letter = np.array([unicodedata.category(chr(c))[0] == "L" for c in some.tolist()])
+        code[high], letter[high] = np.where(is_letter, some + 3, OTHER)[inverse], is_letter[inverse]
+    return code, letter
 
 
 def word_grams(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,11 +82,10 @@ def word_grams(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     starts = np.cumsum(total) - total
     out = np.full(int(total.sum()), MARK, np.int64)
     inner = np.repeat(starts + 1 - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    out[inner] = codes(points)
+    out[inner], letter = codes(points)
     word = np.repeat(np.arange(len(names)), total)
     place = np.arange(len(out)) - starts[word]
-    letters = np.zeros(len(names), bool)
-    np.logical_or.at(letters, word, has_letter(out))
+    letters = np.bincount(np.repeat(np.arange(len(names)), lengths)[letter], minlength=len(names)) > 0
     return out, word, place, letters
 
 
@@ -189,8 +189,10 @@ class Model:
             k = len(self.known)
             while k + len(new) > len(self.table[1]):
                 self.table = tuple(np.concatenate([x, np.zeros_like(x)]) for x in self.table)
-            for mine, got in zip(self.table, self.word_bits(new), strict=True):
-                mine[k : k + len(new)] = got
+            for a in range(0, len(new), 1 << 14):  # a few words at a time: each takes arrays of all orders and languages
+                some = new[a : a + (1 << 14)]
+                for mine, got in zip(self.table, self.word_bits(some), strict=True):
+                    mine[k + a : k + a + len(some)] = got
             self.known.update(zip(new, range(k, k + len(new)), strict=True))
         at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
         return tuple(x[at] for x in self.table)
@@ -292,6 +294,7 @@ def train(docs: DataFrame, *, order: int = ORDER, train_docs: int = TRAIN_DOCS,
 
 def _predict(shared, reject_z: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         model: Model = shared.value
         for batch in batches:
             last = batch.num_columns - 1

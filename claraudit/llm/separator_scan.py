@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claraudit.llm.common import stage_path
-from claraudit.llm.tokens import SLICE_BYTES, encoder, vocabulary, with_end
+from claraudit.llm.tokens import SLICE_BYTES, encoder, forget_encoders, vocabulary, with_end
 from claraudit.llm.words import Texts
 
 #: Ids of a block, and about how many a file gets.
-BLOCK, FILE_IDS = 1 << 18, 12 << 20
+BLOCK, FILE_IDS = 1 << 18, 3 << 20
 COUNTS = "file string, block int, n_ids long, n_ends int, head long, tail long, inner array<int>"
 
 
@@ -68,6 +68,7 @@ def block_counts(spark: SparkSession, path: str, *, separator: int = 0, dtype: s
     """What each block of each flat file under `path` shows by itself. Files of up to 2 GB."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids, rows = np.frombuffer(content.as_buffer(), dtype), []

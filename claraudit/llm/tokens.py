@@ -16,7 +16,7 @@ import pandas as pd
 from claraudit.llm.words import Pieces, Texts, ragged, spaced_words, words
 
 #: Bytes of text that are encoded at once, and distinct pieces that a task remembers.
-SLICE_BYTES, REMEMBERED = 8 << 20, 1_500_000
+SLICE_BYTES, REMEMBERED = 3 << 20, 700_000
 
 
 def vocabulary(name: str) -> str:
@@ -82,6 +82,11 @@ def encoder(path: str, splits: str) -> Encoder:
     return _ENCODERS[path, splits]
 
 
+def forget_encoders() -> None:
+    """For stages that don't encode: Python workers live on from stage to stage, and so would what they remember."""
+    _ENCODERS.clear()
+
+
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Appends the id `end` to each row's ids."""
     rows = len(bounds) - 1

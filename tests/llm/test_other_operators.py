@@ -51,7 +51,7 @@ def test_language_accuracy(spark):
 
 
 def test_language_edges(spark):
-    texts = [None, "", "123 !!!", "the house is on the hill and the river"] * 30 + ["das haus steht auf dem berg und der fluss"] * 30
+    texts = [None, "\U0001f600 \u3002", "123 !!!", "the house is on the hill and the river"] * 30 + ["das haus steht auf dem berg und der fluss"] * 30
     docs = rows_of(spark, texts, lang=["en"] * 120 + ["de"] * 30)
     out = language_id.identify(docs).collect()
     for r in out:
