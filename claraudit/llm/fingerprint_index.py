@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claraudit.llm.common import GROUP_BYTES, drop_path, free_shuffles, groups_for, shuffle_partitions, stage_path
+from claraudit.llm.common import GROUP_BYTES, drop_path, free_shuffles, shuffle_partitions, stage_path
 from claraudit.llm.tokens import forget_encoders
 from claraudit.llm.words import Texts, windows, words
 
 WINDOW, BATCHES, SLICE = 13, 3, 4 << 20
+#: Text bytes whose windows make a bucket of the index, about.
+BUCKET_BYTES = 4 << 20
 _U = np.uint64
 _LAST = (1 << 63) - 1
 KIND_PRINTS, KIND_REPEATS, KIND_RUN = "prints", "repeats", "run"
@@ -253,8 +255,9 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, *, window: int = WINDOW, text_bytes: int = 0):
         self.spark, self.window = spark, window
         self.tables = shuffle_partitions(spark)
-        self.bucket_bits = max(4, int(np.ceil(np.log2(groups_for(spark, text_bytes, GROUP_BYTES // 2, 8)))))
-        self.homes = max(1, -(-text_bytes // (GROUP_BYTES // 2)))  # by size only: each bucket gives a row to each home
+        # by size only, not by partitions: each slice gives a row to each bucket, and each bucket one to each home
+        self.bucket_bits = max(4, int(np.ceil(np.log2(max(1, text_bytes / BUCKET_BYTES)))))
+        self.homes = max(1, -(-text_bytes // (GROUP_BYTES // 2)))
         self.name, self.generation = f"prints_{uuid.uuid4().hex}", 0
 
     def _table(self, generation: int) -> str:
