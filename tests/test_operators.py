@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claraudit.functions import text, urls
 from claraudit.operators import findings as fi
+from claraudit.operators import sensory
 from claraudit.operators import transcripts as tr
 from claraudit.sources import crawl, sinks
 from claraudit.sources.catalogue import catalogue, keyword_terms
@@ -104,3 +105,10 @@ def test_sinks_and_records(spark, tmp_path):
     good, bad = sinks.normalize_records(raw, "tag string, width double", "http://d/")
     assert [(r.page_url, r.tag, r.width) for r in good.collect()] == [("p", "a", 3.5)]
     assert {r.code for r in bad.collect()} == {"normalization_error"} and bad.count() == 2
+
+
+def test_sensory_instructions(spark):
+    texts = ["Click the round green button on the right.", "Press the red Save button. It rained.", "The red house is big.", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {(r.k, r.categories, r.residual, r.status) for r in sensory.findings(rows).collect()}
+    assert got == {(0, "shape,position,color", "", "FAILED"), (1, "color", "Save", "PASSED")}
