@@ -1,74 +1,110 @@
 """Exact top-k search over binary codes by incremental multi-index hashing (operator 10). DataFrame functions only.
 
-A vector's code is the signs of its components, 64 to a long. Codes are cut into segments; the index has a row for each
-(segment, value, code). Two codes within distance m (r + 1) - 1 agree on one of m segments up to r bits, so probing
-every value within r bits of a query's segments finds all codes up to that distance: the covered distance. Rounds grow r
-from 0. A round keeps the codes at a covered distance only, each from the first segment that shows it; a query leaves
-when its k-th distance is covered, and what is left goes on. When probing would take more values than there are codes,
-the queries left are compared with all codes in blocks, which is exact too.
+A vector's code is its number of components d and the signs of all of them, 64 to a long. Codes are cut into segments
+over their d bits; the index has a row for each (d, segment, value, code). Two codes within distance m (r + 1) - 1 agree
+on one of m segments up to r bits, so probing every value within r bits of a query's segments finds all codes up to that
+distance: the covered distance. Rounds grow r from 0. A round keeps the codes at a covered distance only, each from the
+first segment that shows it; a query leaves when its k-th distance is covered, and what is left goes on. Queries for
+which probing would take more values than there are codes of their length are compared with all of these in blocks,
+which is exact too.
 
 Vectors of equal codes are one index row that carries its k smallest ids: no result ever needs another.
 
 Defined results: a vector that is null, empty, or holds a null or NaN component has no code: it is no result and gets
 none. A query isn't its own result, its copies are (distance 0). Ties go to the smaller id. Fewer than k other vectors
-give fewer rows. Repeated rows count once for each id. Vectors of another length than the first segment layout have codes
-of another width and only meet their like. An empty table gives no rows; other columns are never read.
+give fewer rows. Repeated rows count once for each id. Vectors of another length only meet their like: each length has
+segments of its own. An empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import ceil, comb, log2
+from collections.abc import Callable
+from functools import reduce
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claraudit.llm.common import bucket, staged
 
-K, QUERY_STEP = 10, 20
+#: Codes of up to UNROLLED longs are compared by an expression for each, longer ones in a loop.
+K, QUERY_STEP, UNROLLED = 10, 20, 16
 
 
 def sign_code(vector: Column) -> Column:
-    """Bit i of a long is set where component i is above 0, for vectors of up to 64 components; longer ones fold
-    component i onto bit i % 64 by exclusive or."""
-    bit = F.transform(vector, lambda x, i: F.when(x > 0, F.expr("1L").cast("long")).otherwise(F.lit(0).cast("long")))
-    shifted = F.zip_with(bit, F.sequence(F.lit(0), F.size(vector) - 1), lambda b, i: F.call_function("shiftleft", b, (i % 64).cast("int")))
-    whole = F.aggregate(shifted, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+    """(d, words): bit i % 64 of word i // 64 is set where component i is above 0."""
+    zero = F.lit(0).cast("long")
+
+    def word(w: Column) -> Column:
+        bits = F.transform(F.slice(vector, w * 64 + 1, 64), lambda x, i: F.when(x > 0, _left(F.lit(1).cast("long"), i)).otherwise(zero))
+        return F.aggregate(bits, zero, lambda s, x: s.bitwiseOR(x))
+
+    words = F.transform(F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / 64).cast("int")), word)
     good = (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
-    return F.when(F.coalesce(good, F.lit(False)), whole)
+    return F.when(F.coalesce(good, F.lit(False)), F.struct(F.size(vector).alias("d"), words.alias("words")))
 
 
-def segments_for(n_codes: int) -> int:
+def segments_for(d: Column, n_codes: Column) -> Column:
     """Segments of at most log2(codes) bits: a probe then meets a code at least, on average, and few probes miss."""
-    return max(1, min(16, ceil(64 / max(4, log2(max(2, n_codes))))))
+    return F.ceil(d / F.greatest(F.lit(4.0), F.log2(F.greatest(F.lit(2), n_codes)))).cast("int")
+
+
+def _left(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftleft", x, bits.cast("int"))
+
+
+def _cut(d: Column, m: Column, seg: Column) -> tuple[Column, Column]:
+    """(shift, bits) of a segment of d bits in m segments."""
+    edge = lambda i: F.floor(i.cast("long") * d / m).cast("int")
+    return edge(seg), edge(seg + 1) - edge(seg)
+
+
+def _part(word: Callable[[Column], Column], shift: Column, bits: Column) -> Column:
+    """Up to 63 bits of a code from bit `shift` on; they may lie in two words."""
+    at, off = F.floor(shift / 64).cast("int"), (shift % 64).cast("int")
+    low = F.call_function("shiftrightunsigned", word(at), off)
+    high = F.when(off + bits > 64, _left(word(at + 1), 64 - off)).otherwise(F.lit(0).cast("long"))
+    return low.bitwiseOR(high).bitwiseAND(_left(F.lit(1).cast("long"), bits) - 1)
+
+
+def _words(code: str) -> Callable[[Column], Column]:
+    return lambda i: F.get(F.col(f"{code}.words"), i)
 
 
-def cuts(m: int) -> list[tuple[int, int]]:
-    """(shift, bits) of m segments of a 64-bit code."""
-    edges = [i * 64 // m for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def _distance(a: str, b: str, words: int) -> Column:
+    """Of two codes of one length; words: the longest code's."""
+    if words <= UNROLLED:
+        parts = [F.coalesce(F.bit_count(_words(a)(F.lit(i)).bitwiseXOR(_words(b)(F.lit(i)))), F.lit(0)) for i in range(words)]
+        return reduce(lambda x, y: x + y, parts, F.lit(0))
+    differing = F.zip_with(f"{a}.words", f"{b}.words", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(differing, F.lit(0), lambda s, x: s + x)
 
 
-def masks(bits: int, radius: int) -> list[int]:
-    """All numbers of up to `radius` set bits below 2**bits."""
-    return [sum(1 << i for i in c) for r in range(min(radius, bits) + 1) for c in combinations(range(bits), r)]
+def _near(radius: int) -> Callable[[Column], Column]:
+    """Whether q_code and code agree on a segment up to `radius` bits."""
 
+    def differing(i: Column) -> Column:
+        return _words("q_code")(i).bitwiseXOR(_words("code")(i))
 
-def _part(code: Column, shift: int, bits: int) -> Column:
-    return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    return lambda seg: F.bit_count(_part(differing, *_cut(F.col("q_code.d"), F.col("m"), seg))) <= radius
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _probes(queries: DataFrame, radius: int) -> DataFrame:
+    """Each value within `radius` bits of a segment's: flipped bits are chosen in descending order, -1 ends the choice."""
+    out = queries.withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    shift, bits = _cut(F.col("q_code.d"), F.col("m"), F.col("seg"))
+    out = out.withColumn("value", _part(_words("q_code"), shift, bits)).withColumn("_top", bits)
+    for _ in range(radius):
+        out = out.withColumn("_flip", F.explode(F.sequence(F.lit(-1), F.col("_top") - 1)))
+        flipped = F.col("value").bitwiseXOR(_left(F.lit(1).cast("long"), F.col("_flip")))
+        out = out.withColumn("value", F.when(F.col("_flip") < 0, F.col("value")).otherwise(flipped)).withColumn("_top", F.greatest("_flip", F.lit(0)))
+    return out.select("q_code", "m", F.col("q_code.d").alias("d"), "seg", "value")
 
 
-def _probes(queries: DataFrame, m: int, radius: int) -> DataFrame:
-    out = None
-    for s, (shift, bits) in enumerate(cuts(m)):
-        flips = F.explode(F.array(*[F.lit(x).cast("long") for x in masks(bits, radius)])) if comb(bits, min(radius, bits)) < 64 else F.explode(F.from_json(F.lit(str(masks(bits, radius))), "array<bigint>"))
-        part = queries.select("q_code", _part(F.col("q_code"), shift, bits).alias("_v"), flips.alias("_flip")).select("q_code", F.lit(s).alias("seg"), F.col("_v").bitwiseXOR(F.col("_flip")).alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _affordable(radius: int) -> Column:
+    """Whether probing up to `radius` takes at most as many values as there are codes."""
+    each = F.array(*[F.lit(float(sum(comb(w, r) for r in range(radius + 1)))) for w in range(64)])
+    return (F.col("widest") >= radius) & (F.get(each, F.col("widest")) * F.col("m") <= F.greatest(F.col("n"), F.lit(64)))
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -90,34 +126,31 @@ def hamming_top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     salted = rows.withColumn("salt", bucket(64, "id")).groupBy("code", "salt", F.floor(F.col("id") / 512).alias("run")).agg(some.alias("ids"))
     codes = salted.groupBy("code", "salt").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     codes = staged(codes.groupBy("code").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")), "code-ids")
-    n = codes.count()
-    m = segments or segments_for(n)
-    layout = F.array(*[F.struct(F.lit(s).alias("seg"), _part(F.col("code"), shift, bits).alias("value")) for s, (shift, bits) in enumerate(cuts(m))])
-    index = staged(codes.select("code", "ids", F.explode(layout).alias("x")).select("x.seg", "x.value", "code", "ids"), "segments")
-    left = wanted.select(F.col("code").alias("q_code")).distinct()
+    # one row for each length of vectors
+    lengths = codes.groupBy(F.col("code.d").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    m = segments_for(F.col("d"), F.col("n")) if segments is None else F.least(F.col("d"), F.greatest(F.lit(segments), F.ceil(F.col("d") / 62)))
+    lengths = staged(lengths.withColumn("m", m.cast("int")).withColumn("widest", F.ceil(F.col("d") / F.col("m")).cast("int")), "lengths")
+    words = -(-(lengths.agg(F.max("d")).first()[0] or 0) // 64)
+    shift, bits = _cut(F.col("d"), F.col("m"), F.col("seg"))
+    index = codes.withColumn("d", F.col("code.d")).join(F.broadcast(lengths), "d").withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    index = staged(index.select("d", "seg", _part(_words("code"), shift, bits).alias("value"), "code", "ids"), "segments")
+    left = wanted.select(F.col("code").alias("q_code")).distinct().withColumn("d", F.col("q_code.d")).join(F.broadcast(lengths), "d").drop("d")
+    left = staged(left, "left")
     done = []
-    widest = max(bits for _, bits in cuts(m))
-    for radius in range(widest + 1):
-        probed = sum(comb(widest, r) for r in range(radius + 1))
-        if probed * m > max(n, 64):
-            break
-        covered = m * (radius + 1) - 1
-        probes = _probes(left, m, radius)
-        here = F.lit(True)
-        for s, (shift, bits) in enumerate(cuts(m)):  # the first segment within the radius shows the code
-            near = F.bit_count(_part(F.col("q_code").bitwiseXOR(F.col("code")), shift, bits)) <= radius
-            here = here & ((F.col("p.seg") <= s) | ~near)
-        found = probes.alias("p").join(index.hint("merge").alias("i"), (F.col("p.seg") == F.col("i.seg")) & (F.col("p.value") == F.col("i.value")) & (_distance("q_code", "code") <= covered) & here)
+    radius, distance = 0, _distance("q_code", "code", words)
+    while not (now := left.filter(_affordable(radius))).isEmpty():
+        covered = F.col("m") * (radius + 1) - 1
+        # the first segment within the radius shows the code
+        here = (F.col("p.seg") == 0) | ~F.exists(F.sequence(F.lit(0), F.greatest(F.col("p.seg") - 1, F.lit(0))), _near(radius))
+        same = (F.col("p.d") == F.col("i.d")) & (F.col("p.seg") == F.col("i.seg")) & (F.col("p.value") == F.col("i.value"))
+        found = _probes(now, radius).alias("p").join(index.hint("merge").alias("i"), same & (distance <= covered) & here)
         # k + 1: a query's own id is among them
-        top = staged(_top(found.select("q_code", _distance("q_code", "code").alias("distance"), "ids"), k + 1).select("q_code", "distance", "id", "rank"), "nearest")
+        top = staged(_top(found.select("q_code", distance.alias("distance"), "ids"), k + 1).select("q_code", "distance", "id", "rank"), "nearest")
         full = top.groupBy("q_code").agg(F.max("rank").alias("n")).filter(F.col("n") >= k + 1).select("q_code")
         done.append(top.join(full, "q_code", "left_semi").select("q_code", "distance", "id"))
         left = staged(left.join(full, "q_code", "left_anti"), "left")
-        if left.isEmpty():
-            break
-    else:
-        radius = widest
-    rest = _scan(left, codes, k + 1)
+        radius += 1
+    rest = _scan(left.select("q_code"), codes, k + 1, words)
     answers = rest.select("q_code", "distance", "id")
     for x in done:
         answers = answers.unionByName(x)
@@ -126,14 +159,14 @@ def hamming_top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def _scan(left: DataFrame, codes: DataFrame, k: int) -> DataFrame:
-    """The k nearest of the queries left over all codes, in blocks of both: a block pair keeps only its k nearest."""
+def _scan(left: DataFrame, codes: DataFrame, k: int, words: int) -> DataFrame:
+    """The k nearest of the queries left over all codes of their length, in blocks of both: a block pair keeps only its k nearest."""
     b = 256
-    q = left.withColumn("qb", bucket(b, "q_code")).groupBy("qb").agg(F.collect_list("q_code").alias("qs"))
-    c = codes.withColumn("cb", bucket(b, "code"))
+    q = left.withColumn("qb", bucket(b, "q_code")).groupBy(F.col("q_code.d").alias("d"), "qb").agg(F.collect_list("q_code").alias("qs"))
+    c = codes.withColumn("cb", bucket(b, "code")).withColumn("d", F.col("code.d"))
     # each code block meets each query block once: blocks of queries are spread by an explicit block number
     c = c.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long"))))
-    met = c.join(q, "qb").select("cb", "ids", "code", F.explode("qs").alias("q_code")).select("q_code", "cb", _distance("q_code", "code").alias("distance"), "ids")
+    met = c.join(q, ["d", "qb"]).select("cb", "ids", "code", F.explode("qs").alias("q_code")).select("q_code", "cb", _distance("q_code", "code", words).alias("distance"), "ids")
     near = Window.partitionBy("q_code", "cb").orderBy("distance")
     met = met.withColumn("r", F.rank().over(near)).filter(F.col("r") <= k)
     return _top(met.select("q_code", "distance", "ids"), k)

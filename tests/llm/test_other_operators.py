@@ -123,6 +123,24 @@ def test_hamming_top_k(spark, n):
     assert hamming_search.hamming_top_k(vectors_of(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lengths,segments", [([100], None), ([60, 64, 200], None), ([1100, 70], 30)])
+def test_hamming_uses_all_components(spark, lengths, segments):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(240):
+        v = rng.normal(size=lengths[i % len(lengths)])
+        if i % 4 == 1:  # a near copy of an earlier vector of this length
+            at = i - len(lengths) * rng.integers(1, 1 + i // len(lengths)) if i >= len(lengths) else i
+            v = np.array(rows[at][1]) * np.where(rng.random(len(v)) < 0.05, -1, 1) if at < i else v
+        rows.append((i, v.astype(np.float32).tolist()))
+    out = {}
+    for r in hamming_search.hamming_top_k(vectors_of(spark, rows), k=5, segments=segments).collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.distance, r.id))
+    for q in range(0, 240, 20):
+        near = sorted((sum((x > 0) != (y > 0) for x, y in zip(rows[q][1], v, strict=True)), i) for i, v in rows if i != q and len(v) == len(rows[q][1]))
+        assert sorted(out[q]) == [(k, *x) for k, x in enumerate(near[:5], 1)]
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline as c
 
