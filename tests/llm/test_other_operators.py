@@ -42,6 +42,40 @@ def test_mixing_edges(spark):
             mixing.MAX_SOURCES = old
 
 
+def mix_order(spark, sizes, weights, **how):
+    data = [(s, i) for s, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(data)], "doc_id long, source string")
+    w = spark.createDataFrame(weights, "source string, weight double") if weights else None
+    rows = mixing.mix(docs, w, block_docs=1, **how).orderBy("mix_position").collect()
+    assert [r.mix_position for r in rows] == list(range(len(data))) and sorted(r.doc_id for r in rows) == list(range(len(data)))
+    return [r.source for r in rows]
+
+
+def test_mixing_exact_weights(spark):
+    # both end with slot 2000; weights that no period of 200 holds
+    order = mix_order(spark, {"a": 195, "b": 1805, "none": 5}, [("a", 0.0975), ("b", 0.9025), ("none", 0.0)], period=300)
+    had = 0
+    for t, s in enumerate(order[:2000], 1):
+        had += s == "a"
+        assert abs(had - t * 0.0975) < 1
+    assert order[2000:] == ["none"] * 5
+
+
+def test_mixing_many_sources(spark):
+    sizes = {f"s{i:03}": 4 for i in range(520)} | {"hot": 1040}
+    order = mix_order(spark, sizes, None)
+    share = 1040**0.5 / (1040**0.5 + 520 * 2)
+    ends = int(4 / (2 / (1040**0.5 + 520 * 2)))  # until the others end, all at once
+    had = 0
+    for t, s in enumerate(order[:ends], 1):
+        had += s == "hot"
+        assert abs(had - t * share) < 1
+    last = {}
+    for t, s in enumerate(order[:ends], 1):
+        last[s] = last.get(s, 0) + 1
+        assert s == "hot" or t > (last[s] - 1) * ends / 4
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = language_id.identify(docs, keep=("lang",)).collect()
