@@ -112,3 +112,33 @@ def test_sensory_instructions(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     got = {(r.k, r.categories, r.residual, r.status) for r in sensory.findings(rows).collect()}
     assert got == {(0, "shape,position,color", "", "FAILED"), (1, "color", "Save", "PASSED")}
+
+
+def test_boxes_of_full_pages(spark):
+    import random
+
+    from claraudit.operators import boxes as bx
+
+    rng = random.Random(4)
+    page = lambda p, n, span: [(p, i, float(rng.randrange(-50, span)), float(rng.randrange(span)), float(rng.choice([0, 6, 12, 30, 90])), float(rng.choice([5, 20, 60]))) for i in range(n)]
+    rows = [*page(1, 620, 3000), *page(2, 40, 100_000), *page(3, 1, 10), (1, 620, -100.0, -100.0, 4000.0, 5000.0), (4, 0, 0.0, 0.0, 9.0, 9.0), (4, 1, 12.5, 300_000.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "page long, id long, x double, y double, w double, h double")
+    plain = df.filter("not (page = 1 and id = 620)")  # without the box behind all others
+    gap = lambda p, q, i: max(0.0, q[2 + i] - p[2 + i] - p[4 + i], p[2 + i] - q[2 + i] - q[4 + i])
+    meet = lambda p, q, r=(0, 0): all(p[2 + i] - r[i] < q[2 + i] + q[4 + i] and p[2 + i] + p[4 + i] + r[i] > q[2 + i] for i in (0, 1))
+    few = [r for r in rows if (r[0], r[1]) != (1, 620)]
+    others = lambda p, all_: [q for q in all_ if q[0] == p[0] and q[1] != p[1]]
+    assert {(r.page, r.id): r.gap for r in bx.nearest_gap(plain).collect()} == {p[:2]: min((max(gap(p, q, 0), gap(p, q, 1)) for q in others(p, few)), default=0.0) for p in few}
+    truth = {}
+    for p in few:
+        o, r = others(p, few), [max(0.0, 12 - p[4 + i] / 2) for i in (0, 1)]
+        truth[p[:2]] = (*(min((gap(p, q, i) for q in o), default=None) for i in (0, 1)), (p[4] < 24 or p[5] < 24) and not any(meet(p, q, r) for q in o))
+    assert {(r.page, r.id): (r.gap_x, r.gap_y, r.offset_exception) for r in bx.offset_exception(plain).collect()} == truth
+    pairs = bx.overlapping_pairs(df).collect()
+    assert sorted((r.page, r.a, r.b) for r in pairs) == sorted((p[0], p[1], q[1]) for p in rows for q in others(p, rows) if p[1] < q[1] and meet(p, q))
+    over = [r for r in rows if r[1] % 3 == 0 or r[1] == 620]
+    truth = {}
+    for p in rows:
+        shares = [0.0, *(max(0.0, min(p[2] + p[4], q[2] + q[4]) - max(p[2], q[2])) * max(0.0, min(p[3] + p[5], q[3] + q[5]) - max(p[3], q[3])) / (p[4] * p[5]) for q in others(p, over) if p[4])]
+        truth[p[:2]] = (round(min(1.0, max(shares)), 3), sum(x > 0.05 for x in shares))
+    assert {(r.page, r.id): (round(r.ratio, 3), r.n_covering) for r in bx.obscuration(df, df.filter("id % 3 = 0 or id = 620")).collect()} == truth
