@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What a Python worker remembers between tasks: encoders, words. Workers outlive stages.
+_HELD: dict = {}
 #: Text bytes that one group of rows handed to a Python task holds, about.
 GROUP_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without and gets an
+    own one; on a cluster a machine's own folder would lose what others write."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="claraudit-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -28,10 +35,23 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes a query's shuffle files when it ends: what it wrote is in the shared folder."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def staged(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    spark, at = df.sparkSession, stage_path(df.sparkSession, name)
-    df.write.parquet(at)
+    spark, at = df.sparkSession, at or stage_path(df.sparkSession, name)
+    with freed_shuffles(spark):
+        df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -41,12 +61,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner delete the shuffle files of finished jobs now rather than at the driver's next full collection."""
-    import gc
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What this worker remembers under `key`, made where it isn't there; asking for another key forgets the rest."""
+    if key not in _HELD:
+        forget()
+        _HELD[key] = make()
+    return _HELD[key]
+
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def forget() -> None:
+    """For tasks that remember nothing: drop what earlier stages left in this worker and give free memory back."""
+    if _HELD:
+        _HELD.clear()
+        with suppress(OSError, AttributeError):  # the C library's own, where it has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

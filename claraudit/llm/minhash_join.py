@@ -31,9 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claraudit.llm.common import bucket, groups_for, staged
+from claraudit.llm.common import bucket, forget, groups_for, staged
 from claraudit.llm.components import components, local_roots
-from claraudit.llm.tokens import forget_encoders
 from claraudit.llm.words import Texts, windows, words
 
 NGRAM, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9999, 192
@@ -85,7 +84,7 @@ def minhash(grams: np.ndarray, first: np.ndarray, hashes: int) -> np.ndarray:
 
 def _features(n: int, hashes: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoders()
+        forget()
         for batch in batches:
             names, column = batch.column(0), batch.column(1)
             for a, part in Texts.of(column).parts(1 << 20):

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claraudit.llm.common import groups_for, stage_path
-from claraudit.llm.tokens import SLICE_BYTES, encoder, forget_encoders, vocabulary, with_end
+from claraudit.llm.common import forget, groups_for, stage_path
+from claraudit.llm.tokens import SLICE_BYTES, encoder, vocabulary, with_end
 from claraudit.llm.words import Texts
 
 BLOCK_IDS, LEVEL, END_ID = 1 << 16, 3, 1
@@ -115,7 +115,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """A row for each document of the file: shard, segment, place, doc_id, at (ids before it in its segment), n_tokens, ids_crc32."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoders()
+        forget()
         for batch in batches:
             for r in batch.to_pylist():
                 ids = unpack_segment(r["block_ids"], r["plane_bytes"], r["payload"], r["planes"]).astype("<u4", copy=False)

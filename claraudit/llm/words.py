@@ -1,8 +1,9 @@
 """Vectorised splitting and hashing of texts, straight on the UTF-8 bytes of an Arrow column.
 
-A word is a maximal run of bytes other than space and \\t \\n \\v \\f \\r. All positions of a batch are handled by a
-few numpy passes: a byte's contribution to a polynomial hash is summed up once, and the hash of any word is a
-difference of two such sums, scaled back to its start.
+A word is a maximal run of bytes other than space and \\t \\n \\v \\f \\r. All pieces of a batch are handled by a few
+numpy passes over their 8-byte chunks, each of which goes through a 64-bit finaliser before the next one is mixed in.
+Pieces of up to 7 bytes have hashes of their own; longer ones may share one, so exact_codes() and Remembered compare
+bytes wherever hashes are equal.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from claraudit.llm.common import text_slices
@@ -28,19 +30,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_TABLE = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
-_POWERS = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        size = max(n, 1 << 20)
-        for k, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, _U)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=_U)
-    return _POWERS["up"], _POWERS["down"]
+#: Pieces beyond this many bytes are hashed one by one.
+LONG = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+
+
+def _padded(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as one number."""
+    raw = np.zeros(len(data) + 8, np.uint8)
+    raw[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", raw, strides=(1,))
+
+
+def hash_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]; no two pieces of up to 7 bytes share one."""
+    from hashlib import blake2b
+
+    n = ends - starts
+    chunks = _padded(data)
+    h = mix(chunks[starts] & _MASK[np.minimum(n, 8)] | np.minimum(n, 8).astype(_U) % _U(8) << _U(56))
+    todo = np.flatnonzero((n > 7) & (n <= LONG))
+    if len(todo):
+        at, left, own = starts[todo], n[todo], h[todo] ^ n[todo].astype(_U) * _U(0xA24BAED4963EE407)
+        for j in range(8, LONG, 8):
+            live = np.flatnonzero(left > j)
+            if not len(live):
+                break
+            some = chunks[at[live] + j] & _MASK[np.minimum(left[live] - j, 8)]
+            own[live] = mix(own[live] * _U(0x9FB21C651E98DF25) + some)
+        h[todo] = mix(own)
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a[x:x + n] and b[y:y + n] are equal, for each pair of starts and length."""
+    same = np.ones(len(n), bool)
+    long = n > LONG
+    todo = np.flatnonzero(~long)
+    if len(todo):
+        ca, cb = _padded(a), _padded(b)
+        for j in range(0, LONG, 8):
+            todo = todo[n[todo] > j]
+            if not len(todo):
+                break
+            differ = (ca[a_starts[todo] + j] ^ cb[b_starts[todo] + j]) & _MASK[np.minimum(n[todo] - j, 8)] != 0
+            same[todo[differ]] = False
+    for i in np.flatnonzero(long).tolist():
+        same[i] = np.array_equal(a[a_starts[i] : a_starts[i] + n[i]], b[b_starts[i] : b_starts[i] + n[i]])
+    return same
 
 
 @dataclass
@@ -89,11 +128,73 @@ class Pieces:
         return np.repeat(np.arange(len(self.texts)), self.counts())
 
     def hashes(self) -> np.ndarray:
-        data = self.texts.data
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(_U) * _U(0xA24BAED4963EE407))
+        return hash_pieces(self.texts.data, self.starts, self.ends)
+
+    def exact_codes(self, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(code of each piece, index of each code's first piece): equal codes where bytes are equal."""
+        return exact_codes(self.texts.data, self.starts, self.ends, self.hashes() if hashes is None else hashes)
+
+
+def exact_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes by hash, then by bytes where pieces of one hash differ."""
+    codes, distinct = pd.factorize(hashes)
+    first = np.zeros(len(distinct), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    n = ends - starts
+    long = np.flatnonzero((n > 7) | (n[first[codes]] > 7))
+    mine = first[codes[long]]
+    other = long[(n[long] != n[mine]) | ~same_bytes(data, starts[long], data, starts[mine], np.minimum(n[long], n[mine]))]
+    more: dict[tuple[int, bytes], int] = {}
+    added = []
+    for i in other.tolist():
+        key = (int(codes[i]), data[starts[i] : ends[i]].tobytes())
+        if key not in more:
+            more[key] = len(first) + len(added)
+            added.append(i)
+        codes[i] = more[key]
+    return codes, np.concatenate([first, np.array(added, np.int64)])
+
+
+class Remembered:
+    """An exact map from pieces to rows 0, 1, ... in the order of adding, held in a few arrays."""
+
+    def __init__(self):
+        self.hashes, self.rows = np.zeros(0, _U), np.zeros(0, np.int64)  # sorted by hash
+        self.data, self.starts, self.lengths = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def bytes(self) -> int:
+        return len(self.data) + 32 * len(self.starts)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The row of each piece, -1 for those not held."""
+        out = np.full(len(starts), -1, np.int64)
+        if not len(self):
+            return out
+        at, todo = np.searchsorted(self.hashes, hashes), np.arange(len(starts))
+        while len(todo):
+            todo = todo[at[todo] < len(self.hashes)]
+            todo = todo[self.hashes[at[todo]] == hashes[todo]]
+            row, n = self.rows[at[todo]], ends[todo] - starts[todo]
+            good = self.lengths[row] == n
+            good[good] = same_bytes(data, starts[todo[good]], self.data, self.starts[row[good]], n[good])
+            out[todo[good]] = row[good]
+            todo = todo[~good]
+            at[todo] += 1
+        return out
+
+    def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Takes in distinct pieces that it doesn't hold; their rows."""
+        rows, lengths = np.arange(len(self), len(self) + len(starts)), ends - starts
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.rows = np.insert(self.hashes, at, hashes[order]), np.insert(self.rows, at, rows[order])
+        self.starts = np.concatenate([self.starts, len(self.data) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.data = np.concatenate([self.data, ragged(data, starts, lengths)])
+        return rows
 
 
 def _edges(t: Texts) -> np.ndarray:
