@@ -5,18 +5,20 @@ class) between two word marks, and the model gives each character's probability
 word. Counts are of interpolated Kneser-Ney: the highest order counts occurrences, lower orders count the distinct
 characters in front, and each order gives a discount's mass to the next lower one.
 
-A model is a sorted array of n-gram hashes beside an array of probabilities; all languages share the hash array, so one
-binary search serves all. Contexts that were seen without the character keep the mass they pass down; a character's
-probability starts at its longest known n-gram and multiplies what longer known contexts pass down.
-
-Training: a sample bounded by `train_docs` documents and `train_chars` characters a language in expectation, drawn by
-hash from all labelled documents outside the held-out quarter; counts are summed up by Spark, the summed tables are
-bounded by the sample and go to the driver. Scoring takes every whole text. A task scores each distinct word of a slice
+A model is a sorted array of n-gram hashes; each has a run of entries (language, probability, mass passed down), so only
+what was seen takes room. All languages share the hash array, and one search serves all. A character's probability
+starts at its longest known n-gram and multiplies what longer known contexts pass down.
+
+Training: of each language's labelled documents outside the held-out quarter those with the smallest hashes, up to
+`train_docs` documents and `train_chars` characters (less where many languages share `model_chars`), one at least; the
+next `calibration_docs` calibrate. Counts are summed up by Spark; the summed tables are bounded by the sample and go to the
+driver. More than MAX_LANGS distinct labels raise. Scoring takes every whole text. A task scores each distinct word
 once. The language with the lowest cross-entropy a character wins.
 
-Calibrated rejection: on a second sample of labelled documents, outside the training sample, the cross-entropy of a
-word has a mean and a deviation for each language; a text is rejected if its cross-entropy lies above what
-`reject_z` deviations of a mean of its number of words and a slack of the calibration sample's own extremes allow.
+Calibrated rejection: on the calibration documents (on the training documents of a language that has no others) the
+cross-entropy of a word has a mean and a deviation for each language; a text is rejected if its cross-entropy lies above
+what `reject_z` deviations of a mean of its number of words, the calibration sample's own extremes and a margin of
+`reject_margin` bits a character allow.
 
 Defined results: a text that is null or has no letter is `und`, score 0 and rejected; with no labelled document every
 text is; a tie goes to the first language by name; rows that repeat stay; an empty table gives no rows. lang, source and
@@ -25,23 +27,26 @@ doc_id are never used to predict. Columns named in `keep` are carried along.
 
 from __future__ import annotations
 
+import math
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claraudit.llm.common import staged
-from claraudit.llm.tokens import forget_encoders
-from claraudit.llm.words import Texts, mix, words
+from claraudit.llm.common import held, staged
+from claraudit.llm.words import Remembered, Texts, mix, words
 
-ORDER, TRAIN_DOCS, TRAIN_CHARS, CALIBRATION_DOCS, REJECT_Z = 5, 300, 1_500_000, 200, 6.0
+ORDER, TRAIN_DOCS, TRAIN_CHARS, CALIBRATION_DOCS, REJECT_Z, REJECT_MARGIN = 5, 300, 1_500_000, 200, 6.0, 2.5
+#: Characters of the training sample over all languages, and how many languages there may be.
+MODEL_CHARS, MAX_LANGS = 12_000_000, 1000
 SLICE = 2 << 20
-#: Distinct words that a task remembers.
-REMEMBERED = 300_000
+#: Bytes of distinct words and their scores that a task remembers, and words scored at once.
+REMEMBERED_BYTES, TOGETHER = 24 << 20, 1 << 13
 #: Sharpness of the score: how a difference in bits a character turns into a probability.
 SHARPNESS = 4.0
 _U = np.uint64
@@ -89,20 +94,30 @@ def word_grams(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return out, word, place, letters
 
 
-def gram_hashes(code: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams that end at each position and whether the word reaches back that far."""
-    h = np.full(len(code), n, _U)
-    for j in range(n - 1, -1, -1):
-        h = h * _U(0x9FB21C651E98DF25) + np.concatenate([np.zeros(min(j, len(code)), np.int64), code[: max(0, len(code) - j)]]).astype(_U)
-    return mix(h), place >= n - 1
+_FACTOR = 0x9FB21C651E98DF25
+
+
+def gram_hashes(code: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n from 0 to order the hash of the n-gram that ends at each position (whatever word it begins in)."""
+    total, power, out = np.zeros(len(code), _U), 1, [np.full(len(code), mix(np.zeros(1, _U))[0])]
+    for n in range(1, order + 1):
+        shifted = np.zeros(len(code), _U)
+        shifted[n - 1 :] = code[: len(code) - n + 1]
+        total = total + shifted * _U(power)
+        power = power * _FACTOR % (1 << 64)
+        out.append(mix(total + _U(n * power % (1 << 64))))
+    return out
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    """Each position's value at the position before."""
+    return np.concatenate([x[:1], x[:-1]])
 
 
 def slice_words(part: Texts) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct lower-cased words of a slice, the code of each word occurrence, the row of each."""
     w = words(part)
-    code, distinct = pd.factorize(w.hashes())
-    example = np.zeros(len(distinct), np.int64)
-    example[code[::-1]] = np.arange(len(code))[::-1]
+    code, example = w.exact_codes()
     raw = part.data.tobytes()
     return [raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(w.starts[example].tolist(), w.ends[example].tolist(), strict=True)], code, w.row_of()
 
@@ -116,20 +131,16 @@ def _count(order: int):
             for a, part in Texts.of(batch.column(1)).parts(SLICE):
                 names, code, row = slice_words(part)
                 chars, word, place, _ = word_grams(names)
+                grams = gram_hashes(chars, order)
                 for lang in sorted(set(langs[a : a + len(part)])):
-                    times = np.bincount(code[(langs[a : a + len(part)] == lang)[row]], minlength=len(names))
+                    times = np.bincount(code[(langs[a : a + len(part)] == lang)[row]], minlength=len(names))[word]
                     for n in range(1, order + 1):
-                        gram, whole = gram_hashes(chars, place, n)
-                        # the order-n count, and for n-grams at a word's start too, whose context can't be longer
-                        use = whole & (place > 0) & (times[word] > 0) if n > 1 else (place > 0) & (times[word] > 0)
-                        full = gram[use]
-                        context, _ = gram_hashes(np.concatenate([[0], chars[:-1]]), place, n - 1) if n > 1 else (np.zeros(len(chars), _U), None)
-                        shorter, _ = gram_hashes(chars, place, n - 1) if n > 1 else (np.zeros(len(chars), _U), None)
-                        at_start = (place == n - 1)[use]
-                        uniq, first, inv = np.unique(full, return_index=True, return_inverse=True)
-                        total = np.bincount(inv, weights=times[word[use]], minlength=len(uniq)).astype(np.int64)
+                        use = (place >= max(1, n - 1)) & (times > 0)
+                        uniq, first, inv = np.unique(grams[n][use], return_index=True, return_inverse=True)
+                        total = np.bincount(inv, weights=times[use], minlength=len(uniq)).astype(np.int64)
+                        context, shorter, at_start = _before(grams[n - 1])[use][first], grams[n - 1][use][first], (place == n - 1)[use][first]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(uniq)), pa.array(np.full(len(uniq), n, np.int32)), pa.array(uniq.view(np.int64)), pa.array(context[use][first].view(np.int64)), pa.array(shorter[use][first].view(np.int64)), pa.array(at_start[first]), pa.array(total)],
+                            [pa.array([lang] * len(uniq)), pa.array(np.full(len(uniq), n, np.int32)), pa.array(uniq.view(np.int64)), pa.array(context.view(np.int64)), pa.array(shorter.view(np.int64)), pa.array(at_start), pa.array(total)],
                             ["lang", "n", "gram", "context", "shorter", "at_start", "times"],
                         )
 
@@ -140,83 +151,110 @@ COUNTS = "lang string, n int, gram long, context long, shorter long, at_start bo
 
 
 class Model:
-    """hashes: sorted; gains[i, l]: log2 probability of the n-gram's last character where it is the longest known one;
-    passes[i, l]: log2 of the mass that the n-gram as a context passes down. NaN: unknown in that language."""
+    """hashes: sorted; entries runs[i] to runs[i + 1] - 1 are those of hashes[i]: lang (number), gain (log2 probability of the
+    n-gram's last character, where it is the longest known one), down (log2 of the mass that the n-gram as a context
+    passes down; 0 where it is none)."""
 
-    def __init__(self, langs: list[str], hashes: np.ndarray, gains: np.ndarray, passes: np.ndarray, order: int, floor: float):
-        self.langs, self.hashes, self.gains, self.passes, self.order, self.floor = langs, hashes, gains, passes, order, floor
+    def __init__(self, langs: list[str], hashes: np.ndarray, runs: np.ndarray, lang: np.ndarray, gain: np.ndarray, down: np.ndarray, order: int, floor: float):
+        self.langs, self.hashes, self.runs, self.lang, self.gain, self.down = langs, hashes, runs, lang, gain, down
+        self.order, self.floor, self.name = order, floor, uuid.uuid4().hex
         self.mean, self.deviation, self.slack = np.zeros(len(langs)), np.ones(len(langs)), np.zeros(len(langs))
+        # where the hashes of each leading part begin: about one hash a part
+        self.shift = 64 - max(1, math.ceil(math.log2(max(2, len(hashes)))))
+        self.edges = np.searchsorted(hashes, np.arange(1 << (64 - self.shift), dtype=_U) << _U(self.shift)).astype(np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == h, i, -1)
+        """The place of each hash, -1 if there is none."""
+        at, last = self.edges[(h >> _U(self.shift)).astype(np.int64)], len(self.hashes) - 1
+        todo = np.arange(len(h))
+        while len(todo):
+            todo = todo[at[todo] <= last]
+            todo = todo[self.hashes[at[todo]] < h[todo]]
+            at[todo] += 1
+        return np.where(self.hashes[np.minimum(at, last)] == h, at, -1)
+
+    def _entries(self, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, entry) for all entries of the hashes at `at`."""
+        rows, at = rows[at >= 0], at[at >= 0]
+        n = self.runs[at + 1] - self.runs[at]
+        ends = np.cumsum(n)
+        return np.repeat(rows, n), np.repeat(self.runs[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
 
     def word_bits(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits of each word in each language (words x languages), predicted characters, whether the word has a letter."""
         code, word, place, letters = word_grams(names)
-        bits = np.zeros((len(code), len(self.langs)))
-        open_ = np.ones((len(code), len(self.langs)), bool)
-        open_[place == 0] = False
-        before = np.concatenate([[0], code[:-1]])
+        found = [None, *[np.where(place >= max(1, n - 1), self._find(h), -1) for n, h in enumerate(gram_hashes(code, self.order)[1:], 1)]]
+        bits, width = np.zeros(len(code) * len(self.langs)), len(self.langs)
+        missing = np.repeat(place > 0, width)
         for n in range(self.order, 0, -1):
-            at, _ = gram_hashes(code, place, n)
-            rows = np.flatnonzero(open_.any(1) & (place >= max(1, n - 1)))
-            i = self._find(at[rows])
-            gain = np.where((i >= 0)[:, None], self.gains[i], np.nan)
-            hit = open_[rows] & ~np.isnan(gain)
-            bits[rows] += np.where(hit, -gain, 0)
-            open_[rows] &= ~hit
-            rows = rows[open_[rows].any(1)]
-            if n > 1 and len(rows):
-                context, _ = gram_hashes(before, place, n - 1)
-                c = self._find(context[rows])
-                down = np.where((c >= 0)[:, None], self.passes[c], np.nan)
-                bits[rows] += np.where(open_[rows] & ~np.isnan(down), -down, 0)
-        bits[open_] += self.floor
-        out = np.zeros((len(names), len(self.langs)))
-        starts = np.flatnonzero(place == 0)
+            rows = np.flatnonzero(missing.reshape(-1, width).any(1) & (place >= max(1, n - 1)))
+            row, entry = self._entries(rows, found[n][rows])
+            cell = row * width + self.lang[entry]
+            here = missing[cell]
+            bits[cell[here]] -= self.gain[entry[here]]
+            missing[cell[here]] = False
+            if n > 1:
+                row, entry = self._entries(rows, found[n - 1][rows - 1])  # the context: it ends one character before
+                cell = row * width + self.lang[entry]
+                bits[cell] -= np.where(missing[cell], self.down[entry], 0)
+        bits[missing] += self.floor
+        out, starts = np.zeros((len(names), width)), np.flatnonzero(place == 0)
         if len(starts):
-            out = np.add.reduceat(bits, starts, axis=0)
+            out = np.add.reduceat(bits.reshape(-1, width), starts, axis=0)
         return out, np.diff(np.append(starts, len(code))) - 1, letters
 
-    def cached_bits(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """word_bits() that remembers the words of earlier slices of the task."""
-        if not hasattr(self, "known") or len(self.known) > REMEMBERED:
-            self.known: dict[str, int] = {}
-            self.table = (np.zeros((1 << 16, len(self.langs)), np.float32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool))
-        new = [x for x in dict.fromkeys(names) if x not in self.known]
-        if new:
-            k = len(self.known)
-            while k + len(new) > len(self.table[1]):
-                self.table = tuple(np.concatenate([x, np.zeros_like(x)]) for x in self.table)
-            for a in range(0, len(new), 1 << 14):  # a few words at a time: each takes arrays of all orders and languages
-                some = new[a : a + (1 << 14)]
-                for mine, got in zip(self.table, self.word_bits(some), strict=True):
-                    mine[k + a : k + a + len(some)] = got
-            self.known.update(zip(new, range(k, k + len(new)), strict=True))
-        at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
-        return tuple(x[at] for x in self.table)
-
     def score(self, part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(cross-entropy in bits a character, rows x languages; words; characters; whether a letter is there)."""
-        names, code, row = slice_words(part)
-        bits, chars, letters = self.cached_bits(names)
+        bits, chars, letters, code, row = self.bits_of(part)
         n, k = len(part), len(self.langs)
         total = np.stack([np.bincount(row, weights=bits[code, j], minlength=n) for j in range(k)], 1) if len(code) else np.zeros((n, k))
         count = np.bincount(row, weights=chars[code], minlength=n) if len(code) else np.zeros(n)
         some = np.bincount(row, weights=letters[code], minlength=n) > 0 if len(code) else np.zeros(n, bool)
         return total / np.maximum(count, 1)[:, None], np.bincount(row, minlength=n), count, some
 
+    def bits_of(self, part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """word_bits() of a slice's distinct words, the code of each word occurrence, the row of each."""
+        w = words(part)
+        hashes = w.hashes()
+        code, first = w.exact_codes(hashes)
+        bits, chars, letters = held(("words", self.name), lambda: Scored(self)).of(part.data, w.starts[first], w.ends[first], hashes[first])
+        return bits, chars, letters, code, w.row_of()
+
+
+class Scored:
+    """A model's scores of words, each computed once by a task."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.table = Remembered(), (np.zeros((0, len(self.model.langs)), np.float32), np.zeros(0, np.int32), np.zeros(0, bool))
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+        if self.known.bytes() + sum(x.nbytes for x in self.table) > REMEMBERED_BYTES:
+            self._clear()
+        rows = self.known.find(data, starts, ends, hashes)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = self.known.add(data, starts[new], ends[new], hashes[new])
+            raw, parts = data.tobytes(), [self.table]
+            some = max(16, TOGETHER * 4 // max(4, len(self.model.langs)))
+            for i in range(0, len(new), some):  # a few words at a time: each takes arrays of all orders and languages
+                at = new[i : i + some]
+                names = [raw[x:y].decode("utf-8", "replace").lower() for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+                parts.append(self.model.word_bits(names))
+            self.table = tuple(np.concatenate([p[i] for p in parts]).astype(self.table[i].dtype) for i in range(3))
+        return tuple(x[rows] for x in self.table)
+
 
 def build_model(counts: pd.DataFrame, order: int) -> Model:
     """Interpolated Kneser-Ney from summed counts (COUNTS)."""
-    langs = sorted(counts["lang"].unique())
-    hashes = np.unique(counts["gram"].to_numpy(np.int64).view(_U))
-    gains, passes = (np.full((len(hashes), len(langs)), np.nan) for _ in range(2))
-    floor = 20.0
+    langs, parts, floor = sorted(counts["lang"].unique()), [], max(20.0, -float(np.log2(0.001 / 5000)))
     for j, lang in enumerate(langs):
         own = counts[counts["lang"] == lang]
         by_n = {n: own[own["n"] == n].set_index("gram") for n in range(1, order + 1)}
+        gains, downs = [], []
         lower: pd.Series | None = None  # probability of each n-gram's last character at the order below
         for n in range(1, order + 1):
             t = by_n[n].copy()
@@ -229,16 +267,21 @@ def build_model(counts: pd.DataFrame, order: int) -> Model:
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
             if n == 1:
                 p = t["c"] / t["c"].sum() * 0.999
-                floor = max(floor, -float(np.log2(0.001 / 5000)))
             else:
                 sums = t.groupby("context")["c"].agg(["sum", "size"])
                 down = discount * sums["size"] / sums["sum"]
                 below = lower.reindex(t["shorter"]).fillna(2.0**-floor).to_numpy()
                 p = (t["c"] - discount) / sums["sum"].reindex(t["context"]).to_numpy() + down.reindex(t["context"]).to_numpy() * below
-                passes[np.searchsorted(hashes, down.index.to_numpy(np.int64).view(_U)).clip(0, len(hashes) - 1), j] = np.log2(down.to_numpy())
-            gains[np.searchsorted(hashes, t.index.to_numpy(np.int64).view(_U)), j] = np.log2(np.maximum(np.asarray(p, float), 1e-12))
+                downs.append(np.log2(down))
             lower = pd.Series(np.asarray(p, float), t.index)
-    return Model(langs, hashes, gains, passes, order, floor)
+            gains.append(np.log2(lower.clip(lower=1e-12)))
+        gain = pd.concat(gains)
+        down = pd.concat([x.rename("down") for x in downs]).reindex(gain.index).fillna(0.0) if downs else gain * 0
+        parts.append((gain.index.to_numpy(np.int64).view(_U), np.full(len(gain), j, np.int32), gain.to_numpy(np.float32), down.to_numpy(np.float32)))
+    hashes, lang, gain, down = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order_ = np.lexsort((lang, hashes))
+    distinct, first = np.unique(hashes[order_], return_index=True)
+    return Model(langs, distinct, np.append(first, len(hashes)).astype(np.int64), lang[order_], gain[order_], down[order_], order, floor)
 
 
 def _calibrate(model: Model):
@@ -246,8 +289,7 @@ def _calibrate(model: Model):
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for a, part in Texts.of(batch.column(1)).parts(SLICE):
-                names, code, row = slice_words(part)
-                bits, chars, _ = model.word_bits(names)
+                bits, chars, _, code, row = model.bits_of(part)
                 at = np.array([model.langs.index(x) for x in langs[a : a + len(part)]])
                 value = (bits / np.maximum(chars, 1)[:, None])[code, at[row]]
                 n = np.bincount(row, minlength=len(part))
@@ -258,27 +300,36 @@ def _calibrate(model: Model):
     return run
 
 
-def train(docs: DataFrame, *, order: int = ORDER, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, calibration_docs: int = CALIBRATION_DOCS, reject_z: float = REJECT_Z) -> Model | None:
+def train(docs: DataFrame, *, order: int = ORDER, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, calibration_docs: int = CALIBRATION_DOCS, reject_z: float = REJECT_Z, reject_margin: float = REJECT_MARGIN, model_chars: int = MODEL_CHARS) -> Model | None:
     """Fit on documents with a language and outside the held-out quarter; None where there is none."""
     labelled = docs.filter(~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(6), "doc_id").alias("h")).filter("lang is not null and text is not null")
-    stats = {r["lang"]: (r["n"], r["chars"]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    stats = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
     if not stats:
         return None
-    share = lambda n, chars, most, some: min(0.5, most / n, some / max(1, chars))  # noqa: E731  half at most: the rest calibrates
-    unit = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-    taken, tested = F.lit(False), F.lit(False)
-    for lang, (n, chars) in stats.items():
-        cut = share(n, chars, train_docs, train_chars)
-        taken = taken | ((F.col("lang") == lang) & (unit < cut))
-        tested = tested | ((F.col("lang") == lang) & (unit >= cut) & (unit < cut + share(n, chars, calibration_docs, train_chars)))
-    sample = staged(labelled.withColumn("use", F.when(taken, "train").when(tested, "test")).filter("use is not null").select("use", "lang", "text"), "language-sample")
+    if len(stats) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    wanted, chars = train_docs + calibration_docs, min(train_chars, model_chars // len(stats))
+    # candidates: twice what is wanted; then the smallest hashes among them
+    unit = F.pmod(F.xxhash64("h", F.crc32(F.col("text").cast("binary"))), F.lit(1 << 30)) / float(1 << 30)
+    cuts = [(lang, 2 * wanted / n) for lang, n in stats.items() if n > 2 * wanted]
+    near = F.coalesce(F.create_map(*[F.lit(x) for pair in cuts for x in pair])[F.col("lang")], F.lit(2.0)) if cuts else F.lit(2.0)
+    some = staged(labelled.withColumn("u", unit).filter(F.col("u") < near), "language-candidates")
+    by = Window.partitionBy("lang").orderBy("u", "h")
+    some = some.withColumn("rank", F.row_number().over(by)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("lang")))
+    some = some.withColumn("first", F.least(F.lit(train_docs), F.ceil(F.col("n") * train_docs / wanted)))
+    some = some.withColumn("part", F.col("rank") > F.col("first")).filter(F.col("rank") <= F.col("first") + calibration_docs)
+    sofar = F.sum(F.length("text")).over(Window.partitionBy("lang", "part").orderBy("u", "h").rowsBetween(Window.unboundedPreceding, -1))
+    some = some.withColumn("sofar", F.coalesce(sofar, F.lit(0))).filter(F.col("sofar") < chars)
+    sample = staged(some.select(F.when(F.col("part"), "test").otherwise("train").alias("use"), "lang", "text"), "language-sample")
     grams = sample.filter("use = 'train'").select("lang", "text").mapInArrow(_count(order), COUNTS)
     summed = grams.groupBy("lang", "n", "gram").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.max("at_start").alias("at_start"), F.sum("times").alias("times"))
     counts = summed.toPandas()  # bounded by the sample
     if not len(counts):
         return None
     model = build_model(counts, order)
-    facts = sample.filter("use = 'test'").filter(F.col("lang").isin(model.langs)).select("lang", "text").mapInArrow(_calibrate(model), "lang string, n long, s1 double, s2 double, entropy double").toPandas()
+    tested = {r["lang"] for r in sample.filter("use = 'test'").select("lang").distinct().collect()}  # MAX_LANGS at most
+    use = (F.col("use") == "test") | ~F.col("lang").isin(list(tested)) if tested else F.lit(True)
+    facts = sample.filter(use & F.col("lang").isin(model.langs)).select("lang", "text").mapInArrow(_calibrate(model), "lang string, n long, s1 double, s2 double, entropy double").toPandas()
     for j, lang in enumerate(model.langs):
         own = facts[(facts["lang"] == lang) & (facts["n"] > 0)]
         if len(own):
@@ -286,7 +337,7 @@ def train(docs: DataFrame, *, order: int = ORDER, train_docs: int = TRAIN_DOCS,
             model.mean[j] = float(np.median(own["entropy"]))
             model.deviation[j] = max(0.1, float(np.sqrt(max(0.0, own["s2"].sum() / n - (own["s1"].sum() / n) ** 2))))
             beyond = own["entropy"] - model.mean[j] - reject_z * model.deviation[j] / np.sqrt(own["n"])
-            model.slack[j] = max(2.5, 2.5 + float(np.quantile(beyond, 0.98)))
+            model.slack[j] = reject_margin + max(0.0, float(np.quantile(beyond, 0.98)))
         else:
             model.mean[j] = np.inf
     return model
@@ -294,7 +345,6 @@ def train(docs: DataFrame, *, order: int = ORDER, train_docs: int = TRAIN_DOCS,
 
 def _predict(shared, reject_z: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoders()
         model: Model = shared.value
         for batch in batches:
             last = batch.num_columns - 1
