@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What a Python worker remembers between tasks: encoders, words. Workers outlive stages.
@@ -91,6 +91,14 @@ def bucket(n: int, *cols: Column | str, salt: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(n)).cast("long")
 
 
+def file_order(rows: DataFrame) -> DataFrame:
+    """Rows read from files with their number, `_order`, from 0 on: by file name, then by place in the file."""
+    numbered = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = numbered.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))  # a row a file
+    files = files.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_first"))
+    return numbered.join(F.broadcast(files), "_file").withColumn("_order", F.col("_first") + F.col("_at")).drop("_file", "_at", "_first")
+
+
 def text_slices(sizes, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `most` bytes together, one row at least."""
     start, total = 0, 0

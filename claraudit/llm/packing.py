@@ -1,14 +1,16 @@
 """Best-fit packing with certified bounds (operator 3).
 
-Pieces of tokenised documents go into sequences of a fixed capacity. Pieces are dealt over partitions by a hash; each
-partition runs best-fit decreasing and certifies its number of sequences by dual-feasible-function lower bounds. A
+Pieces of tokenised documents go into sequences of a fixed capacity. Pieces are dealt over partitions by a hash of their
+row, or, where documents have an order to keep, by ranges of it, so that neighbouring sequences hold neighbouring documents
+and sequence numbers ascend with the order. Each partition runs best-fit decreasing and certifies its number of sequences by dual-feasible-function lower bounds. A
 partition whose number equals its bound is done, but for its emptiest sequence, whose room is only due to rounding. One
 with a gap keeps its well-filled sequences. The pieces of the emptiest ones go into an exchange: they are dealt anew,
 mixed with those of other partitions, and packed again, until the exchange fits one partition or for a stated number of
-rounds.
+rounds. The same bounds over the lengths of all pieces together certify the whole.
 
 Defined results: null or empty text is a document of the end id alone; repeated rows are packed as often as they occur;
-doc_id may be null or repeated; an empty table gives no rows; other columns are never read.
+doc_id may be null or repeated; an empty table gives no rows; other columns are never read. A document that is longer than
+the capacity by millions of times makes its partition's group as long as its pieces.
 """
 
 from __future__ import annotations
@@ -28,21 +30,26 @@ from claraudit.llm.tokens import SLICE_BYTES, encoder, vocabulary, with_end
 from claraudit.llm.words import Texts
 
 CAPACITY, PIECES, ROUNDS = 2048, 2048, 4
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: row: a number of the document, distinct or at least ascending with the order to keep.
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 PLACED = f"{PIECE}, sequence_id long, offset long"
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
-    """No packing of `sizes` has fewer bins: the best of two families of dual-feasible functions.
+    """No packing of `sizes` has fewer bins."""
+    return bound_of_counts(np.bincount(sizes, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(n: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The same for n[x] items of size x: the best of two families of dual-feasible functions.
 
     A dual-feasible function maps a share of the capacity to a number from 0 to 1 so that shares that fit one bin never
     map to more than 1 together; the mapped sum is then a bound. Family one, for a cut-off c: shares above 1 - c count
     1, those below c count 0, others themselves. Family two, for k: x counts floor((k + 1) x) / k, or itself where
     (k + 1) x is an integer.
     """
-    if not len(sizes):
+    if not n.any():
         return 0
-    n = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((n * x).sum()) // capacity)
     amount, count = np.concatenate([[0], np.cumsum(n * x)]), np.concatenate([[0], np.cumsum(n)])
@@ -83,24 +90,29 @@ def cut_pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out + [(a, capacity) for a in range(head, n, capacity)]
 
 
-def token_pieces(docs: DataFrame, *, tokenizer: str | None = None, splits: str = "spaced", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """A row for each piece of each whole document, without any shuffle."""
+def token_pieces(docs: DataFrame, *, tokenizer: str | None = None, splits: str = "spaced", end_id: int = 0, capacity: int = CAPACITY, order: str | None = None) -> DataFrame:
+    """A row for each piece of each whole document, without any shuffle. order: a column of distinct numbers from 0 on."""
     vocab = tokenizer or vocabulary("byte_bpe_50k.json")
+    own = F.lit(None).cast("long") if order is None else F.col(order).cast("long")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab, splits)
+        from pyspark import TaskContext
+
+        enc, at = encoder(vocab, splits), TaskContext.get().partitionId() << 36
         for batch in batches:
-            names = batch.column(0).to_pylist()
+            names, numbers = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            numbers = [at + i if x is None else x for i, x in enumerate(numbers)]
+            at += len(names)
             for a, part in Texts.of(batch.column(1)).parts(SLICE_BYTES):
                 ids, bounds = with_end(*enc.encode(part), end_id)
                 raw, rows = memoryview(ids.astype("<u4", copy=False).tobytes()), []
-                for name, lo, hi in zip(names[a:], bounds[:-1].tolist(), bounds[1:].tolist(), strict=False):
+                for name, number, lo, hi in zip(names[a:], numbers[a:], bounds[:-1].tolist(), bounds[1:].tolist(), strict=False):
                     for k, (s, n) in enumerate(cut_pieces(hi - lo, capacity)):
-                        rows.append((name, k, s, n, zlib.crc32(raw[4 * (lo + s) : 4 * (lo + s + n)])))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                        rows.append((name, k, s, n, zlib.crc32(raw[4 * (lo + s) : 4 * (lo + s + n)]), number))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, PIECE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), own).mapInArrow(encode, PIECE)
 
 
 def _packer(r: int, last: bool, capacity: int):
@@ -123,16 +135,19 @@ def _packer(r: int, last: bool, capacity: int):
     return one
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, per_partition: int = PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """Adds sequence_id and offset, and the partition's `bins` and certified `bound`. Needs the columns of PIECE."""
-    spark, todo = pieces.sparkSession, pieces
-    left, done = todo.count(), []
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, per_partition: int = PIECES, rounds: int = ROUNDS, ordered: bool = False) -> DataFrame:
+    """Adds sequence_id and offset, the partition's `bins` and certified `bound`, and `bound_all` of the whole. Needs the
+    columns of PIECE. ordered: rows are numbered from 0 in an order to keep."""
+    todo = pieces
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # `capacity` rows at most
+    left, done = sum(lengths.values()), []
+    whole = bound_of_counts(np.array([lengths.get(x, 0) for x in range(capacity + 1)], np.int64), capacity)
+    last_row = (pieces.agg(F.max("row").alias("r")).first()["r"] or 0) if ordered else 0
     for r in range(rounds):
         parts = max(1, -(-left // per_partition))
         last = r == rounds - 1 or parts == 1
-
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        dealt = todo.select(*names, bucket(parts, "doc_id", "piece", "ids_crc32", salt=r + 1).alias("part"))
+        part = F.floor(F.col("row") * F.lit(float(parts)) / (last_row + 1)).cast("long") if ordered else bucket(parts, "row", "piece", salt=r + 1)
+        dealt = todo.select(*[x.split()[0] for x in PIECE.split(", ")], part.alias("part"))
         placed = staged(dealt.groupBy("part").applyInPandas(_packer(r, last, capacity), f"{PLACED}, done boolean, bins long, bound long"), f"packed{r}")
         done.append(placed.filter("done").drop("done"))
         todo = placed.filter("not done")
@@ -142,16 +157,16 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, per_partition: int = PI
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return out.withColumn("bound_all", F.lit(whole).cast("long"))
 
 
-def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, **how) -> DataFrame:
-    """Tokenise, cut and pack."""
-    return pack(staged(token_pieces(docs, capacity=capacity, **how), "pieces"), capacity=capacity)
+def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, order: str | None = None, **how) -> DataFrame:
+    """Tokenise, cut and pack; order: a column that numbers the documents from 0 on, to be kept."""
+    return pack(staged(token_pieces(docs, capacity=capacity, order=order, **how), "pieces"), capacity=capacity, ordered=order is not None)
 
 
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound")
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound", "bound_all")
 
 
 QUERIES = {"op3_best_fit": op3_best_fit}
