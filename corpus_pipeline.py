@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages over `documents`: language identification, near-duplicate removal, substring dedup,
 mixing and packing. All but the last return the columns of documents; each one's decisions are in the rows, texts or row
-order that it returns.
+order that it returns; the order is that of the rows in the files between two stages, and packing keeps it.
 
 Defined results: rows with a null doc_id pass the near-duplicate stage unseen (nothing names them); rows repeating a
 doc_id are one document behind it; a document of which nothing is left after substring dedup goes; empty in, empty out.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claraudit.llm.common import staged
+from claraudit.llm.common import file_order, staged
 from claraudit.llm.fingerprint_index import dedup_substrings
 from claraudit.llm.language_id import identify
 from claraudit.llm.minhash_join import jaccard_groups
@@ -42,13 +42,14 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out in the order of the mix over partitions and within each."""
+    """All documents, laid out in the order of the mix over files and within each; packing follows that order."""
     return in_order(mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece, with its sequence and place."""
-    return pack_documents(docs)
+    """A row for each piece, with its sequence and place. Pieces are packed in ranges of the order in which the documents lie
+    in their files, and sequences are numbered by it, so neighbouring sequences hold the sources in the mix's shares."""
+    return pack_documents(file_order(docs.select(*COLUMNS)), order="_order")
 
 
 STAGES = [
