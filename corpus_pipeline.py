@@ -2,8 +2,9 @@
 mixing and packing. All but the last return the columns of documents; each one's decisions are in the rows, texts or row
 order that it returns; the order is that of the rows in the files between two stages, and packing keeps it.
 
-Defined results: rows with a null doc_id pass the near-duplicate stage unseen (nothing names them); rows repeating a
-doc_id are one document behind it; a document of which nothing is left after substring dedup goes; empty in, empty out.
+Defined results: rows repeating (doc_id, text) are one document behind the near-duplicate stage, so are rows of one text
+without a doc_id; texts without a word aren't copies of anything; a document of which nothing is left after substring
+dedup goes; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from claraudit.llm.common import file_order, staged
 from claraudit.llm.fingerprint_index import dedup_substrings
 from claraudit.llm.language_id import identify
-from claraudit.llm.minhash_join import jaccard_groups
+from claraudit.llm.minhash_join import jaccard_groups, text_digest
 from claraudit.llm.mixing import in_order, mix
 from claraudit.llm.packing import pack_documents
 
@@ -28,11 +29,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id."""
+    """Of each group of near copies one document, that of the smallest doc_id; of rows that repeat (doc_id, text) one."""
     docs = docs.select(*COLUMNS)
-    first = jaccard_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    kept = jaccard_groups(docs).filter("kept").select("doc_id", "digest").distinct()
+    rows, kept = docs.withColumn("_digest", text_digest()).alias("d"), kept.alias("k")
+    rows = rows.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._digest") == F.col("k.digest")), "left_semi")
+    blank = F.col("text").isNull() | (F.trim(F.regexp_replace("text", "[\\x09-\\x0D]", " ")) == "")
+    rows = rows.withColumn("_own", F.when(blank, F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["doc_id", "_digest", "_own"]).select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +53,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece, with its sequence and place. Pieces are packed in ranges of the order in which the documents lie
     in their files, and sequences are numbered by it, so neighbouring sequences hold the sources in the mix's shares."""
+    if not docs.inputFiles():  # rows that come from no files lie in no order
+        return pack_documents(docs)
     return pack_documents(file_order(docs.select(*COLUMNS)), order="_order")
 
 
