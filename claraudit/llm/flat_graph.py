@@ -1,20 +1,26 @@
 """Embedding near-dedup by a robust-pruned flat graph (operator 7).
 
 1. Equal vectors are one point, with the smallest id and the number of copies.
-2. Centroids are a bounded sample of the points (CENTROIDS at most for each vector length). Each point goes to the
-   `overlap` nearest centroids: clusters overlap, so a near pair shares one although a border lies between.
+2. Centroids are a sample of the points, one for each `shard_points` of them. Each point goes to the `overlap` nearest
+   centroids: clusters overlap, so a near pair shares one although a border lies between. Where that takes more centroids
+   than CENTROIDS or CENTROID_BYTES allow a task to hold, there are two levels: each cluster of the first is divided by a
+   sample of its own points in the same way, so shards keep their size whatever the number of points.
 3. In each cluster shard every point's nearest points by inner product are its candidates, and robust pruning keeps those
    that no kept one is much nearer to. The lists that shards give to one point are united: one flat graph.
 4. Each shard then searches for every point of it: greedy beam search from the shard's medoids over the united lists,
    then range expansion, which walks on through all points found within the threshold. What the walk meets is verified by
-   its cosine in double precision. A pair that several shards hold counts in the first of them.
-5. A sample of points is compared with all vectors by brute force; if fewer than `audit_recall` of its links were found,
-   everything is done again with one more cluster for each point.
+   its cosine in double precision. A pair that several shards hold counts in the first of them. A walk stays in its
+   shard: a pair that shares none is missed, which is what the audit measures and overlap makes rare.
+5. Points are compared with all vectors by brute force, more and more of them until `audit_links` links were seen (or
+   AUDIT_MOST points); if fewer than `audit_recall` of these links were found, everything is done again with one more
+   cluster for each point.
 6. Shards give numbers of links and a spanning star of each local component; components join them.
 
-Defined results: a vector that is null, empty, zero, or holds null or non-finite components links with nothing; vectors
-of different lengths don't either; rows repeating (vec_id, embedding) are one vector; an empty table gives no rows; all
-ties go to the smaller id; other columns are never read.
+Defined results: a vector that is null, empty, zero, or holds null or non-finite components links with nothing; all other
+magnitudes do (vectors are scaled by their largest component before anything is squared); vectors of different lengths
+don't link; rows repeating (vec_id, embedding) are one vector; a row without a vec_id links with nothing and is returned
+with nulls; recall is null where the audit saw no link; an empty table gives no rows; all ties go to the smaller id; other
+columns are never read.
 """
 
 from __future__ import annotations
@@ -31,12 +37,15 @@ from claraudit.llm.common import staged
 from claraudit.llm.components import components, local_roots
 
 THRESHOLD, OVERLAP, DEGREE, ALPHA, BEAM = 0.9, 2, 24, 1.2, 24
-#: Points of a shard, about; most centroids of one vector length; points of the audit; recall it asks for.
-SHARD_POINTS, CENTROIDS, AUDITED, AUDIT_RECALL = 384, 8192, 96, 0.98
+#: Points of a shard, about; most centroids of one vector length that a task holds, and their bytes.
+SHARD_POINTS, CENTROIDS, CENTROID_BYTES = 384, 8192, 16 << 20
+#: The audit: points at first and at most, links to see, recall to reach.
+AUDITED, AUDIT_MOST, AUDIT_LINKS, AUDIT_RECALL = 96, 1536, 300, 0.98
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -163,6 +172,25 @@ def _assign(centroids: dict[int, np.ndarray], names: dict[int, np.ndarray], over
     return run
 
 
+def _divide(shard_points: int, overlap: int):
+    """One first-level cluster of one vector length: its points' shards of the second level."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep", kind="stable").reset_index(drop=True)
+        x = _unit(np.stack(rows["vector"].to_numpy()))
+        k = max(1, -(-len(x) // shard_points))
+        some = np.sort(np.random.default_rng(len(x)).permutation(len(x))[:k])  # the same points on every run
+        few, parts = min(overlap, k), []
+        for a in range(0, len(x), 4096):
+            sims = x[a : a + 4096] @ x[some].T
+            near = np.argpartition(-sims, few - 1, axis=1)[:, :few] if few < k else np.tile(np.arange(k), (len(sims), 1))
+            parts.append(near)
+        near = np.concatenate(parts)
+        return pd.DataFrame({"rep": rows["rep"], "copies": rows["copies"], "vector": rows["vector"], "found": list((int(key[0]) << 24) + near.astype(np.int64))})
+
+    return run
+
+
 def _build(degree: int, alpha: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["rep"].to_numpy()
@@ -187,8 +215,11 @@ def _search(threshold: float):
         x = _unit(np.stack(rows["vector"].to_numpy()))
         a, b = range_search(x, graph, threshold)
         good = np.einsum("kd,kd->k", x[a], x[b]) >= threshold  # verified in double precision
-        homes = np.stack(rows["homes"].to_numpy())
-        common = homes[a][:, :, None] == homes[b][:, None, :]
+        lists = rows["homes"].to_numpy()
+        homes = np.full((len(ids), max(map(len, lists))), -1, np.int64)
+        for i, x in enumerate(lists):
+            homes[i, : len(x)] = x
+        common = (homes[a][:, :, None] == homes[b][:, None, :]) & (homes[a][:, :, None] >= 0)
         first = np.where(common.any(2), homes[a], np.iinfo(np.int64).max).min(1)
         good &= first == shard
         a, b = a[good], b[good]
@@ -215,38 +246,64 @@ def _brute(sample: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float):
     return run
 
 
-def _sampled(points: DataFrame, most: int, salt: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Up to `most` points of each vector length, by the smallest hashes: a bounded sample for the driver."""
+def _lengths(points: DataFrame) -> dict[int, int]:
+    """Points of each vector length."""
+    return {r["d"]: r["n"] for r in points.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _sampled(points: DataFrame, most: dict[int, int], salt: int, skip: int = 0) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """`most` points of each vector length behind the first `skip`, by the smallest hashes: a bounded sample for the driver."""
     order = F.struct(F.xxhash64(F.lit(salt), "rep").alias("h"), "rep", "vector")
-    per_length = {r["d"]: r["n"] for r in points.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     out = {}
-    for d, n in per_length.items():
-        k = min(most, n)
-        rows = points.filter(F.size("vector") == d).select(order.alias("o")).orderBy("o.h", "o.rep").limit(k).collect()
-        out[d] = (np.array([r["o"]["rep"] for r in rows], np.int64), _unit(np.array([r["o"]["vector"] for r in rows], np.float64)))
+    for d, k in most.items():
+        rows = points.filter(F.size("vector") == d).select(order.alias("o")).orderBy("o.h", "o.rep").limit(skip + k).collect()[skip:]
+        if rows:
+            out[d] = (np.array([r["o"]["rep"] for r in rows], np.int64), _unit(np.array([r["o"]["vector"] for r in rows], np.float64)))
     return out
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, overlap: int = OVERLAP, degree: int = DEGREE, alpha: float = ALPHA, shard_points: int = SHARD_POINTS, audit_recall: float = AUDIT_RECALL) -> DataFrame:
-    """vec_id, n_links, component_id, kept, recall (of the audit)."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("vec_id is not null")
-    huge = F.lit(1e150)
-    fine = (F.size("vector") > 0) & ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) > huge)) & F.exists("vector", lambda v: F.abs(v) > 1e-150)
+def _truth(points: DataFrame, lengths: dict[int, int], threshold: float, links: int) -> DataFrame:
+    """(rep, truth): the true number of links of enough points to have seen `links` links, if there are."""
+    spark, at, seen, parts = points.sparkSession, 0, 0, []
+    while at < AUDIT_MOST and seen < links:
+        n = AUDITED if not at else at
+        some = _sampled(points, dict.fromkeys(lengths, n), 11, at)
+        if not some:
+            break
+        got = points.mapInArrow(_brute(some, threshold), "rep long, truth long").groupBy("rep").agg(F.sum("truth").alias("truth")).collect()  # `n` rows a length at most
+        parts += [(r["rep"], r["truth"]) for r in got]
+        seen += sum(r["truth"] for r in got)
+        at += n
+    return spark.createDataFrame(parts, "rep long, truth long")
+
+
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, overlap: int = OVERLAP, degree: int = DEGREE, alpha: float = ALPHA, shard_points: int = SHARD_POINTS, centroids: int = CENTROIDS, audit_recall: float = AUDIT_RECALL, audit_links: int = AUDIT_LINKS) -> DataFrame:
+    """vec_id, n_links, component_id, kept, recall (of the audit; null where it saw no link) and audit_links (that it saw)."""
+    every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = every.filter("vec_id is not null")
+    inf = F.lit(float("inf"))
+    fine = (F.size("vector") > 0) & ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == inf)) & F.exists("vector", lambda v: v != 0)
     rows = rows.withColumn("good", F.coalesce(F.col("vector").isNotNull() & fine, F.lit(False)))
-    bad = rows.filter("not good").select("vec_id").distinct()
     good = rows.filter("good").select("vec_id", "vector").distinct()
+    bad = rows.filter("not good").select("vec_id").distinct().join(good.select("vec_id"), "vec_id", "left_anti")
     points = staged(good.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "copies", "vector"), "points")
-    n = points.count()
-    audited = _sampled(points, AUDITED, 11)
-    truth = points.mapInArrow(_brute(audited, threshold), "rep long, truth long").groupBy("rep").agg(F.sum("truth").alias("truth"))
-    centers = _sampled(points, max(1, min(CENTROIDS, -(-n // shard_points))), 12)
+    lengths = _lengths(points)
+    truth = _truth(points, lengths, threshold, audit_links)
+    wanted = {d: -(-n // shard_points) for d, n in lengths.items()}
+    held = {d: max(1, min(k, centroids, CENTROID_BYTES // (8 * d))) for d, k in wanted.items()}
+    two = any(wanted[d] > held[d] for d in wanted)
+    centers = _sampled(points, held, 12)
     while True:
         names, at = {}, 0
         for d, (_, c) in sorted(centers.items()):
             names[d] = np.arange(at, at + len(c))
             at += len(c)
-        homes = staged(points.mapInArrow(_assign({d: c for d, (_, c) in centers.items()}, names, overlap), "rep long, copies long, vector array<double>, homes array<long>"), "homes")
+        homes = points.mapInArrow(_assign({d: c for d, (_, c) in centers.items()}, names, overlap), "rep long, copies long, vector array<double>, homes array<long>")
+        if two:
+            within = homes.select(F.explode("homes").alias("cluster"), "rep", "copies", "vector").groupBy("cluster").applyInPandas(_divide(shard_points, overlap), "rep long, copies long, vector array<double>, found array<long>")
+            # at most overlap lists each
+            homes = within.groupBy("rep").agg(F.first("copies").alias("copies"), F.first("vector").alias("vector"), F.array_sort(F.flatten(F.collect_list("found"))).alias("homes"))
+        homes = staged(homes, "homes")
         sharded = homes.select(F.explode("homes").alias("shard"), "rep", "copies", "vector", "homes")
         lists = sharded.select("shard", "rep", "vector").groupBy("shard").applyInPandas(_build(degree, alpha), "rep long, near array<long>")
         graph = staged(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")  # at most overlap lists each
@@ -254,16 +311,18 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         found = staged(found, "vector-links")
         links = found.groupBy("rep").agg(F.sum("links").alias("links"))
         audit = truth.join(links, "rep", "left").agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("f")).first()
-        recall = (audit["f"] or 0) / audit["t"] if audit["t"] else 1.0
-        if recall >= audit_recall or overlap >= at:
+        recall = audit["f"] / audit["t"] if audit["t"] else None
+        if recall is None or recall >= audit_recall or overlap >= at:
             break
         overlap += 1
     comps = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = points.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = good.join(named, "vector").select("vec_id", "n_links", "component_id")
-    out = out.unionByName(bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), F.lit(float(recall)).alias("recall"))
+    none = F.lit(0).cast("long").alias("n_links")
+    out = out.unionByName(bad.select("vec_id", none, F.col("vec_id").alias("component_id")))
+    out = out.unionByName(every.filter("vec_id is null").select("vec_id", none, F.col("vec_id").alias("component_id")))
+    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), F.lit(recall).cast("double").alias("recall"), F.lit(audit["t"] or 0).cast("long").alias("audit_links"))
 
 
 def op7_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
