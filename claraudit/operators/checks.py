@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claraudit.functions import text
+from claraudit.operators.page_links import VALUE, values
 
 # Link texts that say nothing about the target.
 GENERIC_LINKS = r"click\s+here|here|read\s+more|more|learn\s+more|more\s+info(?:rmation)?|details|continue|go|link|this|see\s+more|view\s+more|find\s+out\s+more|click|tap|press\s+here|start|begin|open|show|hide|toggle"
@@ -15,51 +16,103 @@ def _has(pattern: str) -> Column:
     return F.col("html").rlike(pattern)
 
 
+def is_generic(link_text: Column) -> Column:
+    return F.lower(link_text).rlike(rf"^({GENERIC_LINKS})\.?$")
+
+
 def link_purpose(links: DataFrame, most: int = 2000) -> DataFrame:
     """Links with an accessible text and whether that is generic (2.4.9), the first `most` of each page."""
     order = Window.partitionBy("page_id").orderBy("pos")
     rows = links.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") <= most) & (F.col("text") != ""))
-    return rows.withColumn("generic", F.lower("text").rlike(rf"^({GENERIC_LINKS})\.?$")).drop("_r")
+    return rows.withColumn("generic", is_generic(F.col("text"))).drop("_r")
 
 
-def location(pages: DataFrame) -> DataFrame:
+def location_status() -> Column:
     """2.4.8: breadcrumb, current or selected entry, step, site map or structured data show where one is."""
-    signs = [r"(?i)breadcrumb", "(?i)pan-kuzu|panku-zu", '(?i)aria-current="(page|step)"', '(?i)aria-selected="true"', "(?i)site-?map"]
+    signs = [r"(?i)breadcrumb", "(?i)pan-kuzu|panku-zu", r"""(?i)aria-current\s*=\s*["']?(page|step)""", r"""(?i)aria-selected\s*=\s*["']?true""", "(?i)site-?map"]
     some = F.lit(False)
     for s in signs:
         some = some | _has(s)
-    return pages.withColumn("status", F.when(some, "pass").otherwise("incomplete"))
+    return F.when(some, "pass").otherwise("incomplete")
+
+
+def location(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("status", location_status())
+
+
+def ways() -> Column:
+    """2.4.5: how many there are of search, site map, navigation, breadcrumb and table of contents."""
+    kinds = [
+        r"""(?i)type\s*=\s*["']?search|role\s*=\s*["']?search|<form[^>]*(action|aria-label)\s*=\s*["']?[^"'>]*search""",
+        "(?i)site-?map",
+        r"""(?i)<nav[\s>]|role\s*=\s*["']?navigation""",
+        r"""(?i)(class|id|aria-label|itemtype)\s*=\s*["']?[^"'>]*breadcrumb""",
+        r"""(?i)(class|id|aria-label)\s*=\s*["']?[^"'>]*(\btoc\b|table of contents)""",
+    ]
+    return sum((_has(w).cast("long") for w in kinds), F.lit(0).cast("long"))
+
+
+def multiple_ways_status() -> Column:
+    return F.when(ways() >= 2, "pass").otherwise("incomplete")
 
 
 def multiple_ways(pages: DataFrame) -> DataFrame:
-    """2.4.5: two of search, site map, navigation, breadcrumb and table of contents."""
-    ways = [r'(?i)type="search"|role="search"|<form[^>]*(action|aria-label)="[^"]*search', "(?i)site-?map", r'(?i)<nav[ >]|role="navigation"', r'(?i)(class|id|aria-label|itemtype)="[^"]*breadcrumb', r'(?i)(class|id|aria-label)="[^"]*(\btoc\b|table of contents)']
-    n = sum((_has(w).cast("long") for w in ways), F.lit(0).cast("long"))
-    return pages.withColumn("ways", n).withColumn("status", F.when(F.col("ways") >= 2, "pass").otherwise("incomplete"))
+    return pages.withColumn("ways", ways()).withColumn("status", F.when(F.col("ways") >= 2, "pass").otherwise("incomplete"))
+
+
+def help_kinds() -> Column:
+    """3.2.6: which of help link, widget, phone number and mail address are there."""
+    kinds = {
+        "link": r"(?i)<a\s[^>]*>[^<]*(help|support|contact|faq)[^<]*</a",
+        "widget": r"""(?i)(class|id)\s*=\s*["']?[^"'>]*(chat|helpdesk|intercom|zendesk)""",
+        "phone": r"""(?i)href\s*=\s*["']?tel:""",
+        "mail": r"""(?i)href\s*=\s*["']?mailto:""",
+    }
+    return F.array_compact(F.array(*[F.when(_has(p), k) for k, p in kinds.items()]))
+
+
+def consistent_help_status() -> Column:
+    return F.when(F.size(help_kinds()) > 0, "pass").otherwise("incomplete")
 
 
 def consistent_help(pages: DataFrame) -> DataFrame:
-    """3.2.6: a help link, widget, phone number or mail address is there."""
-    kinds = {"link": r"(?i)<a [^>]*>[^<]*(help|support|contact|faq)[^<]*</a>", "widget": r'(?i)(class|id)="[^"]*(chat|helpdesk|intercom|zendesk)', "phone": '(?i)href="tel:', "mail": '(?i)href="mailto:'}
-    found = F.array_compact(F.array(*[F.when(_has(p), k) for k, p in kinds.items()]))
-    return pages.withColumn("kinds", F.array_join(found, ",")).withColumn("status", F.when(F.size(found) > 0, "pass").otherwise("incomplete"))
+    return pages.withColumn("_found", help_kinds()).withColumn("kinds", F.array_join("_found", ",")).withColumn("status", F.when(F.size("_found") > 0, "pass").otherwise("incomplete")).drop("_found")
 
 
-def pronunciation(pages: DataFrame, density: float = 0.05) -> DataFrame:
+def page_lang() -> Column:
+    groups = [F.regexp_extract("html", r"(?i)<html\b[^>]*\slang" + VALUE, i) for i in (1, 2, 3)]
+    return F.concat(*[F.coalesce(g, F.lit("")) for g in groups])
+
+
+def pronunciation_status(density: float = 0.05) -> Column:
     """3.1.6: pages in Chinese, Japanese or Korean, by language or density, need ruby where they have ideographs."""
-    lang = F.regexp_extract("html", r'(?i)<html[^>]* lang="([^"]*)"', 1)
     body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
-    applies = F.lower(lang).rlike("^(ja|zh|ko)(-|$)") | (text.cjk_ratio(body) >= density)
-    status = F.when(~applies, "pass").when(~body.rlike("[一-鿿]"), "pass").when(_has("(?i)<ruby[ >]"), "incomplete").otherwise("fail")
-    return pages.select("page_id", lang.alias("lang"), status.alias("status"))
+    applies = F.lower(page_lang()).rlike("^(ja|zh|ko)(-|$)") | (text.cjk_ratio(body) >= density)
+    return F.when(~applies, "pass").when(~body.rlike("[一-鿿]"), "pass").when(_has(r"(?i)<ruby[\s>]"), "incomplete").otherwise("fail")
+
+
+def pronunciation(pages: DataFrame, density: float = 0.05) -> DataFrame:
+    return pages.select("page_id", page_lang().alias("lang"), pronunciation_status(density).alias("status"))
+
+
+def _ids() -> Column:
+    return F.filter(values(r"(?i)\sid" + VALUE), lambda x: x != "")
+
+
+def _refs() -> Column:
+    lists = values(r"(?i)\s(?:aria-labelledby|aria-describedby|aria-controls|aria-owns|for)" + VALUE)
+    return F.filter(F.flatten(F.transform(lists, lambda r: F.split(r, r"\s+"))), lambda r: r != "")
+
+
+def parsing_status() -> Column:
+    """4.1.1: ids that occur again, or references to ids that aren't there."""
+    ids = _ids()
+    return F.when((F.size(ids) > F.size(F.array_distinct(ids))) | (F.size(F.array_except(_refs(), ids)) > 0), "fail").otherwise("pass")
 
 
 def html_parsing(pages: DataFrame) -> DataFrame:
-    """4.1.1: ids that occur again, and references to ids that aren't there."""
-    ids = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'\sid="([^"]+)"'), F.lit(1))).alias("id"))
-    refs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'\s(?:aria-labelledby|aria-describedby|aria-controls|aria-owns|for)="([^"]+)"'), F.lit(1))).alias("r"))
-    refs = refs.select("page_id", F.explode(F.split("r", " ")).alias("id")).filter("id <> ''")
-    again = ids.groupBy("page_id", "id").agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("page_id").agg(F.sum("n").alias("duplicate_ids"))
-    broken = refs.join(ids, ["page_id", "id"], "left_anti").groupBy("page_id").agg(F.count(F.lit(1)).alias("broken_refs"))
-    out = pages.select("page_id").join(again, "page_id", "left").join(broken, "page_id", "left").na.fill(0)
+    """4.1.1 with numbers of ids that occur again and of broken references. One scan, no shuffle: ids stay in their row."""
+    rows = pages.select("page_id", _ids().alias("ids"), _refs().alias("refs"))
+    rows = rows.withColumn("missing", F.array_except("refs", "ids"))
+    out = rows.select("page_id", (F.size("ids") - F.size(F.array_distinct("ids"))).cast("long").alias("duplicate_ids"), F.size(F.filter("refs", lambda r: F.array_contains("missing", r))).cast("long").alias("broken_refs"))
     return out.withColumn("status", F.when(F.col("duplicate_ids") + F.col("broken_refs") > 0, "fail").otherwise("pass"))

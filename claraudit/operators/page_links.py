@@ -1,20 +1,37 @@
-"""Links of raw pages: one row a link, in page order."""
+"""Links of raw pages: one row a link, in page order.
+
+Markup is read by regular expressions inside the scan's stage: any case, values in double or single quotes or in none.
+Tests hold the links against those of the parser in sources.html.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claraudit.functions import text, urls
 
-_LINK = r'<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+#: The three ways to write a value: of their groups the one that matched is filled.
+VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+LINK = r"(?is)<a(?:\s[^>]*?)?\shref" + VALUE + r"[^>]*>(.*?)</a\s*>"
+
+
+def values(pattern: str, column: str = "html") -> Column:
+    """What `pattern`, which ends in VALUE, finds, in page order."""
+    one, two, three = (F.regexp_extract_all(column, F.lit(pattern), F.lit(i)) for i in (1, 2, 3))
+    return F.zip_with(F.zip_with(one, two, lambda a, b: F.concat(a, b)), three, lambda a, b: F.concat(a, b))
+
+
+def link_array() -> Column:
+    """array<struct<href, text>> of every a[href]; markup inside a link's text is dropped."""
+    words = F.regexp_extract_all("html", F.lit(LINK), F.lit(4))
+    return F.zip_with(values(LINK), words, lambda href, x: F.struct(href.alias("href"), text.collapse(F.regexp_replace(x, "<[^>]*>", "")).alias("text")))
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """page_id, url, pos (from 1), href, text of every a[href]; markup inside a link's text is dropped."""
-    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(_LINK), F.lit(2)).alias("text"))
-    rows = pages.select("page_id", "url", F.posexplode(found).alias("i", "x"))
-    return rows.select("page_id", "url", (F.col("i") + 1).cast("long").alias("pos"), F.col("x.href").alias("href"), text.collapse(F.regexp_replace("x.text", "<[^>]*>", "")).alias("text"))
+    """page_id, url, pos (from 1), href, text of every a[href]."""
+    rows = pages.select("page_id", "url", F.posexplode(link_array()).alias("i", "x"))
+    return rows.select("page_id", "url", (F.col("i") + 1).cast("long").alias("pos"), F.col("x.href").alias("href"), F.col("x.text").alias("text"))
 
 
 def absolute_links(pages: DataFrame) -> DataFrame:
@@ -38,4 +55,4 @@ def page_summary(pages: DataFrame) -> DataFrame:
     def n(pattern: str):
         return F.size(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).cast("long")
 
-    return pages.select("page_id", n(_LINK).alias("links_found"), n("<h1[ >]").alias("headings"), n("<p[ >]").alias("paragraphs"), n("<li[ >]").alias("items"))
+    return pages.select("page_id", n(LINK).alias("links_found"), n(r"(?i)<h1[\s>]").alias("headings"), n(r"(?i)<p[\s>]").alias("paragraphs"), n(r"(?i)<li[\s>]").alias("items"))

@@ -12,9 +12,18 @@ from claraudit.plans.registry import Registry, table
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
-_LINK = r'<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+_LINK = page_links.LINK.replace("'", "''")
+_VALUE = page_links.VALUE.replace("'", "''")
+
+
+def _values_sql(pattern: str) -> str:
+    """What page_links.values() finds."""
+    one, two, three = (f"regexp_extract_all(html, '{pattern}', {i})" for i in (1, 2, 3))
+    return f"list_transform(list_zip({one}, {two}, {three}), lambda x: coalesce(nullif(x[1], ''), nullif(x[2], ''), nullif(x[3], ''), ''))"
+
+
 _LINKS_SQL = f"""
-raw AS (SELECT page_id, url, html, regexp_extract_all(html, '{_LINK}', 1) AS hs, regexp_extract_all(html, '{_LINK}', 2) AS ts FROM pages),
+raw AS (SELECT page_id, url, html, {_values_sql(_LINK)} AS hs, regexp_extract_all(html, '{_LINK}', 4) AS ts FROM pages),
 links AS (SELECT page_id, url, CAST(i AS BIGINT) AS pos, hs[i] AS href, trim(regexp_replace(regexp_replace(ts[i], '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS text FROM raw, unnest(generate_series(1, len(hs))) AS s(i)),
 parts AS (
   SELECT *, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS authority,
@@ -71,7 +80,7 @@ def src_link_cap(spark, sf_dir):
     return page_links.cap(page_links.absolute_links(table(spark, sf_dir, "pages")), 50).select("page_id", "pos", "target")
 
 
-@query("src_page_summary", f"WITH {_LINKS_SQL} SELECT p.page_id, coalesce(l.n, 0) AS links_found, CAST(len(regexp_extract_all(p.html, '<h1[ >]')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(p.html, '<p[ >]')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(p.html, '<li[ >]')) AS BIGINT) AS items FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n FROM links GROUP BY page_id) l ON l.page_id = p.page_id")
+@query("src_page_summary", f"WITH {_LINKS_SQL} SELECT p.page_id, coalesce(l.n, 0) AS links_found, CAST(len(regexp_extract_all(p.html, '(?i)<h1[\\s>]')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(p.html, '(?i)<p[\\s>]')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(p.html, '(?i)<li[\\s>]')) AS BIGINT) AS items FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n FROM links GROUP BY page_id) l ON l.page_id = p.page_id")
 def src_page_summary(spark, sf_dir):
     return page_links.page_summary(table(spark, sf_dir, "pages"))
 
@@ -126,7 +135,7 @@ def chk_consistent_help(spark, sf_dir):
 
 
 @query("chk_pronunciation", r"""
-WITH t AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)<html[^>]* lang="([^"]*)"', 1), ''), '') AS lang,
+WITH t AS (SELECT page_id, regexp_extract(html, '(?i)<html\b[^>]*\slang""" + _VALUE + r"""', 1) || regexp_extract(html, '(?i)<html\b[^>]*\slang""" + _VALUE + r"""', 2) || regexp_extract(html, '(?i)<html\b[^>]*\slang""" + _VALUE + r"""', 3) AS lang,
   regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS body, html FROM pages),
 d AS (SELECT *, length(regexp_replace(body, '[\x{4E00}-\x{9FFF}]', '', 'g')) AS rest, length(regexp_replace(body, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{AC00}-\x{D7AF}]', '', 'g')) AS not_cjk FROM t)
 SELECT page_id, lang, CASE WHEN NOT (regexp_matches(lower(lang), '^(ja|zh|ko)(-|$)') OR (length(body) > 0 AND (length(body) - not_cjk) * 1.0 / length(body) >= 0.05)) THEN 'pass'
@@ -135,9 +144,9 @@ def chk_pronunciation(spark, sf_dir):
     return checks.pronunciation(table(spark, sf_dir, "pages")).select("page_id", "lang", "status")
 
 
-_IDS = """
-ids AS (SELECT page_id, unnest(regexp_extract_all(html, '\\sid="([^"]+)"', 1)) AS id FROM pages),
-lists AS (SELECT page_id, unnest(regexp_extract_all(html, '\\s(?:aria-labelledby|aria-describedby|aria-controls|aria-owns|for)="([^"]+)"', 1)) AS l FROM pages),
+_IDS = f"""
+ids AS (SELECT page_id, unnest({_values_sql(r"(?i)\sid" + _VALUE)}) AS id FROM pages),
+lists AS (SELECT page_id, unnest({_values_sql(r"(?i)\s(?:aria-labelledby|aria-describedby|aria-controls|aria-owns|for)" + _VALUE)}) AS l FROM pages),
 refs AS (SELECT page_id, unnest(string_split(l, ' ')) AS ref FROM lists)"""
 
 
@@ -156,7 +165,8 @@ def st_dedup(spark, sf_dir):
 
 
 @query("audit_pages", f"""WITH a AS (SELECT '2.4.9' AS wcag_sc, CASE WHEN generic THEN 'fail' ELSE 'pass' END AS status FROM ({SQL["chk_link_purpose"]})
-  UNION ALL SELECT '2.4.8', status FROM ({SQL["chk_location"]}) UNION ALL SELECT '2.4.5', status FROM ({SQL["chk_multiple_ways"]}) UNION ALL SELECT '3.2.6', status FROM ({SQL["chk_consistent_help"]}))
+  UNION ALL SELECT '2.4.8', status FROM ({SQL["chk_location"]}) UNION ALL SELECT '2.4.5', status FROM ({SQL["chk_multiple_ways"]}) UNION ALL SELECT '3.2.6', status FROM ({SQL["chk_consistent_help"]})
+  UNION ALL SELECT '4.1.1', status FROM ({SQL["chk_html_parsing"]}) UNION ALL SELECT '3.1.6', status FROM ({SQL["chk_pronunciation"]}))
 SELECT wcag_sc, count(*) FILTER (status = 'fail') AS violations, count(*) FILTER (status = 'incomplete') AS needs_review, count(*) FILTER (status = 'pass') AS passes FROM a GROUP BY wcag_sc""")
 def audit_pages(spark, sf_dir):
     """The audit plan over raw pages: findings by criterion and status."""

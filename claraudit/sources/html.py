@@ -1,8 +1,11 @@
 """Elements of raw markup as rows: one tolerant pass over each page's HTML in Arrow batches, everything else on the rows.
 
 elements() gives a row for each element in document order: page_id, pos, tag, attrs (map), text (its own and its
-descendants' words, 500 characters at most), ancestors (positions, nearest first), ancestor tags and ids. It is the only
-Python here; forms, controls, media and moving content are DataFrame expressions over it.
+descendants' words, 500 characters at most), last (the position of its last descendant, so y lies in x where x.pos < y.pos
+<= x.last), ancestors (positions of the REACH nearest ones, nearest first), in_label and in_media (the nearest label, audio
+or video around it, however far) and hidden (itself or anything around it is). It is the only Python here; forms, controls,
+media and moving content are DataFrame expressions over it. A page's text is kept once, and an element is a range of it,
+so a page takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -11,67 +14,131 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claraudit.functions import text
 
-ELEMENT = "page_id long, pos int, tag string, attrs map<string,string>, text string, ancestors array<int>, ancestor_tags array<string>, hidden boolean"
+ELEMENT = "page_id long, pos int, tag string, attrs map<string,string>, text string, last int, ancestors array<int>, in_label int, in_media int, hidden boolean"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-TEXT_MOST, DEPTH = 500, 12
+#: Characters of an element's text; ancestors that features with a stated reach look up.
+TEXT_MOST, REACH = 500, 8
+# Which open elements a start tag ends, and within which parents it looks for them.
+_BLOCKS = "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul"
+_ENDS = {
+    **dict.fromkeys(_BLOCKS.split(), (frozenset(["p"]), frozenset("button td th caption object table".split()))),
+    "li": (frozenset(["li", "p"]), frozenset("ul ol menu".split())),
+    **dict.fromkeys(("dt", "dd"), (frozenset(["dt", "dd", "p"]), frozenset(["dl"]))),
+    "option": (frozenset(["option"]), frozenset("select datalist optgroup".split())),
+    "optgroup": (frozenset("option optgroup".split()), frozenset(["select"])),
+    "tr": (frozenset("tr td th".split()), frozenset(["table"])),
+    **dict.fromkeys(("td", "th"), (frozenset("td th".split()), frozenset("table tr".split()))),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (frozenset("thead tbody tfoot tr td th".split()), frozenset(["table"]))),
+    **dict.fromkeys(("rt", "rp"), (frozenset("rt rp".split()), frozenset(["ruby"]))),
+}
 
 
 class _Reader(HTMLParser):
-    """Collects elements; an end tag closes up to its start tag, or nothing if there is none."""
+    """Collects elements. An end tag closes up to its start tag, or nothing if there is none; start tags end what they imply
+    the end of."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[dict] = []
+        self.rows: list[list] = []  # tag, attrs, start, end, last, ancestors, label, media, hidden
         self.open: list[int] = []
+        self.counts: dict[str, int] = {}  # open elements of each tag
+        self.words: list[str] = []
+        self.size = 0
+
+    def _close(self, depth: int) -> None:
+        """End the open elements from `depth` on."""
+        for i in self.open[depth:]:
+            row = self.rows[i]
+            row[3], row[4] = self.size, len(self.rows) - 1
+            self.counts[row[0]] -= 1
+        del self.open[depth:]
+
+    def _imply(self, tag: str) -> None:
+        ends, within = _ENDS[tag]
+        if not any(self.counts.get(x) for x in ends):
+            return
+        found = None
+        for d in range(len(self.open) - 1, -1, -1):
+            name = self.rows[self.open[d]][0]
+            if name in within:
+                break
+            if name in ends:
+                found = d
+        if found is not None:
+            self._close(found)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        row = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": [], "ancestors": self.open[::-1][:DEPTH]}
-        self.rows.append(row)
+        if tag in _ENDS:
+            self._imply(tag)
+        own = {k: v or "" for k, v in attrs}
+        up = self.rows[self.open[-1]] if self.open else None
+        label, media = (up[6], up[7]) if up else (None, None)
+        if up and up[0] == "label":
+            label = self.open[-1]
+        if up and up[0] in ("audio", "video"):
+            media = self.open[-1]
+        at = len(self.rows)
+        self.rows.append([tag, own, self.size, self.size, at, self.open[: -REACH - 1 : -1], label, media, _is_hidden(own) or bool(up and up[8])])
         if tag not in VOID:
-            self.open.append(len(self.rows) - 1)
+            self.open.append(at)
+            self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[i]]["tag"] == tag:
-                del self.open[i:]
-                return
+        if self.counts.get(tag):
+            d = len(self.open) - 1
+            while self.rows[self.open[d]][0] != tag:
+                d -= 1
+            self._close(d)
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.rows[self.open[-1]]["tag"] in ("script", "style"):
+        if self.open and self.rows[self.open[-1]][0] in ("script", "style"):
             return
-        for i in self.open:
-            self.rows[i]["text"].append(data)
-
-
-def _is_hidden(row: dict) -> bool:
-    a = row["attrs"]
+        words = " ".join(data.split())
+        if data[:1].isspace() or not words:
+            words = " " + words
+        if words != " " and data[-1:].isspace():
+            words += " "
+        if words[0] == " " and (not self.words or self.words[-1][-1] == " "):
+            words = words[1:]
+        if words:
+            self.words.append(words)
+            self.size += len(words)
+
+    def done(self) -> str:
+        self.close()
+        self._close(0)
+        return "".join(self.words)
+
+
+def _is_hidden(a: dict) -> bool:
     style = a.get("style", "").replace(" ", "").lower()
     return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or a.get("type") == "hidden"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.bool_()]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.bool_()]
+    names = ["page_id", "pos", "tag", "attrs", "text", "last", "ancestors", "in_label", "in_media", "hidden"]
     for batch in batches:
         out: list[tuple] = []
         for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             reader = _Reader()
             reader.feed(html or "")
-            reader.close()
-            gone = [_is_hidden(r) for r in reader.rows]
-            for i, r in enumerate(reader.rows):
-                out.append((page, i, r["tag"], list(r["attrs"].items()), " ".join("".join(r["text"]).split())[:TEXT_MOST], r["ancestors"], [reader.rows[j]["tag"] for j in r["ancestors"]], gone[i] or any(gone[j] for j in r["ancestors"])))
+            words = reader.done()
+            for i, (tag, attrs, start, end, last, around, label, media, hidden) in enumerate(reader.rows):
+                own = words[start : min(end, start + TEXT_MOST + 1)].strip()[:TEXT_MOST]
+                out.append((page, i, tag, list(attrs.items()), own, last, around, label, media, hidden))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in ("page_id long", "pos int", "tag string", "attrs map", "text string", "ancestors array", "ancestor_tags array", "hidden boolean")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
 def elements(pages: DataFrame) -> DataFrame:
@@ -104,17 +171,16 @@ def resolve_refs(els: DataFrame, name: str) -> DataFrame:
 def forms(els: DataFrame) -> DataFrame:
     """A row for each visible input, select and textarea: how it is labelled and what names its errors."""
     fields = els.filter(F.col("tag").isin("input", "select", "textarea") & ~F.col("hidden") & ~F.coalesce(attr("type"), F.lit("text")).isin("hidden", "submit", "button", "reset", "image"))
-    fields = fields.select("page_id", "pos", "tag", "ancestors", F.lower(F.coalesce(attr("type"), F.when(F.col("tag") == "input", "text").otherwise(F.col("tag")))).alias("type"), attr("id").alias("id"), attr("name").alias("name"), attr("placeholder").alias("placeholder"), attr("aria-label").alias("aria_label"), attr("aria-labelledby").alias("aria_labelledby"), attr("aria-describedby").alias("aria_describedby"), F.array_contains(F.map_keys("attrs"), "required").alias("required"), attr("aria-required").alias("aria_required"), attr("autocomplete").alias("autocomplete"))
+    fields = fields.select("page_id", "pos", "tag", F.col("in_label").alias("label_pos"), F.lower(F.coalesce(attr("type"), F.when(F.col("tag") == "input", "text").otherwise(F.col("tag")))).alias("type"), attr("id").alias("id"), attr("name").alias("name"), attr("placeholder").alias("placeholder"), attr("aria-label").alias("aria_label"), attr("aria-labelledby").alias("aria_labelledby"), attr("aria-describedby").alias("aria_describedby"), F.array_contains(F.map_keys("attrs"), "required").alias("required"), attr("aria-required").alias("aria_required"), attr("autocomplete").alias("autocomplete"))
     explicit = labels(els).groupBy("page_id", "for_id").agg(F.first("label").alias("label")).withColumnRenamed("for_id", "id")
-    wrap = els.filter("tag = 'label'").select("page_id", F.col("pos").alias("label_pos"), F.col("text").alias("wrapping"))
-    wrapped = fields.select("page_id", "pos", F.explode("ancestors").alias("label_pos")).join(wrap, ["page_id", "label_pos"]).groupBy("page_id", "pos").agg(F.max_by("wrapping", "label_pos").alias("wrapping"))
+    wrapped = els.filter("tag = 'label'").select("page_id", F.col("pos").alias("label_pos"), F.col("text").alias("wrapping"))
     refs = els.select("page_id", "pos", F.posexplode(F.split(F.trim(attr("aria-describedby")), r"\s+")).alias("i", "id")).filter("id <> ''").join(id_text(els), ["page_id", "id"])
     live = F.coalesce(F.element_at("id_attrs", "role") == "alert", F.lit(False)) | F.coalesce(F.element_at("id_attrs", "aria-live").isin("assertive", "polite"), F.lit(False))
     error = refs.groupBy("page_id", "pos").agg(F.min_by(F.struct("id", "id_text", "id_attrs"), F.struct((~live).alias("quiet"), "i")).alias("e"))
     error = error.select("page_id", "pos", F.col("e.id").alias("error_element_id"), F.coalesce(F.element_at("e.id_attrs", "role") == "alert", F.lit(False)).alias("error_has_role_alert"), F.element_at("e.id_attrs", "aria-live").alias("error_has_aria_live"))
-    out = fields.join(explicit, ["page_id", "id"], "left").join(wrapped, ["page_id", "pos"], "left").join(error, ["page_id", "pos"], "left")
+    out = fields.join(explicit, ["page_id", "id"], "left").join(wrapped, ["page_id", "label_pos"], "left").join(error, ["page_id", "pos"], "left")
     out = out.withColumn("label_text", text.first_filled(F.col("label"), F.col("wrapping"), F.col("aria_label")))
-    return out.withColumn("has_any_label", F.col("label_text").isNotNull() | (F.coalesce("aria_labelledby", F.lit("")) != "")).drop("ancestors")
+    return out.withColumn("has_any_label", F.col("label_text").isNotNull() | (F.coalesce("aria_labelledby", F.lit("")) != "")).drop("label_pos")
 
 
 ROLES = ("button", "link", "checkbox", "radio", "switch", "menuitem", "menuitemcheckbox", "menuitemradio", "option", "tab", "textbox", "combobox", "slider")
@@ -143,7 +209,7 @@ def visible_label(value: Column) -> Column:
 def media(els: DataFrame) -> DataFrame:
     """Audio and video with their tracks and sources."""
     own = els.filter(F.col("tag").isin("audio", "video"))
-    inner = els.filter(F.col("tag").isin("track", "source")).select("page_id", F.explode("ancestors").alias("pos"), F.col("tag").alias("t"), F.col("attrs").alias("a"), F.col("pos").alias("p"))
+    inner = els.filter(F.col("tag").isin("track", "source")).filter("in_media is not null").select("page_id", F.col("in_media").alias("pos"), F.col("tag").alias("t"), F.col("attrs").alias("a"), F.col("pos").alias("p"))
     per = inner.groupBy("page_id", "pos").agg(F.array_compact(F.transform(F.array_sort(F.collect_list(F.when(F.col("t") == "track", F.struct("p", F.element_at("a", "kind").alias("kind"), F.element_at("a", "src").alias("src"))))), lambda x: F.struct(x["kind"].alias("kind"), x["src"].alias("src")))).alias("tracks"), F.min_by(F.element_at("a", "src"), F.when(F.col("t") == "source", F.col("p"))).alias("source"))
     keys = F.map_keys("attrs")
     return own.join(per, ["page_id", "pos"], "left").select("page_id", "pos", "tag", F.coalesce(attr("src"), F.col("source")).alias("src"), *[F.array_contains(keys, k).alias(k) for k in ("muted", "loop", "autoplay", "controls")], F.coalesce("tracks", F.array().cast("array<struct<kind:string,src:string>>")).alias("tracks"))
@@ -161,13 +227,13 @@ TEXT_TAGS = ("p", "li", "td", "th", "label", "button", "a", "span", "h1", "h2",
 
 def sensory(els: DataFrame, least: int = 3, least_cjk: int = 1) -> DataFrame:
     """Visible elements that bear text, without those around another one, and the heading before each."""
-    from pyspark.sql import Window
-
     own = els.filter(F.col("tag").isin(*TEXT_TAGS) & ~F.col("hidden"))
     own = own.filter(F.length("text") >= F.when(text.cjk_ratio(F.col("text")) >= 0.15, least_cjk).otherwise(least))
-    around = own.select("page_id", F.explode("ancestors").alias("pos")).distinct()
-    heading = F.last(F.when(F.col("tag").rlike("^h[1-6]$"), F.col("text")), ignorenulls=True).over(Window.partitionBy("page_id").orderBy("pos"))
-    return own.withColumn("nearest_heading", heading).join(around, ["page_id", "pos"], "left_anti").select("page_id", "pos", "tag", "text", "nearest_heading")
+    order = Window.partitionBy("page_id").orderBy("pos")
+    heading = F.last(F.when(F.col("tag").rlike("^h[1-6]$"), F.col("text")), ignorenulls=True).over(order)
+    # in document order the next one lies inside, if any does
+    around = F.coalesce(F.lead("pos").over(order) <= F.col("last"), F.lit(False))
+    return own.withColumn("nearest_heading", heading).withColumn("_around", around).filter("not _around").select("page_id", "pos", "tag", "text", "nearest_heading")
 
 
 def without_consent(els: DataFrame) -> DataFrame:
