@@ -89,14 +89,14 @@ def merge_findings(findings: DataFrame, first: str = "python") -> DataFrame:
     first; of the others the first one, where the preferred has none. Findings without identity all stay, behind the rest.
     Adds merged_pos, which orders the result."""
     rows = findings.withColumn("_key", identity()).withColumn("_other", (F.col("source") != first).cast("int"))
-    keyed = rows.filter("_key <> ''")
-    w = Window.partitionBy("wcag_sc", "status", "_key")
+    # one without identity is a group of its own: a single pass, and no group grows with their number
+    rows = rows.withColumn("_own", F.when(F.col("_key") == "", F.monotonically_increasing_id()))
+    w = Window.partitionBy("wcag_sc", "status", "_key", "_own")
     pick = w.orderBy("_other", F.when(F.col("_other") == 0, -F.col("pos")).otherwise(F.col("pos")))
     place = F.min(F.struct("_other", "pos")).over(w)
-    kept = keyed.withColumn("_r", F.row_number().over(pick)).withColumn("_p", place).filter("_r = 1")
-    kept = kept.withColumn("merged_pos", F.struct(F.lit(0).alias("block"), F.col("_p._other").alias("other"), F.col("_p.pos").alias("pos"))).drop("_r", "_p")
-    free = rows.filter("_key = ''").withColumn("merged_pos", F.struct(F.lit(1).alias("block"), F.col("_other").alias("other"), F.col("pos").alias("pos")))
-    return kept.unionByName(free).drop("_key", "_other")
+    kept = rows.withColumn("_r", F.row_number().over(pick)).withColumn("_p", place).filter("_r = 1")
+    block = F.when(F.col("_own").isNull(), 0).otherwise(1)
+    return kept.withColumn("merged_pos", F.struct(block.alias("block"), F.col("_p._other").alias("other"), F.col("_p.pos").alias("pos"))).drop("_r", "_p", "_key", "_other", "_own")
 
 
 def order_by_status(findings: DataFrame) -> DataFrame:
@@ -104,6 +104,18 @@ def order_by_status(findings: DataFrame) -> DataFrame:
     return findings.orderBy(status_rank(F.col("status")), "pos")
 
 
+def placed_by_status(findings: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Each finding with its place (from 1) in that order. Ranges of pos of about `rows` findings are ordered by themselves
+    and follow the counts of those before them, so no task orders the table."""
+    facts = findings.agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    width = max(1, ((facts["high"] or 0) - (facts["low"] or 0)) // max(1, facts["n"] // rows) + 1)
+    ranked = findings.withColumn("_r", status_rank(F.col("status"))).withColumn("_b", F.floor((F.col("pos") - (facts["low"] or 0)) / width))
+    counts = ranked.groupBy("_r", "_b").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    before = counts.select("_r", "_b", (F.sum("_n").over(Window.orderBy("_r", "_b")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_r", "_b").orderBy("pos"))
+    return ranked.withColumn("_i", inside).join(F.broadcast(before), ["_r", "_b"]).withColumn("place", F.col("_before") + F.col("_i")).drop("_r", "_b", "_before", "_i")
+
+
 def first_per_status(findings: DataFrame, most: int, *by: str) -> DataFrame:
     """The first `most` findings of each status (of each group)."""
     w = Window.partitionBy(*by, "status").orderBy("pos")

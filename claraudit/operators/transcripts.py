@@ -2,62 +2,54 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WER_PASS, WER_FAIL, OVERLAP = 0.15, 0.40, 0.30
-# Sounds that descriptors name.
+# Sounds that descriptors name, in English and Japanese.
 SOUNDS = ("applause", "laughter", "music", "silence", "pause", "noise", "clapping", "cheering", "alarm", "beep", "crash", "door", "phone", "inaudible", "crosstalk", "sound", "sigh", "cough", "crying", "singing", "humming", "whistling", "thunder", "rain", "wind", "footsteps", "knock", "ring", "buzz", "click", "snap", "pop", "gasp", "scream", "whisper", "mumbling", "static", "feedback")
-# How transcripts mark speakers.
+SOUNDS_JA = ("拍手", "笑い声", "音楽", "静寂", "沈黙", "休止", "雑音", "ノイズ", "手拍子", "歓声", "アラーム", "ビープ音", "衝突音", "ドア", "電話", "聞き取り不能", "クロストーク", "音", "ため息", "咳", "泣き声", "歌", "鼻歌", "口笛", "雷", "雨", "風", "足音", "ノック", "ベル", "ブザー", "クリック", "スナップ", "破裂音", "喘ぎ", "悲鳴", "ささやき", "つぶやき", "スタティック", "フィードバック")
+# How transcripts mark speakers, in English and Japanese.
 SPEAKERS = (r"(?m)^[A-Z][a-zA-Z\s]{1,30}:\s", r"(?m)\[[A-Z][a-zA-Z\s]{1,30}\]", r"(?mi)^Speaker\s\d+:", r"(?mi)^Interviewer:", r"(?mi)^Host:", r"(?mi)^Narrator:", r"(?mi)^Moderator:")
 
 
-def word_errors(a: list[str], b: list[str]) -> int:
-    """Word-level edit distance, one numpy row at a time: insertions within a row are a running minimum."""
-    code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = np.array([code[w] for w in a], np.int64), np.array([code[w] for w in b], np.int64)
-    steps = np.arange(len(y) + 1)
-    row = steps.copy()
-    for i, w in enumerate(x.tolist(), 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != w))
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row[-1])
+SPEAKERS_JA = (r"(?m)^[^\s：]{1,10}：", r"(?m)^【[^\s】]{1,10}】", r"(?m)^話者\s?\d+：", r"(?m)^インタビュアー：", r"(?m)^ホスト：", r"(?m)^ナレーター：", r"(?m)^司会：")
 
 
-def _wer(reference: pd.Series, text: pd.Series) -> pd.Series:
-    out = []
-    for r, t in zip(reference, text, strict=True):
-        a, b = (r or "").lower().split(), (t or "").lower().split()
-        out.append(word_errors(a, b) / len(a) if a and b else None)
-    return pd.Series(out, dtype="float64")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+
+
+def _coded(words: Column, known: Column) -> Column:
+    """One character for each word, from the supplementary planes: its number among the words of both texts."""
+    point = lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")
+    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(point(w)), "UTF-32")), "")
 
 
 def wer(reference: Column | str, text: Column | str) -> Column:
-    """Word error rate; null where either is empty. Spark's levenshtein counts characters, so words take an Arrow UDF."""
-    return F.pandas_udf(_wer, "double")(reference, text)
+    """Word error rate; null where either is empty. Words become characters, whose edit distance is a built-in function."""
+    a, b = (_words(F.col(c) if isinstance(c, str) else c) for c in (reference, text))
+    known = F.array_union(a, b)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.levenshtein(_coded(a, known), _coded(b, known)) / F.size(a))
 
 
 def wer_status(score: Column) -> Column:
     return F.when(score <= WER_PASS, "PASSED").when(score > WER_FAIL, "FAILED").otherwise("NEEDS_REVIEW")
 
 
-def speaker_labels(text: Column) -> Column:
-    """How many marks of speakers a text has, over all patterns."""
-    return sum((F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))) for p in SPEAKERS), F.lit(0))
+def speaker_labels(text: Column, lang: str = "en") -> Column:
+    """How many marks of speakers a text has, over all patterns of the language."""
+    return sum((F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))) for p in (SPEAKERS_JA if lang == "ja" else SPEAKERS)), F.lit(0))
 
 
 def speaker_status(labels: Column, segments: Column) -> Column:
     return F.when(labels > 0, "PASSED").when(segments <= 3, "NEEDS_REVIEW").otherwise("FAILED")
 
 
-def sound_status(text: Column) -> Column:
+def sound_status(text: Column, lang: str = "en") -> Column:
     """No descriptor in brackets fails; one that names a known sound passes."""
     found = F.concat(F.regexp_extract_all(text, F.lit(r"[\[【]([^\]】]+)[\]】]"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"[(（]([^)）]+)[)）]"), F.lit(1)))
-    known = F.exists(found, lambda d: F.lower(d).rlike("|".join(SOUNDS)))
+    known = F.exists(found, lambda d: F.lower(d).rlike("|".join(SOUNDS_JA if lang == "ja" else SOUNDS)))
     return F.when(F.size(found) == 0, "FAILED").when(known, "PASSED").otherwise("NEEDS_REVIEW")
 
 

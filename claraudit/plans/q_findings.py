@@ -112,12 +112,9 @@ def agg_dashboard_levels(spark, sf_dir):
     return spark.sql("SELECT explode(array('A', 'AA', 'AAA')) AS level").join(n, "level", "left").na.fill(0, ["n"])
 
 
-@query("sort_status", f"WITH {_F} SELECT pos, row_number() OVER (ORDER BY CASE status WHEN 'fail' THEN 0 WHEN 'needs_review' THEN 1 WHEN 'pass' THEN 2 ELSE 3 END, pos) AS place FROM f ORDER BY place LIMIT 500")
+@query("sort_status", f"WITH {_F} SELECT pos, row_number() OVER (ORDER BY CASE status WHEN 'fail' THEN 0 WHEN 'needs_review' THEN 1 WHEN 'pass' THEN 2 ELSE 3 END, pos) AS place FROM f")
 def sort_status(spark, sf_dir):
-    top = fi.order_by_status(findings(spark, sf_dir)).limit(500).select("pos", fi.status_rank(F.col("status")).alias("r"))
-    from pyspark.sql import Window
-
-    return top.select("pos", F.row_number().over(Window.orderBy("r", "pos")).cast("long").alias("place"))  # of the 500 rows shown
+    return fi.placed_by_status(findings(spark, sf_dir)).select("pos", F.col("place").cast("long").alias("place"))
 
 
 @query("sort_sc_numeric", f"WITH {_F} SELECT wcag_sc, CAST(row_number() OVER (ORDER BY a, b, c) AS BIGINT) AS place FROM (SELECT DISTINCT wcag_sc, coalesce(TRY_CAST(split_part(wcag_sc, '.', 1) AS INT), 999) AS a, coalesce(TRY_CAST(split_part(wcag_sc, '.', 2) AS INT), -1) AS b, coalesce(TRY_CAST(split_part(wcag_sc, '.', 3) AS INT), -1) AS c FROM f)")

@@ -10,7 +10,7 @@ from claraudit.operators import rules_static as st
 from claraudit.plans.q_geometry import _BOX, boxes
 from claraudit.plans.q_rules import _LABEL, _MEDIA, _MOVE
 from claraudit.plans.registry import Records, Registry, table
-from claraudit.sources import crawl, sinks
+from claraudit.sources import crawl, records, sinks
 from claraudit.sources.catalogue import catalogue, keyword_terms, values_sql
 
 query = Registry()
@@ -68,15 +68,13 @@ _FLAT = R(el_html=[None, "<a>"], html_snippet=["<b>", None, ""], el_selector=[No
 
 @query("prj_flatten", f"WITH r AS ({_FLAT.cte()}) SELECT k, coalesce(nullif(html_snippet, ''), el_html, '') AS element_html, coalesce(el_selector, selector, split_part(target, ',', 1)) AS element_selector FROM r")
 def prj_flatten(spark, sf_dir):
-    first = F.get(F.split("target", ","), 0)
-    return _FLAT.frame(spark, sf_dir).select("k", F.coalesce(F.nullif("html_snippet", F.lit("")), "el_html", F.lit("")).alias("element_html"), F.coalesce("el_selector", "selector", first).alias("element_selector"))
+    c = F.col
+    return _FLAT.frame(spark, sf_dir).select("k", *records.flat_element(c("html_snippet"), c("el_html"), [c("el_selector"), c("selector")], c("target")))
 
 
 @query("agg_form_summary", f"WITH r AS ({_LABEL.cte()}) SELECT count(*) AS total, count(*) FILTER (NOT has_any_label) AS missing_label, count(*) FILTER (required OR coalesce(lower(aria_required), '') = 'true') AS required, round(count(*) FILTER (has_any_label) * CAST(100 AS DOUBLE) / count(*), 1) AS labelled_rate FROM r")
 def agg_form_summary(spark, sf_dir):
-    f = _LABEL.frame(spark, sf_dir)
-    need = st.yes("required") | (F.lower(F.coalesce("aria_required", F.lit(""))) == "true")
-    return f.agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("has_any_label")).alias("missing_label"), F.count_if(need).alias("required"), reports.pass_rate(F.count_if("has_any_label"), F.count(F.lit(1))).alias("labelled_rate"))
+    return records.form_summary(_LABEL.frame(spark, sf_dir))
 
 
 _STATUS_SQL = "count(*) AS total, count(*) FILTER (status IN ('PASSED', 'FAILED')) AS checked, count(*) FILTER (status = 'PASSED') AS passed, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'NEEDS_REVIEW') AS needs_review, count(*) FILTER (status = 'N/A') AS not_applicable"
@@ -111,7 +109,7 @@ _SENS = R(page=["a", "b", "c"], categories=["shape,color", "color", "size"], sta
 
 @query("agg_sensory_summary", f"WITH r AS ({_SENS.cte()}) SELECT c AS category, count(*) AS n, count(DISTINCT page) AS pages FROM (SELECT page, unnest(string_split(categories, ',')) AS c FROM r WHERE status = 'FAILED') GROUP BY c")
 def agg_sensory_summary(spark, sf_dir):
-    return _SENS.frame(spark, sf_dir).filter("status = 'FAILED'").select("page", F.explode(F.split("categories", ",")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page").alias("pages"))
+    return records.sensory_summary(_SENS.frame(spark, sf_dir))
 
 
 _DENS = R(verbs=[0, 5, 20], adjectives=[0, 4, 9], n_words=[0, 50, 200])
@@ -152,7 +150,10 @@ def src_normalize_records(spark, sf_dir):
     return good.agg(F.count(F.lit(1)).alias("good")).join(bad.agg(F.count(F.lit(1)).alias("bad")), F.lit(True))  # a row each
 
 
-@query("src_bfs_crawl")
+@query("src_bfs_crawl", """WITH l AS (SELECT CAST(o_custkey % 200 AS VARCHAR) AS source, CAST(o_orderkey * 7 % 200 AS VARCHAR) AS target, o_orderkey AS place FROM orders),
+d1 AS (SELECT target AS url, row_number() OVER (ORDER BY place, target) AS r FROM (SELECT target, min(place) AS place FROM l WHERE source = '0' AND target <> '0' GROUP BY target) QUALIFY r <= 9),
+d2 AS (SELECT target AS url, row_number() OVER (ORDER BY first_at, target) AS r FROM (SELECT l.target, min(d1.r * 1000000000000 + l.place) AS first_at FROM l JOIN d1 ON l.source = d1.url WHERE l.target <> '0' AND l.target NOT IN (SELECT url FROM d1) GROUP BY l.target) QUALIFY r <= 9 - (SELECT count(*) FROM d1))
+SELECT '0' AS url, 0 AS depth UNION ALL SELECT url, 1 FROM d1 UNION ALL SELECT url, 2 FROM d2""")
 def src_bfs_crawl(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     links = o.select((F.col("o_custkey") % 200).cast("string").alias("source"), (F.col("o_orderkey") * 7 % 200).cast("string").alias("target"), F.col("o_orderkey").alias("place"))
@@ -174,7 +175,7 @@ def ext_context(spark, sf_dir):
 
 @query("ext_targets", f"WITH {_BOX} SELECT id, w < 24 OR h < 24 AS small, fixed AS inline FROM b")
 def ext_targets(spark, sf_dir):
-    return boxes(spark, sf_dir).select("id", ((F.col("w") < 24) | (F.col("h") < 24)).alias("small"), F.col("fixed").alias("inline"))
+    return records.targets(boxes(spark, sf_dir).withColumnRenamed("fixed", "in_paragraph")).select("id", "small", "inline")
 
 
 @query("fn_percentile_contrast", "SELECT l_orderkey AS image, round(quantile_cont(l_quantity / 50, 0.05), 6) AS dark, round(quantile_cont(l_quantity / 50, 0.95), 6) AS light FROM lineitem GROUP BY l_orderkey")

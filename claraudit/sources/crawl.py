@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claraudit.functions import urls
@@ -27,9 +27,8 @@ def bfs(seeds: DataFrame, links: DataFrame, *, max_depth: int, max_pages: int) -
     seeds: url; links: source, target, place. The frontier and the visited set are limited by max_pages, so each round is
     a join of a small side with the link table."""
     spark = seeds.sparkSession
-    first = Window.orderBy("url")
-    frontier = seeds.distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= max_pages)
-    frontier = spark.createDataFrame(frontier.collect(), frontier.schema)  # max_pages rows at most
+    first = seeds.select("url").distinct().orderBy("url").limit(max_pages).collect()  # max_pages rows at most
+    frontier = spark.createDataFrame([(r["url"], i) for i, r in enumerate(first)], "url string, rank int")
     visited = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
         room = max_pages - visited.count()

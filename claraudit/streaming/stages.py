@@ -3,6 +3,7 @@ form with the same result, for replay and for tests."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,46 +29,57 @@ def stage_records(events: DataFrame) -> DataFrame:
     return out.select("job", "stage", "started", "ended", F.when(F.col("_end").isNull(), "running").when(F.col("_end") == "complete", "completed").otherwise("failed").alias("status"))
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    running = list(state.get[0]) if state.exists else []
-    rows = pd.concat(frames).sort_values(["at", "seq"])
-    done = []
-    for at, kind in zip(rows["at"], rows["kind"], strict=True):
-        if kind == "start":
-            running.append(float(at))
-        elif running:
-            done.append((key[0], key[1], running.pop(0), float(at), "completed" if kind == "complete" else "failed"))
-    state.update((running,))
-    yield pd.DataFrame(done, columns=["job", "stage", "started", "ended", "status"])
+def _advance(seconds: float):
+    def one(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        running = list(state.get[0]) if state.exists else []
+        rows = pd.concat(frames).sort_values(["at", "seq"])
+        done = []
+        for at, kind in zip(rows["at"], rows["kind"], strict=True):
+            if kind == "start":
+                running.append(float(at))
+            elif running:
+                done.append((key[0], key[1], running.pop(0), float(at), "completed" if kind == "complete" else "failed"))
+        running = [x for x in running if x > float(rows["at"].iloc[-1]) - seconds]
+        if running:
+            state.update((running,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(done, columns=["job", "stage", "started", "ended", "status"])
+
+    return one
 
 
-def stage_stream(events: DataFrame) -> DataFrame:
-    """Streaming: finished stage records, with the running ones of each (job, stage) as state."""
-    return events.groupBy("job", "stage").applyInPandasWithState(_advance, STAGE, "running array<double>", "append", GroupStateTimeout.NoTimeout)
+def stage_stream(events: DataFrame, seconds: float = 24 * TTL_SECONDS) -> DataFrame:
+    """Streaming: finished stage records. State is the running ones of each (job, stage), without those that have run for
+    longer than `seconds`; a stage with none leaves no state."""
+    return events.groupBy("job", "stage").applyInPandasWithState(_advance(seconds), STAGE, "running array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def _allow(limit: int, seconds: float):
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "seq"])
-        kept: list[float] = []
-        first, verdict = 0, []
-        for at in rows["at"].tolist():
-            while first < len(kept) and kept[first] <= at - seconds:
-                first += 1
-            ok = len(kept) - first < limit
-            verdict.append(ok)
-            if ok:
-                kept.append(at)
-        rows["accepted"] = verdict
-        return rows[["key", "seq", "accepted"]]
-
-    return one
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, deque()
+        for rows in frames:
+            out = []
+            for key, at in zip(rows["key"].tolist(), rows["at"].tolist(), strict=True):
+                if key != now:
+                    now, kept = key, deque()
+                while kept and kept[0] <= at - seconds:
+                    kept.popleft()
+                out.append(len(kept) < limit)
+                if out[-1]:
+                    kept.append(at)
+            rows["accepted"] = out
+            yield rows[["key", "seq", "accepted"]]
+
+    return run
 
 
 def rate_limit(requests: DataFrame, limit: int = LIMIT, seconds: float = SECONDS) -> DataFrame:
     """Batch: requests (key, at, seq) with whether each is accepted: fewer than `limit` accepted ones of its key in the
-    trailing window; rejected ones don't count."""
-    return requests.groupBy("key").applyInPandas(_allow(limit, seconds), "key long, seq long, accepted boolean")
+    trailing window; rejected ones don't count. Each partition is read in order once; what is remembered is at most `limit`
+    times of one key, however many requests it has."""
+    ordered = requests.select("key", "at", "seq").repartition("key").sortWithinPartitions("key", "at", "seq")
+    return ordered.mapInPandas(_allow(limit, seconds), "key long, seq long, accepted boolean")
 
 
 def _allow_state(limit: int, seconds: float):
@@ -130,7 +142,9 @@ def step_log(stream: DataFrame, path: str, checkpoint: str):
 
 
 def dedup_stream(events: DataFrame, *keys: str, at: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Each key once; with an event time, within a watermark, so that state stays bounded."""
+    """Each key once. A stream needs an event time: keys are remembered for the watermark's delay only."""
+    if events.isStreaming and at is None:
+        raise ValueError("a stream without event time would remember its keys for ever")
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys)) if at else events.dropDuplicates(list(keys))
 
 

@@ -33,3 +33,23 @@ def test_user_rule(spark):
         assert report.findings.filter("rule_id = 'has_title'").count() == spark.read.parquet(f"{DATA}/pages.parquet").count()
     finally:
         del au.RULES["has_title"]
+
+
+def test_failing_rule_is_isolated(spark, tmp_path):
+    @au.rule("breaks", "2.4.2", "pages")
+    def breaks(pages):
+        return pages.select(F.col("url").alias("page_url"), F.raise_error(F.lit("no")).cast("string").alias("status"))
+
+    try:
+        report = au.audit(spark, {"pages": spark.read.parquet(f"{DATA}/pages.parquet")}, au.AuditConfig(level="AAA", criteria=("2.4.2", "2.4.8"), isolate=str(tmp_path)))
+        found = report.findings.collect()
+        assert [r.status for r in found if r.rule_id == "breaks"] == ["needs_review"] and any(r.rule_id == "location" for r in found)
+        assert [w[0] for w in report.warnings] == ["breaks"]
+    finally:
+        del au.RULES["breaks"]
+
+
+def test_rules_of_one_table_share_a_scan(spark):
+    report = au.audit(spark, {"pages": spark.read.parquet(f"{DATA}/pages.parquet")}, au.AuditConfig(level="AAA"))
+    plan = report.findings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] parquet") == 1

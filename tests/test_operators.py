@@ -14,7 +14,7 @@ from claraudit.sources.catalogue import catalogue, keyword_terms
 from claraudit.streaming import stages as sg
 
 
-def test_word_errors():
+def test_word_errors(spark):
     def slow(a, b):
         d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
         for i in range(1, len(a) + 1):
@@ -23,9 +23,10 @@ def test_word_errors():
         return d[-1][-1]
 
     rng = random.Random(1)
-    for _ in range(200):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(1, 9))] for _ in range(2))
-        assert tr.word_errors(a, b) == slow(a, b)
+    pairs = [tuple(" ".join(rng.choice(["Ab", "b", "ç", "dd"]) for _ in range(rng.randrange(1, 9))) for _ in range(2)) for _ in range(200)]
+    rows = spark.createDataFrame([*pairs, ("", "x"), ("x", None), (None, None)], "a string, b string")
+    for r in rows.select("a", "b", tr.wer("a", "b").alias("w")).collect():
+        assert r.w == (slow(r.a.lower().split(), r.b.lower().split()) / len(r.a.split()) if r.a and r.b else None)
 
 
 @pytest.mark.parametrize(("url", "want"), [("HTTP://A.Example/x/?b=2&a=1&utm_source=q#top", "http://a.example/x?a=1&b=2"), ("https://h/", "https://h/"), ("https://h/?flag&gclid=1", "https://h/?flag"), ("", "")])
@@ -142,3 +143,64 @@ def test_boxes_of_full_pages(spark):
         shares = [0.0, *(max(0.0, min(p[2] + p[4], q[2] + q[4]) - max(p[2], q[2])) * max(0.0, min(p[3] + p[5], q[3] + q[5]) - max(p[3], q[3])) / (p[4] * p[5]) for q in others(p, over) if p[4])]
         truth[p[:2]] = (round(min(1.0, max(shares)), 3), sum(x > 0.05 for x in shares))
     assert {(r.page, r.id): (round(r.ratio, 3), r.n_covering) for r in bx.obscuration(df, df.filter("id % 3 = 0 or id = 620")).collect()} == truth
+
+
+def test_html_reader(spark):
+    from claraudit.sources import html
+
+    deep = "<div hidden>" + "<div>" * 30 + "<input name=deep>" + "</div>" * 31
+    page = f"<ul><li>one<li>two<li>three</ul><p>a<p>b <b>c</b><div>d</div>{deep}<label>L{'<i>' * 20}<input name=far>{'</i>' * 20}</label><table><tr><td>x<td>y<tr><td>z</table><select><option>1<option>2</select>"
+    rows = html.elements(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()
+    of = lambda tag: [r.text for r in rows if r.tag == tag]
+    assert of("li") == ["one", "two", "three"] and of("p") == ["a", "b c"] and of("td") == ["x", "y", "z"] and of("option") == ["1", "2"] and of("tr") == ["xy", "z"]
+    assert {r.attrs["name"]: r.hidden for r in rows if r.tag == "input"} == {"deep": True, "far": False}
+    fields = html.forms(html.elements(spark.createDataFrame([(1, page)], "page_id long, html string"))).collect()
+    assert [(f.name, f.label_text) for f in fields if f.name == "far"] == [("far", "L")]
+
+
+def test_html_reader_takes_linear_time():
+    import time
+
+    from claraudit.sources.html import _Reader
+
+    def took(n):
+        r, at = _Reader(), time.perf_counter()
+        r.feed("<p>word " * n + "<b>" * n)
+        r.done()
+        return time.perf_counter() - at
+
+    took(1000)
+    assert took(16000) < 40 * took(2000)
+
+
+def test_links_equal_the_parser(spark):
+    import html as entities
+
+    from claraudit.operators import page_links
+    from claraudit.sources import html
+    from tests.conftest import DATA
+
+    odd = """<A HREF='/a'>one</A><a class=x href=/b>two <b>bold</b></a><a
+      href = "/c?x=1&amp;y=2">three
+      four</a><a name="n">none</a><a href="">empty</a>"""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame([(-1, "http://h/", odd)], "page_id long, url string, html string"))
+    got = {(r.page_id, r.pos, entities.unescape(r.href)) for r in page_links.links(pages).collect()}
+    want, n = set(), {}
+    for r in html.elements(pages).filter("tag = 'a' and attrs['href'] is not null").orderBy("page_id", "pos").collect():
+        n[r.page_id] = n.get(r.page_id, 0) + 1
+        want.add((r.page_id, n[r.page_id], r.attrs["href"]))
+    assert {x for x in want if x[2]} == {x for x in got if x[2]}
+    assert [r.text for r in page_links.links(pages.filter("page_id = -1")).orderBy("pos").collect()][:3] == ["one", "two bold", "three four"]
+
+
+def test_japanese_transcripts(spark):
+    rows = spark.createDataFrame([("田中：こんにちは\n【司会】はい [拍手]",), ("なし",)], "t string")
+    got = rows.select(tr.speaker_labels(F.col("t"), "ja").alias("n"), tr.sound_status(F.col("t"), "ja").alias("s")).collect()
+    assert [(r.n > 0, r.s) for r in got] == [(True, "PASSED"), (False, "FAILED")]
+
+
+def test_snapshot_buckets(spark):
+    raw = spark.createDataFrame([("forms", "p", '{"name": "a"}'), ("media", "p", '{"src": "b"}'), ("other", "p", "{}"), ("forms", "p", "{")], "bucket string, page_url string, body string")
+    got, bad = sinks.normalize_snapshot(raw, {"forms": "name string", "media": "src string"}, "http://d/")
+    assert got["forms"].first().name == "a" and got["media"].first().src == "b"
+    assert {r.code for r in bad.collect()} == {"unknown_bucket", "normalization_error"}
