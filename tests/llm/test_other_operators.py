@@ -84,6 +84,67 @@ def test_language_accuracy(spark):
     assert sum(r.rejected for r in out) <= 0.02 * len(out) and all(0 <= r.score <= 1 for r in out)
 
 
+def test_kneser_ney_by_hand(spark):
+    """Interpolated Kneser-Ney of order 3 over a tiny corpus, by its textbook formulas."""
+    import math
+    from collections import Counter, defaultdict
+
+    words = ["abab", "abc", "ab", "bca", "cab", "bb"]
+    docs = spark.createDataFrame([(" ".join(words), "x")], "text string, lang string").select("lang", "text")
+    grams = docs.mapInArrow(language_id._count(3), language_id.COUNTS)
+    from pyspark.sql import functions as F
+
+    summed = grams.groupBy("lang", "n", "gram").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.max("at_start").alias("at_start"), F.sum("times").alias("times")).toPandas()
+    model = language_id.build_model(summed, 3)
+    full = [f"^{w}$".replace("$", "^") for w in words]
+    counts = {n: Counter() for n in (1, 2, 3)}
+    for w in full:
+        for i in range(1, len(w)):
+            for n in (1, 2, 3):
+                if i - n + 1 >= 0:
+                    counts[n][(w[i - n + 1 : i + 1], i - n + 1 == 0 and n > 1)] += 1
+    start = lambda n: {g for (g, s) in counts[n] if s}
+    c = {3: Counter()}
+    for (g, _), k in counts[3].items():
+        c[3][g] += k
+    for n in (1, 2):
+        c[n] = Counter()
+        seen = defaultdict(set)
+        for g, _ in counts[n + 1]:
+            seen[g[1:]].add(g[0])
+        for (g, _), k in counts[n].items():
+            c[n][g] = sum(v for (x, _), v in counts[n].items() if x == g) if g in start(n) else max(1, len(seen[g]))
+    floor = max(20.0, -math.log2(0.001 / 5000))
+
+    def discount(n):
+        one, two = (sum(v == k for v in c[n].values()) for k in (1, 2))
+        return one / (one + 2 * two) if one and two else 0.5
+
+    def p(g):
+        n = len(g)
+        if n == 1:
+            return c[1][g] / sum(c[1].values()) * 0.999 if g in c[1] else 2**-floor
+        same = [v for x, v in c[n].items() if x[:-1] == g[:-1]]
+        below = p(g[1:])
+        if not same:
+            return below
+        down = discount(n) * len(same) / sum(same)
+        return ((c[n][g] - discount(n)) / sum(same) if g in c[n] else 0) + down * below
+
+    for w in ("abab", "bc", "cc", "acb", "bbb"):
+        x = f"^{w}^"
+        want = -sum(math.log2(p(x[max(0, i - 2) : i + 1])) for i in range(1, len(x)))
+        assert model.word_bits([w])[0][0, 0] == pytest.approx(want, rel=1e-4), w
+
+
+def test_small_languages_are_learned(spark):
+    rows = [(i, f"{w} " * 30, lang) for i, (lang, w) in enumerate([("one", "zxzx qyqy"), ("two", "mnop lolo"), ("two", "mnmn lop")] * 2)]
+    docs = spark.createDataFrame([r for r in rows], "doc_id long, text string, lang string")
+    out = {r.doc_id: (r.lang_pred, r.rejected) for r in language_id.identify(docs).collect()}
+    known = {r.lang for r in docs.filter(~language_id.held_out()).select("lang").distinct().collect()}
+    assert all(out[i] == (lang, False) for i, _, lang in rows if lang in known)
+
+
 def test_language_edges(spark):
     texts = [None, "\U0001f600 \u3002", "123 !!!", "the house is on the hill and the river"] * 30 + ["das haus steht auf dem berg und der fluss"] * 30
     docs = rows_of(spark, texts, lang=["en"] * 120 + ["de"] * 30)
@@ -126,6 +187,27 @@ def test_flat_graph(spark):
     assert flat_graph.near_duplicates(vectors_of(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"centroids": 3, "shard_points": 60}])
+def test_flat_graph_recall_and_magnitudes(spark, how):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(60, 16))
+    x = [centers[i % 60] + rng.normal(size=16) * 0.15 for i in range(900)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, [1e200, 0.0]), (5001, [1e200, 0.0]), (5002, [1e-160, 0.0]), (5003, [2e-160, 0.0]), (None, [1.0, 0.0])]
+    out = flat_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **how).collect()
+    u = np.stack(x) / np.linalg.norm(np.stack(x), axis=1, keepdims=True)
+    truth = (u @ u.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r for r in out}
+    assert len(out) == len(rows) and all(got[i].n_links <= truth[i] for i in range(900))
+    assert sum(got[i].n_links for i in range(900)) >= 0.9 * truth.sum() and out[0].audit_links > 0
+    assert [(got[i].n_links, got[i].component_id) for i in (5000, 5001, 5002, 5003)] == [(3, 5000)] * 4
+    assert got[None].n_links == 0
+
+
+def test_flat_graph_audits_nothing_without_links(spark):
+    out = flat_graph.near_duplicates(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.recall) for r in out} == {(0, 0, None), (1, 0, None)}
+
+
 def test_range_search_finds_all_in_a_ball():
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=32) + rng.normal(size=(150, 32)) * 0.05, rng.normal(size=(100, 32))])
@@ -194,3 +276,30 @@ def test_pipeline(spark, texts):
     for _, stage in c.STAGES:
         empty = stage(spark, empty, "")
         assert empty.count() == 0
+
+
+@pytest.mark.parametrize("name", ["op4_fingerprint_index", "op8_minhash_join", "op10_hamming_top_k"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from claraudit.llm import queries
+
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got = queries.queries()[name](spark, DATA)
+    cols = sorted(got.columns)
+    want = duck.sql(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["op1_token_counts", "op2_min_cost_flow", "op3_best_fit", "op5_pfair_mix", "op6_kneser_ney", "op7_flat_graph", "op9_bit_planes"])
+def test_queries_keep_all_rows(spark, name):
+    from claraudit.llm import queries
+
+    rows = queries.queries()[name](spark, DATA)
+    key, table = ("vec_id", "embeddings") if name == "op7_flat_graph" else ("doc_id", "documents")
+    if name == "op3_best_fit":
+        rows = rows.filter("piece = 0")
+    want = spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect()
+    assert sorted(r[0] for r in rows.select(key).collect()) == sorted(r[0] for r in want)
