@@ -5,15 +5,18 @@ from __future__ import annotations
 import ctypes
 import math
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What a Python worker remembers between tasks: encoders, words. Workers outlive stages.
 _HELD: dict = {}
+_RELEASED = 0.0
 #: Text bytes that one group of rows handed to a Python task holds, about.
 GROUP_BYTES = 16 << 20
 
@@ -71,10 +74,19 @@ def held(key: tuple, make: Callable[[], object]) -> object:
 
 def forget() -> None:
     """For tasks that remember nothing: drop what earlier stages left in this worker and give free memory back."""
-    if _HELD:
-        _HELD.clear()
+    _HELD.clear()
+    release(0)
+
+
+def release(seconds: float = 0.25) -> None:
+    """Give memory that this worker has freed back to the system, if that wasn't done in the last `seconds`: workers are
+    many and live on from stage to stage, and allocators keep what they got."""
+    global _RELEASED
+    if time.monotonic() - _RELEASED >= seconds:
+        pa.default_memory_pool().release_unused()
         with suppress(OSError, AttributeError):  # the C library's own, where it has it
             ctypes.CDLL(None).malloc_trim(0)
+        _RELEASED = time.monotonic()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -45,12 +45,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claraudit.llm.common import drop_path, forget, freed_shuffles, shuffle_partitions, stage_path, staged, text_slices
+from claraudit.llm.common import drop_path, forget, freed_shuffles, release, shuffle_partitions, stage_path, staged, text_slices
 from claraudit.llm.words import Pieces, Texts, ragged, windows, words
 
 WINDOW, BATCHES, KEY_BITS, FANOUT = 13, 3, 56, 2
 #: Text bytes of a slice and of a bucket, about; leading bits by which fingerprints travel at once.
-SLICE, BUCKET_BYTES, COARSE_BITS = 8 << 20, 8 << 20, 12
+SLICE, BUCKET_BYTES, COARSE_BITS = 8 << 20, 4 << 20, 13
 #: Fingerprints that are cut anew together; keys decided by words in one pass.
 TOGETHER, DECIDED = 4 << 20, 1 << 20
 _U = np.uint64
@@ -154,6 +154,8 @@ def _slices(batch: int):
                 total += int(sizes[a:b].sum())
         if parts:
             yield row()
+        parts.clear()
+        release(0)
 
     return run
 
@@ -217,6 +219,9 @@ def _prints(size: int, key_bits: int, bits: int):
                     places=[pack_ints(at[x:y].astype(_U)) for _, x, y in cells],
                     docs=[pack_few(doc[x:y]) for _, x, y in cells],
                 )
+                del key, at, doc, order, keep, w, h, table, one, same
+                release()
+        release(0)
 
     return run
 
@@ -254,6 +259,7 @@ def _split(key_bits: int, bits: int):
 
 def _merge(key_: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
     """One bucket: new fingerprints against those of the runs."""
+    release()
     bucket, out = int(key_[0].as_py()), []
     passed = new.filter(pa.compute.is_null(new.column("keys")))
     key, doc = _all(_filled(new, "keys"), unpack_sorted, _U), _all(_filled(new, "docs"), unpack_few, np.int64)
@@ -314,6 +320,7 @@ def _passages(size: int):
     """One slice's asks to passages with digests."""
 
     def run(key_: tuple, texts: pa.Table, asks: pa.Table) -> pa.Table:
+        release()
         number, names = key_[0].as_py(), [x.split()[0] for x in PASSAGE.split(", ")]
         schema = pa.schema([(x, pa.binary() if x == "digest" else pa.int64()) for x in names])
         if not len(asks):
@@ -337,6 +344,7 @@ def _compared(size: int, key_bits: int):
 
     def run(_: tuple, texts: pa.Table, stated: pa.Table) -> pa.Table:
         schema = pa.schema([("a_slice", pa.int64()), ("a_place", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.binary())])
+        release()
         if not len(stated):
             return schema.empty_table()
         t = _text(_content(texts.column("content")[0]))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claraudit.llm.common import staged
+from claraudit.llm.common import release, staged
 from claraudit.llm.components import components, local_roots
 
 THRESHOLD, OVERLAP, DEGREE, ALPHA, BEAM = 0.9, 2, 24, 1.2, 24
@@ -193,6 +193,7 @@ def _divide(shard_points: int, overlap: int):
 
 def _build(degree: int, alpha: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        release()
         ids = rows["rep"].to_numpy()
         graph = robust_prune(_unit(np.stack(rows["vector"].to_numpy())), degree, alpha) if len(ids) > 1 else np.full((len(ids), 1), -1)
         return pd.DataFrame({"rep": ids, "near": [ids[g[g >= 0]] for g in graph]})
@@ -202,6 +203,7 @@ def _build(degree: int, alpha: float):
 
 def _search(threshold: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        release()
         rows = rows.sort_values("rep", kind="stable")
         ids, copies, shard = rows["rep"].to_numpy(), rows["copies"].to_numpy(), key[0]
         near = rows["near"].to_numpy()

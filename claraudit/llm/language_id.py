@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claraudit.llm.common import held, staged
+from claraudit.llm.common import held, release, staged
 from claraudit.llm.words import Remembered, Texts, mix, words
 
 ORDER, TRAIN_DOCS, TRAIN_CHARS, CALIBRATION_DOCS, REJECT_Z, REJECT_MARGIN = 5, 300, 1_500_000, 200, 6.0, 2.5
@@ -357,6 +357,8 @@ def _predict(shared, reject_z: float):
                 names = np.array([*model.langs, "und"], object)[np.where(letters, best, len(model.langs))]
                 columns = [batch.column(i).slice(a, len(part)) for i in range(last + 1)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names.tolist(), pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(~letters | (low > allowed)), pa.array(low)], [*batch.schema.names, "lang_pred", "score", "rejected", "bits"])
+                release()
+        release(0)
 
     return run
 

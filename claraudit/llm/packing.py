@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claraudit.llm.common import bucket, staged
+from claraudit.llm.common import bucket, release, staged
 from claraudit.llm.tokens import SLICE_BYTES, encoder, vocabulary, with_end
 from claraudit.llm.words import Texts
 
@@ -111,6 +111,8 @@ def token_pieces(docs: DataFrame, *, tokenizer: str | None = None, splits: str =
                         rows.append((name, k, s, n, zlib.crc32(raw[4 * (lo + s) : 4 * (lo + s + n)]), number))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
+                release()
+        release(0)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), own).mapInArrow(encode, PIECE)
 
@@ -119,6 +121,7 @@ def _packer(r: int, last: bool, capacity: int):
     """Packs one partition in round r; unless it is the last, the emptiest sequences of a partition with a gap aren't done."""
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        release()
         sizes = rows["length"].to_numpy(np.int64)
         bins, offsets, made = best_fit_decreasing(sizes, capacity)
         bound = lower_bound(sizes, capacity)

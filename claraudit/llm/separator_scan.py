@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claraudit.llm.common import forget, stage_path, staged
+from claraudit.llm.common import forget, release, stage_path, staged
 from claraudit.llm.tokens import SLICE_BYTES, encoder, vocabulary, with_end
 from claraudit.llm.words import Texts
 
@@ -57,6 +57,8 @@ def write_flat(docs: DataFrame, path: str, *, tokenizer: str | None = None, spli
                 listed = f"{k}:" + ",".join("" if x is None else str(x) for x in names[a : a + len(part)])
                 yield pa.RecordBatch.from_arrays([pa.array(["ids", "names"]), pa.array([name] * 2), pa.array([k] * 2, pa.int32()), pa.array([flat.tobytes(), listed.encode()], pa.binary())], ["kind", "file", "k", "value"])
                 k += 1
+                release()
+        release(0)
 
     (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
