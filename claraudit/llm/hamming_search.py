@@ -150,9 +150,10 @@ def hamming_top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         done.append(top.join(full, "q_code", "left_semi").select("q_code", "distance", "id"))
         left = staged(left.join(full, "q_code", "left_anti"), "left")
         radius += 1
-    rest = _scan(left.select("q_code"), codes, k + 1, words)
-    answers = rest.select("q_code", "distance", "id")
-    for x in done:
+    if not done or not left.isEmpty():
+        done.append(_scan(left.select("q_code"), codes, k + 1, words).select("q_code", "distance", "id"))
+    answers = done[0]
+    for x in done[1:]:
         answers = answers.unionByName(x)
     out = wanted.select(F.col("id").alias("query_id"), F.col("code").alias("q_code")).join(answers, "q_code").filter("id <> query_id")
     order = Window.partitionBy("query_id").orderBy("distance", "id")

@@ -8,8 +8,8 @@ index lists each block's number of ids and each plane's length, so any block can
 
 Segments carry (shard, segment); shard s holds the s-th range of doc_id and segments ascend within it.
 
-Defined results: null text is an empty document (its end id only); rows that repeat a doc_id stay, next to each other;
-a null doc_id sorts first; an empty table gives a file without segments; other columns are never read.
+Defined results: null text is an empty document (its end id only); rows that repeat a doc_id stay, next to each other, in
+the order of a hash of their texts; null doc_ids sort first, in the same order, and may fill several shards; an empty table gives a file without segments; other columns are never read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claraudit.llm.common import forget, groups_for, stage_path
+from claraudit.llm.common import forget, groups_for, release, stage_path
 from claraudit.llm.tokens import SLICE_BYTES, encoder, vocabulary, with_end
 from claraudit.llm.words import Texts
 
@@ -100,11 +100,13 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, sp
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [x.split()[0] for x in SEGMENT.split(", ")])
                 k += 1
+                release()
+        release(0)
 
     (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange(groups_for(spark, 1, 1, 2), "doc_id")
-        .sortWithinPartitions("doc_id")
+        .repartitionByRange(groups_for(spark, 1, 1, 2), "doc_id", F.xxhash64("text"))
+        .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
         .mapInArrow(encode, SEGMENT)
         .write.option("compression", "none")
         .parquet(path)
