@@ -259,11 +259,12 @@ def test_hamming_uses_all_components(spark, lengths, segments):
 
 def test_pipeline(spark, texts):
     import corpus_pipeline as c
+    from claraudit.llm.common import file_order, staged
 
     docs = rows_of(spark, [*texts, *["the river and the house are in the valley of the hill"] * 3], source=None).drop(*CLASHING)
     kept = [docs]
     for name, stage in c.STAGES:
-        kept.append(stage(spark, kept[-1], ""))
+        kept.append(staged(stage(spark, kept[-1], ""), name))
         if name != "best_fit_packing":
             assert kept[-1].columns == list(c.COLUMNS)
     first = {r.doc_id for r in kept[1].collect()}
@@ -272,6 +273,10 @@ def test_pipeline(spark, texts):
     fourth = {r.doc_id: r.text for r in kept[4].collect()}
     assert second < first and set(third) <= second and third == fourth
     assert {r.doc_id for r in kept[5].collect()} == set(fourth)
+    # packing sees the documents in the order of the mix
+    mix = [r.doc_id for r in mixing.mix(kept[3]).orderBy("mix_position").collect()]
+    assert [r.doc_id for r in file_order(kept[4]).orderBy("_order").collect()] == mix
+    assert {r.doc_id: r.row for r in kept[5].filter("piece = 0").collect()} == {x: i for i, x in enumerate(mix)}
     empty = docs.limit(0)
     for _, stage in c.STAGES:
         empty = stage(spark, empty, "")
