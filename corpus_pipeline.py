@@ -9,6 +9,7 @@ dedup goes; empty in, empty out.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece, with its sequence and place. Pieces are packed in ranges of the order in which the documents lie
     in their files, and sequences are numbered by it, so neighbouring sequences hold the sources in the mix's shares."""
-    if not docs.inputFiles():  # rows that come from no files lie in no order
+    try:
+        ordered = file_order(docs.select(*COLUMNS))
+    except AnalysisException:  # rows that weren't written to files lie in no order
         return pack_documents(docs)
-    return pack_documents(file_order(docs.select(*COLUMNS)), order="_order")
+    return pack_documents(ordered, order="_order")
 
 
 STAGES = [
