@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claraudit.functions import color, text
+from claraudit.functions import color
 from claraudit.operators.rules_static import cases, filled, yes
 
 C = F.col
