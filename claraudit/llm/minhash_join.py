@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claraudit.llm.common import GROUP_BYTES, bucket, forget, groups_for, staged
+from claraudit.llm.common import GROUP_BYTES, bucket, drop_path, forget, groups_for, release, stage_path, staged
 from claraudit.llm.components import components, local_roots
 from claraudit.llm.words import Texts, windows, words
 
@@ -123,6 +123,8 @@ def _features(n: int, hashes: int, bands: int, rows: int):
                     [names.slice(a, k), digests.slice(a, k), pa.array(np.diff(part.bounds)), pa.array(np.diff(first) > 0), pa.ListArray.from_arrays(bounds, flat), pa.array([x.tobytes() for x in low], pa.binary())],
                     ["doc_id", "digest", "size", "filled", "bands", "low"],
                 )
+                release()
+        release(0)
 
     return run
 
@@ -169,6 +171,7 @@ def _verify(n: int, threshold: float):
     """rows of one task (hood, x, y, block, doc_id, copies, text) -> doc_id, links, root."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        release()
         out = []
         rows = rows.drop_duplicates(["hood", "x", "y", "doc_id"]).reset_index(drop=True)
         t = Texts.of(pa.array(rows["text"].to_numpy(object), pa.string()))
@@ -208,24 +211,24 @@ def text_digest(text: str = "text") -> Column:
 def jaccard_groups(docs: DataFrame, *, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (smallest doc_id of equal text), n_links (other documents linked), component_id (smallest doc_id
     that links reach), digest (of the text), kept (whether the document stands for its component)."""
-    spark = docs.sparkSession
+    spark, work = docs.sparkSession, stage_path(docs.sparkSession, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), F.col("text").cast("string").alias("text"))
     bands, rows = bands_for(threshold, recall, hashes)
-    features = staged(texts.mapInArrow(_features(n, hashes, bands, rows), FEATURES), "features")
+    features = staged(texts.mapInArrow(_features(n, hashes, bands, rows), FEATURES), "features", f"{work}/features")
     # a document is named by its doc_id; without one, or for a further text under one, by its text
     every = features.select("doc_id", "digest", "size", "filled")
     every = every.filter("doc_id is not null").distinct().unionByName(every.filter("doc_id is null"))
     first = every.filter("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("texts"))
-    several = staged(first.filter("texts > 1"), "several")
+    several = staged(first.filter("texts > 1"), "several", f"{work}/several")
     own = F.col("doc_id").isNull() | (F.col("digest") != F.coalesce("first", "digest"))
     own_id = OWN_IDS + F.pmod(F.xxhash64("digest", F.coalesce("doc_id", F.lit(0))), F.lit(1 << 61))
     every = staged(every.join(several, "doc_id", "left").select("doc_id", "digest", "size", "filled", F.when(own, own_id).otherwise(F.col("doc_id")).alias("node")), "documents")
     classes = staged(every.filter("filled").groupBy("digest").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")), "classes")
     member = features.filter("filled").select("digest", "bands", "low").join(classes, "digest").dropDuplicates(["rep"])
-    member = staged(member, "representatives")
+    member = staged(member, "representatives", f"{work}/representatives")
     banded = member.select("rep", F.posexplode("bands").alias("band", "key"))
     size = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("head"))
-    size = staged(size.filter("size > 1"), "buckets")
+    size = staged(size.filter("size > 1"), "buckets", f"{work}/buckets")
     small = banded.join(size.filter(F.col("size") <= few).select("band", "key"), ["band", "key"])
     lists = small.groupBy("band", "key").agg(F.array_sort(F.collect_list("rep")).alias("all"))
     pair = F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(x.alias("a"), y.alias("b"))))))
@@ -237,7 +240,7 @@ def jaccard_groups(docs: DataFrame, *, n: int = NGRAM, threshold: float = THRESH
     close = both.select("a", "b", "low_a", "low_b").mapInArrow(_agree(hashes, least), "a long, b long")
     stars = banded.join(size.filter(F.col("size") > few), ["band", "key"]).filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     hoods = components(close.unionByName(stars).distinct()).withColumnRenamed("node", "rep").withColumnRenamed("component", "hood")
-    hoods = staged(hoods.join(member.select("rep", "digest", "copies", "size"), "rep"), "neighbourhoods")
+    hoods = staged(hoods.join(member.select("rep", "digest", "copies", "size"), "rep"), "neighbourhoods", f"{work}/neighbourhoods")
     blocks = hoods.groupBy("hood").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     sent = blocks.agg(F.sum(F.col("n") * F.col("n_blocks")).alias("rows"), F.sum(F.col("bytes") * F.col("n_blocks")).alias("bytes")).first()
     tasks = max(groups_for(spark, sent["rows"] or 0, 400, 2), groups_for(spark, sent["bytes"] or 0, GROUP_BYTES))
@@ -252,6 +255,7 @@ def jaccard_groups(docs: DataFrame, *, n: int = NGRAM, threshold: float = THRESH
     joined = joined.withColumn("task", F.when(F.col("x") == F.col("y"), bucket(tasks, "hood", "x")).otherwise(bucket(tasks, "hood", "x", "y")))
     found = joined.groupBy("task").applyInPandas(_verify(n, threshold), "doc_id long, links long, root long")
     found = staged(found, "links")
+    drop_path(spark, work)  # nothing below reads it
     links = found.groupBy("doc_id").agg(F.sum("links").alias("links"))
     comps = components(found.filter("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     named = classes.join(links.withColumnRenamed("doc_id", "rep"), "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
