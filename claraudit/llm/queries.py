@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("separator_scan", "resharding", "packing", "fingerprint_index", "mixing", "language_id", "flat_graph", "minhash_join", "token_files", "hamming_search", "importance", "source_audit")
+MODULES = ("separator_scan", "resharding", "packing", "fingerprint_index", "mixing", "language_id", "flat_graph", "minhash_join", "token_files", "hamming_search", "importance", "kneser_ney_lm", "source_audit")
 
 
 def _gather(kind: str) -> dict:
