@@ -78,17 +78,16 @@ class WordTrie:
         p = runs(t, WORDS)
         code, known = remember(self.words, p)
         word, row, n_words = known[code], p.row_of(), p.counts()
-        node = np.zeros(len(word), np.int64)
+        node, at = np.zeros(len(word), np.int64), np.arange(len(word))  # of the run that begins at each word
         for depth, level in enumerate(self.levels):
-            if depth:  # a run goes on by the word behind it, if that's in the same row
-                goes_on = np.flatnonzero(row[: len(row) - depth] == row[depth:]) if len(row) > depth else np.zeros(0, np.int64)
-                node, word_here, row_here = node[goes_on], word[goes_on + depth], row[goes_on]
-            else:
-                word_here, row_here = word, row
-            node, made = level.children(node << 32 | word_here, lambda keys, d=depth: self._states(d, keys))
+            # a run goes on by the word behind it, if that's in the same row
+            at = at[at < len(row) - depth]
+            at = at[row[at] == row[at + depth]]
+            found, made = level.children(node[at] << 32 | word[at + depth], lambda keys, d=depth: self._states(d, keys))
+            node[at] = found
             if self.gains is not None and len(made):
                 level.value[made] = self.gains[level.crc[made] % self.buckets]
-            yield depth + 1, node, row_here, n_words
+            yield depth + 1, found, row[at], n_words
 
     def _states(self, depth: int, keys: np.ndarray) -> np.ndarray:
         w = self.words
