@@ -64,9 +64,10 @@ def nearest_gap(boxes: DataFrame) -> DataFrame:
     middle = [F.greatest(F.lit(0), F.least(F.lit((1 << 31) - 1), F.floor(m + (1 << 30)))).cast("long") for m in (c.x + c.w / 2, c.y + c.h / 2)]
     curve = Window.partitionBy("page").orderBy(_spread(middle[0]).bitwiseOR(F.shiftleft(_spread(middle[1]), 1)), "id")
     here = boxes.select("page", *_BOX)
-    near = here.withColumns({f"_n{k}": F.lag(F.struct(*_BOX), k).over(curve) for k in (-2, -1, 1, 2)})
-    gaps = [F.when(F.col(f"_n{k}.id") != F.col("id"), F.greatest(gap_x(c, Box(f"_n{k}.")), gap_y(c, Box(f"_n{k}.")))) for k in (-2, -1, 1, 2)]
-    near = near.withColumn("_bound", F.when(F.col("page").isNotNull(), F.least(*gaps)))
+    near = here.withColumn("_near", F.array(*[F.lag(F.struct(*_BOX), k).over(curve) for k in (-2, -1, 1, 2)]))
+    # a function of the array, so that its code is there once, however often the bound is read
+    apart = lambda n: F.when(n["id"] != F.col("id"), F.greatest(F.lit(0.0), *[d for s, e in (("x", "w"), ("y", "h")) for d in (n[s] - F.col(s) - F.col(e), F.col(s) - n[s] - n[e])]))
+    near = near.withColumn("_bound", F.when(F.col("page").isNotNull(), F.array_min(F.transform("_near", apart))))
     far = F.col("_bound") * (1 + 1e-9) + 1e-9  # beyond rounding
     met = _meeting(_reach(near.filter("_bound > 0"), far, far), _reach(here, F.lit(0.0), F.lit(0.0)))
     found = met.groupBy("page", F.col("a.id").alias("id")).agg(F.min(F.greatest(gap_x(a, b), gap_y(a, b))).alias("_found"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 WER_PASS, WER_FAIL, OVERLAP = 0.15, 0.40, 0.30
 # Sounds that descriptors name, in English and Japanese.
@@ -16,21 +20,57 @@ SPEAKERS = (r"(?m)^[A-Z][a-zA-Z\s]{1,30}:\s", r"(?m)\[[A-Z][a-zA-Z\s]{1,30}\]",
 SPEAKERS_JA = (r"(?m)^[^\s：]{1,10}：", r"(?m)^【[^\s】]{1,10}】", r"(?m)^話者\s?\d+：", r"(?m)^インタビュアー：", r"(?m)^ホスト：", r"(?m)^ナレーター：", r"(?m)^司会：")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-
-
-def _coded(words: Column, known: Column) -> Column:
-    """One character for each word, from the supplementary planes: its number among the words of both texts."""
-    point = lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")
-    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(point(w)), "UTF-32")), "")
-
-
-def wer(reference: Column | str, text: Column | str) -> Column:
-    """Word error rate; null where either is empty. Words become characters, whose edit distance is a built-in function."""
-    a, b = (_words(F.col(c) if isinstance(c, str) else c) for c in (reference, text))
-    known = F.array_union(a, b)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.levenshtein(_coded(a, known), _coded(b, known)) / F.size(a))
+def _distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Edit distance of two sequences of numbers: all rows of the table at once as bits of whole numbers, a step for each
+    element of b. A word's bits say where it stands in a."""
+    places: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        places[x] = places.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) >> 1
+    up, down, score = full, 0, len(a)  # where the next row is one more, one less
+    for x in b.tolist():
+        same = places.get(x, 0)
+        level = ((same & up) + up ^ up) | same
+        more, less = (down | ~(level | up)) & full, up & level
+        score += bool(more & last) - bool(less & last)
+        more, less, same = more << 1 | 1, less << 1, same | down
+        up, down = (less | ~(same | more)) & full, more & same & full
+    return score
+
+
+def word_errors(reference: list[str], text: list[str]) -> int:
+    """Words to change, add or leave out; what both begin or end with costs nothing."""
+    start = 0
+    while start < min(len(reference), len(text)) and reference[start] == text[start]:
+        start += 1
+    end = 0
+    while end < min(len(reference), len(text)) - start and reference[-1 - end] == text[-1 - end]:
+        end += 1
+    a, b = reference[start : len(reference) - end], text[start : len(text) - end]
+    if not a or not b:
+        return max(len(a), len(b))
+    code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
+    return _distance(*(np.array([code[w] for w in x]) for x in (a, b)))
+
+
+def units(text: str | None, lang: str) -> list[str]:
+    """Lower-case words; of a Japanese text characters, as words aren't spaced."""
+    words = (text or "").lower().split()
+    return list("".join(words)) if lang == "ja" else words
+
+
+@pandas_udf(DoubleType())
+def _rate(reference: pd.Series, text: pd.Series, lang: pd.Series) -> pd.Series:
+    out = []
+    for r, t, x in zip(reference, text, lang, strict=True):
+        a, b = units(r, x), units(t, x)
+        out.append(word_errors(a, b) / len(a) if a and b else None)
+    return pd.Series(out, dtype="float64")
+
+
+def wer(reference: Column | str, text: Column | str, lang: Column | str = "en") -> Column:
+    """Word error rate, of characters for lang 'ja' (a language's name or a column); null where either text has none."""
+    return _rate(reference, text, F.lit(lang) if isinstance(lang, str) else F.coalesce(lang, F.lit("en")))
 
 
 def wer_status(score: Column) -> Column:

@@ -41,12 +41,10 @@ _FOC = R(f_outline=["none", "solid"], f_outline_px=[0.0, 1.0, 2.0], f_shadow=["n
 check("chk_focus_visible", _FOC, lambda: fc.focus_change(), "CASE WHEN (f_outline <> 'none' AND f_outline_px > 0) OR f_shadow <> u_shadow OR f_border <> u_border THEN 'pass' ELSE 'fail' END")
 check("chk_focus_appearance", _FOC, lambda: F.array_join(fc.focus_indicator(), ","), "CASE WHEN NOT ((f_outline <> 'none' AND f_outline_px > 0) OR f_shadow <> u_shadow) THEN 'no_indicator' ELSE concat_ws(',', CASE WHEN f_outline <> 'none' AND f_outline_px > 0 AND f_outline_px < 2 THEN 'thin' END, CASE WHEN ratio < 3 THEN 'low_contrast' END) END")
 check("chk_audio_transcript", R(track=BN, links=["Get the Transcript", None, "x"], figcaption=[None, "c"], details=[False, True], described=[None, "y" * 51]), lambda: fc.audio_transcript(), "CASE WHEN track IS TRUE OR links LIKE '%Transcript%' OR figcaption IS NOT NULL OR details OR described IS NOT NULL THEN 'pass' ELSE 'incomplete' END")
-check("chk_orientation", R(css=["@media (orientation: portrait) { body { display: none } }", "a { color: red }", "screen.orientation.lock('portrait')", "body { transform: rotate(90deg) }"]),
-      lambda: fc.cases((F.col("css").rlike(r"orientation\.lock\(|orientation:\s*(portrait|landscape)\)[^}]*display:\s*none"), "fail"), (F.col("css").rlike(r"rotate\("), "incomplete"), default="pass"), "CASE k % 4 WHEN 1 THEN 'pass' WHEN 3 THEN 'incomplete' ELSE 'fail' END")
 
 
-@query("chk_meaningful_sequence", "SELECT o_orderkey AS k, CASE WHEN a <= b AND b <= c THEN 'pass' ELSE 'incomplete' END AS status FROM (SELECT o_orderkey, o_orderkey % 3 AS a, o_orderkey % 5 AS b, o_orderkey % 7 AS c FROM orders)")
-def chk_meaningful_sequence(spark, sf_dir):
+@query("chk_sequence_positions", "SELECT o_orderkey AS k, CASE WHEN a <= b AND b <= c THEN 'pass' ELSE 'incomplete' END AS status FROM (SELECT o_orderkey, o_orderkey % 3 AS a, o_orderkey % 5 AS b, o_orderkey % 7 AS c FROM orders)")
+def chk_sequence_positions(spark, sf_dir):
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(k.alias("k"), fc.meaningful_sequence(F.array(k % 3, k % 5, k % 7)).alias("status"))
 

@@ -165,8 +165,8 @@ def ext_frames(spark, sf_dir):
     return im.first_frames(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), (F.col("o_orderkey") % 4 != 0).alias("same_origin")))
 
 
-@query("ext_context", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'red' WHEN o_orderkey % 5 = 0 THEN 'blue' ELSE 'rgb(255, 255, 255)' END AS background FROM orders")
-def ext_context(spark, sf_dir):
+@query("ext_context_chain", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'red' WHEN o_orderkey % 5 = 0 THEN 'blue' ELSE 'rgb(255, 255, 255)' END AS background FROM orders")
+def ext_context_chain(spark, sf_dir):
     k = F.col("o_orderkey")
     layer = lambda c, a: F.struct(F.lit(c).alias("color"), a.cast("double").alias("alpha"))
     chain = F.array(layer("red", F.when(k % 3 == 0, 1.0).otherwise(0.0)), layer("blue", F.when(k % 5 == 0, 0.5).otherwise(0.0)))

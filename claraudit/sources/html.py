@@ -1,7 +1,7 @@
 """Elements of raw markup as rows: one tolerant pass over each page's HTML in Arrow batches, everything else on the rows.
 
 elements() gives a row for each element in document order: page_id, pos, tag, attrs (map), text (its own and its
-descendants' words, 500 characters at most), last (the position of its last descendant, so y lies in x where x.pos < y.pos
+descendants' words, 500 characters at most), content (of script and style: all of it, else null), last (the position of its last descendant, so y lies in x where x.pos < y.pos
 <= x.last), ancestors (positions of the REACH nearest ones, nearest first), in_label and in_media (the nearest label, audio
 or video around it, however far) and hidden (itself or anything around it is). It is the only Python here; forms, controls,
 media and moving content are DataFrame expressions over it. A page's text is kept once, and an element is a range of it,
@@ -10,6 +10,7 @@ so a page takes time in proportion to its length.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from claraudit.functions import text
 
-ELEMENT = "page_id long, pos int, tag string, attrs map<string,string>, text string, last int, ancestors array<int>, in_label int, in_media int, hidden boolean"
+ELEMENT = "page_id long, pos int, tag string, attrs map<string,string>, text string, last int, ancestors array<int>, in_label int, in_media int, hidden boolean, content string"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Characters of an element's text; ancestors that features with a stated reach look up.
 TEXT_MOST, REACH = 500, 8
@@ -44,9 +45,9 @@ class _Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []  # tag, attrs, start, end, last, ancestors, label, media, hidden
+        self.rows: list[list] = []  # tag, attrs, start, end, last, ancestors, label, media, hidden, content
         self.open: list[int] = []
-        self.counts: dict[str, int] = {}  # open elements of each tag
+        self.depths: dict[str, list[int]] = {}  # of the open elements of each tag, ascending
         self.words: list[str] = []
         self.size = 0
 
@@ -55,22 +56,16 @@ class _Reader(HTMLParser):
         for i in self.open[depth:]:
             row = self.rows[i]
             row[3], row[4] = self.size, len(self.rows) - 1
-            self.counts[row[0]] -= 1
+            self.depths[row[0]].pop()
         del self.open[depth:]
 
     def _imply(self, tag: str) -> None:
+        """End the outermost element that the start of `tag` ends, within the nearest parent that bounds the search."""
         ends, within = _ENDS[tag]
-        if not any(self.counts.get(x) for x in ends):
-            return
-        found = None
-        for d in range(len(self.open) - 1, -1, -1):
-            name = self.rows[self.open[d]][0]
-            if name in within:
-                break
-            if name in ends:
-                found = d
-        if found is not None:
-            self._close(found)
+        bound = max((self.depths[x][-1] for x in within if self.depths.get(x)), default=-1)
+        inside = [d[bisect_right(d, bound)] for d in (self.depths.get(x) for x in ends) if d and d[-1] > bound]
+        if inside:
+            self._close(min(inside))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _ENDS:
@@ -83,10 +78,10 @@ class _Reader(HTMLParser):
         if up and up[0] in ("audio", "video"):
             media = self.open[-1]
         at = len(self.rows)
-        self.rows.append([tag, own, self.size, self.size, at, self.open[: -REACH - 1 : -1], label, media, _is_hidden(own) or bool(up and up[8])])
+        self.rows.append([tag, own, self.size, self.size, at, self.open[: -REACH - 1 : -1], label, media, _is_hidden(own) or bool(up and up[8]), None])
         if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(at)
-            self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -94,14 +89,13 @@ class _Reader(HTMLParser):
             self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.counts.get(tag):
-            d = len(self.open) - 1
-            while self.rows[self.open[d]][0] != tag:
-                d -= 1
-            self._close(d)
+        if self.depths.get(tag):
+            self._close(self.depths[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if self.open and self.rows[self.open[-1]][0] in ("script", "style"):
+            row = self.rows[self.open[-1]]
+            row[9] = (row[9] or "") + data
             return
         words = " ".join(data.split())
         if data[:1].isspace() or not words:
@@ -126,17 +120,17 @@ def _is_hidden(a: dict) -> bool:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.bool_()]
-    names = ["page_id", "pos", "tag", "attrs", "text", "last", "ancestors", "in_label", "in_media", "hidden"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
+    names = ["page_id", "pos", "tag", "attrs", "text", "last", "ancestors", "in_label", "in_media", "hidden", "content"]
     for batch in batches:
         out: list[tuple] = []
         for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             reader = _Reader()
             reader.feed(html or "")
             words = reader.done()
-            for i, (tag, attrs, start, end, last, around, label, media, hidden) in enumerate(reader.rows):
+            for i, (tag, attrs, start, end, last, around, label, media, hidden, content) in enumerate(reader.rows):
                 own = words[start : min(end, start + TEXT_MOST + 1)].strip()[:TEXT_MOST]
-                out.append((page, i, tag, list(attrs.items()), own, last, around, label, media, hidden))
+                out.append((page, i, tag, list(attrs.items()), own, last, around, label, media, hidden, content))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -160,12 +154,12 @@ def id_text(els: DataFrame) -> DataFrame:
     return named.groupBy("page_id", "id").agg(F.min_by(F.struct("text", "attrs"), "pos").alias("t")).select("page_id", "id", F.col("t.text").alias("id_text"), F.col("t.attrs").alias("id_attrs"))
 
 
-def resolve_refs(els: DataFrame, name: str) -> DataFrame:
+def resolve_refs(els: DataFrame, name: str, between: str = " ") -> DataFrame:
     """page_id, pos and the joined texts of the ids that attribute `name` lists, in order; ids that aren't there are left
     out."""
     refs = els.select("page_id", "pos", F.posexplode(F.split(F.trim(attr(name)), r"\s+")).alias("i", "id")).filter("id <> ''")
     found = refs.join(id_text(els), ["page_id", "id"]).groupBy("page_id", "pos")
-    return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "id_text"))), lambda x: x["id_text"]), " ").alias("ref_text"))
+    return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "id_text"))), lambda x: x["id_text"]), between).alias("ref_text"))
 
 
 def forms(els: DataFrame) -> DataFrame:
