@@ -1,4 +1,5 @@
-"""Page-level checks on raw markup. Each gives a status a page (pass, incomplete, fail) as Column expressions."""
+"""Page-level checks on raw markup. Each gives a status a page (pass, incomplete, fail) as Column expressions over the html
+and tags of page_links.prepared()."""
 
 from __future__ import annotations
 
@@ -6,14 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claraudit.functions import text
-from claraudit.operators.page_links import VALUE, values
+from claraudit.operators.page_links import VALUE, prepared, value_of, values
 
 # Link texts that say nothing about the target.
 GENERIC_LINKS = r"click\s+here|here|read\s+more|more|learn\s+more|more\s+info(?:rmation)?|details|continue|go|link|this|see\s+more|view\s+more|find\s+out\s+more|click|tap|press\s+here|start|begin|open|show|hide|toggle"
 
 
-def _has(pattern: str) -> Column:
-    return F.col("html").rlike(pattern)
+def _has(pattern: str, column: str = "tags") -> Column:
+    return F.col(column).rlike(pattern)
 
 
 def is_generic(link_text: Column) -> Column:
@@ -27,24 +28,26 @@ def link_purpose(links: DataFrame, most: int = 2000) -> DataFrame:
     return rows.withColumn("generic", is_generic(F.col("text"))).drop("_r")
 
 
+_NAMED = r"""(?i)\s(?:class|id|aria-label|itemtype)\s*=\s*(?:"[^"]*|'[^']*|[^\s"'>]*)"""
+
+
 def location_status() -> Column:
-    """2.4.8: breadcrumb, current or selected entry, step, site map or structured data show where one is."""
-    signs = [r"(?i)breadcrumb", "(?i)pan-kuzu|panku-zu", r"""(?i)aria-current\s*=\s*["']?(page|step)""", r"""(?i)aria-selected\s*=\s*["']?true""", "(?i)site-?map"]
-    some = F.lit(False)
-    for s in signs:
-        some = some | _has(s)
-    return F.when(some, "pass").otherwise("incomplete")
+    """2.4.8: a breadcrumb by name or type, the current page or step, a selected entry, a site map, or structured data of a
+    breadcrumb show where one is."""
+    site_map = _has(r"(?i)\s(?:href|aria-label)\s*=\s*[^>]*site[- ]?map") | _has(r"(?is)<a\s[^>]*>[^<]*site\s*-?map", "html")
+    signs = [_has(_NAMED + r"(?:breadcrumb|pan-kuzu|panku-zu)"), _has(r"""(?i)\saria-current\s*=\s*["']?(?:page|step)"""), _has(r"""(?i)\saria-selected\s*=\s*["']?true"""), site_map, _has(r"(?is)<script[^>]*ld\+json[^>]*>[^<]*\"BreadcrumbList\"", "html")]
+    return F.when(F.coalesce(signs[0] | signs[1] | signs[2] | signs[3] | signs[4], F.lit(False)), "pass").otherwise("incomplete")
 
 
 def location(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("status", location_status())
+    return prepared(pages).withColumn("status", location_status())
 
 
 def ways() -> Column:
     """2.4.5: how many there are of search, site map, navigation, breadcrumb and table of contents."""
     kinds = [
         r"""(?i)type\s*=\s*["']?search|role\s*=\s*["']?search|<form[^>]*(action|aria-label)\s*=\s*["']?[^"'>]*search""",
-        "(?i)site-?map",
+        r"(?i)\s(?:href|aria-label|class|id)\s*=\s*[^>]*site-?map",
         r"""(?i)<nav[\s>]|role\s*=\s*["']?navigation""",
         r"""(?i)(class|id|aria-label|itemtype)\s*=\s*["']?[^"'>]*breadcrumb""",
         r"""(?i)(class|id|aria-label)\s*=\s*["']?[^"'>]*(\btoc\b|table of contents)""",
@@ -57,7 +60,7 @@ def multiple_ways_status() -> Column:
 
 
 def multiple_ways(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("ways", ways()).withColumn("status", F.when(F.col("ways") >= 2, "pass").otherwise("incomplete"))
+    return prepared(pages).withColumn("ways", ways()).withColumn("status", F.when(F.col("ways") >= 2, "pass").otherwise("incomplete"))
 
 
 def help_kinds() -> Column:
@@ -68,7 +71,7 @@ def help_kinds() -> Column:
         "phone": r"""(?i)href\s*=\s*["']?tel:""",
         "mail": r"""(?i)href\s*=\s*["']?mailto:""",
     }
-    return F.array_compact(F.array(*[F.when(_has(p), k) for k, p in kinds.items()]))
+    return F.array_compact(F.array(*[F.when(_has(p, "html" if k == "link" else "tags"), k) for k, p in kinds.items()]))
 
 
 def consistent_help_status() -> Column:
@@ -76,23 +79,22 @@ def consistent_help_status() -> Column:
 
 
 def consistent_help(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("_found", help_kinds()).withColumn("kinds", F.array_join("_found", ",")).withColumn("status", F.when(F.size("_found") > 0, "pass").otherwise("incomplete")).drop("_found")
+    return prepared(pages).withColumn("_found", help_kinds()).withColumn("kinds", F.array_join("_found", ",")).withColumn("status", F.when(F.size("_found") > 0, "pass").otherwise("incomplete")).drop("_found")
 
 
 def page_lang() -> Column:
-    groups = [F.regexp_extract("html", r"(?i)<html\b[^>]*\slang" + VALUE, i) for i in (1, 2, 3)]
-    return F.concat(*[F.coalesce(g, F.lit("")) for g in groups])
+    return value_of(F.regexp_extract("tags", r"(?is)<html\b[^>]*", 0), r"(?i)\slang" + VALUE)
 
 
 def pronunciation_status(density: float = 0.05) -> Column:
     """3.1.6: pages in Chinese, Japanese or Korean, by language or density, need ruby where they have ideographs."""
-    body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
+    body = F.regexp_replace("html", "<[^>]*>", " ")
     applies = F.lower(page_lang()).rlike("^(ja|zh|ko)(-|$)") | (text.cjk_ratio(body) >= density)
     return F.when(~applies, "pass").when(~body.rlike("[一-鿿]"), "pass").when(_has(r"(?i)<ruby[\s>]"), "incomplete").otherwise("fail")
 
 
 def pronunciation(pages: DataFrame, density: float = 0.05) -> DataFrame:
-    return pages.select("page_id", page_lang().alias("lang"), pronunciation_status(density).alias("status"))
+    return prepared(pages).select("page_id", page_lang().alias("lang"), pronunciation_status(density).alias("status"))
 
 
 def _ids() -> Column:
@@ -112,7 +114,7 @@ def parsing_status() -> Column:
 
 def html_parsing(pages: DataFrame) -> DataFrame:
     """4.1.1 with numbers of ids that occur again and of broken references. One scan, no shuffle: ids stay in their row."""
-    rows = pages.select("page_id", _ids().alias("ids"), _refs().alias("refs"))
+    rows = prepared(pages).select("page_id", _ids().alias("ids"), _refs().alias("refs"))
     rows = rows.withColumn("missing", F.array_except("refs", "ids"))
     out = rows.select("page_id", (F.size("ids") - F.size(F.array_distinct("ids"))).cast("long").alias("duplicate_ids"), F.size(F.filter("refs", lambda r: F.array_contains("missing", r))).cast("long").alias("broken_refs"))
     return out.withColumn("status", F.when(F.col("duplicate_ids") + F.col("broken_refs") > 0, "fail").otherwise("pass"))

@@ -68,6 +68,24 @@ def region_contrast(pixels: DataFrame, low: float = 0.05, high: float = 0.95) ->
     return pixels.groupBy("image").agg(F.percentile("luminance", low).alias("dark"), F.percentile("luminance", high).alias("light"))
 
 
+def otsu(pixels: DataFrame, *keys: str, level: str = "level") -> DataFrame:
+    """keys, threshold, dark, light: the level that parts an image's pixels (0 to 255) into the two classes whose means lie
+    furthest apart for their sizes, the lowest such one, and the means of those up to it and above it. Pixels are counted by
+    level, with map-side sums; what meets in a task are an image's levels. null where all pixels are of one level."""
+    histogram = pixels.groupBy(*keys, C(level).cast("long").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    image = Window.partitionBy(*keys)
+    upto = image.orderBy("_v")
+    rows = histogram.select("*", F.sum("_c").over(upto).alias("_n0"), F.sum(C("_c") * C("_v")).over(upto).alias("_s0"), F.sum("_c").over(image).alias("_n"), F.sum(C("_c") * C("_v")).over(image).alias("_s"))
+    d = lambda c: C(c).cast("double")
+    apart = d("_n") * d("_s0") - d("_n0") * d("_s")
+    between = F.when(C("_n0") < C("_n"), apart * apart / (d("_n0") * (d("_n") - d("_n0"))))
+    best = F.max_by(F.struct("_v", "_n0", "_s0", "_n", "_s"), F.struct(F.coalesce(C("_between"), F.lit(-1.0)).alias("b"), (-C("_v")).alias("v")))
+    out = rows.withColumn("_between", between).groupBy(*keys).agg(best.alias("x"), F.max("_between").alias("_most"))
+    some = lambda v: F.when(C("_most").isNotNull(), v)
+    x = lambda c: C(f"x.{c}").cast("double")
+    return out.select(*keys, some(C("x._v")).alias("threshold"), some(x("_s0") / x("_n0")).alias("dark"), some((x("_s") - x("_s0")) / (x("_n") - x("_n0"))).alias("light"))
+
+
 def first_frames(frames: DataFrame) -> DataFrame:
     """page, frames walked, frames skipped for their origin, whether the snapshot is partial."""
     w = frames.groupBy("page").agg(F.count_if("same_origin").alias("walked"), F.count_if(~C("same_origin")).alias("skipped"))

@@ -183,6 +183,11 @@ def verdicts(rows: DataFrame, tagged: Sequence[Column], source: str = "python")
     return _records(rows, C("_v.number"), {"selector": own, **{c: C(f"_v.{c}") for c in ("rule_id", "wcag_sc", "severity", "reason", "status")}}, source)
 
 
+def _source(name: str, rows: DataFrame) -> DataFrame:
+    """What expression rules of a table read: of raw pages the shown markup and its tags, made once for all of them."""
+    return page_links.prepared(rows) if name == "pages" else rows
+
+
 def audit(spark: SparkSession, tables: dict[str, DataFrame], config: AuditConfig | None = None, scanner: DataFrame | None = None) -> Report:
     """Findings and aggregates, all lazy but for isolated rules. A rule whose table is missing or whose plan can't be built
     becomes a warning."""
@@ -200,7 +205,7 @@ def audit(spark: SparkSession, tables: dict[str, DataFrame], config: AuditConfig
         try:
             if r.verdicts is not None:
                 tagged = _tagged(r, number, severity.get(r.wcag_sc))
-                own[0].select(tagged)  # plans it, so that a missing column is known here
+                _source(r.tables[0], own[0]).select(tagged)  # plans it, so that a missing column is known here
                 shared.setdefault(r.tables[0], []).append(tagged)
                 continue
             part = convert(r.evaluate(*own), r, severity.get(r.wcag_sc), number=number)
@@ -212,7 +217,7 @@ def audit(spark: SparkSession, tables: dict[str, DataFrame], config: AuditConfig
             warnings.append((r.rule_id, str(error)[:300]))
             failed = spark.createDataFrame([("needs_review", f"the rule failed: {str(error)[:300]}")], "status string, reason string")
             parts.append(convert(failed, r, severity.get(r.wcag_sc), number=number))
-    parts = [verdicts(tables[t], tagged) for t, tagged in shared.items()] + parts
+    parts = [verdicts(_source(t, tables[t]), tagged) for t, tagged in shared.items()] + parts
     if scanner is not None:
         own = scanner.filter(C("wcag_sc").isin(*config.criteria)) if config.criteria else scanner
         place = F.pmod(F.xxhash64(*[c for c in own.columns if own.schema[c].dataType.simpleString() in ("string", "int", "bigint")]), F.lit(1 << 40))

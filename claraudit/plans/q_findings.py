@@ -206,9 +206,10 @@ def agg_coverage(spark, sf_dir):
 _OVER = "('de', '1.1.1', 'Nicht-Text-Inhalt'), ('de', '1.4.3', '  '), ('ja', '1.1.1', '非テキストコンテンツ')"
 
 
-@query("join_i18n_overlay", f"WITH {_CAT}, o AS (SELECT * FROM (VALUES {_OVER}) t(lang, wcag_sc, name)) SELECT cat.wcag_sc, coalesce(nullif(trim(o.name), ''), cat.name) AS name FROM cat LEFT JOIN o ON o.wcag_sc = cat.wcag_sc AND o.lang = 'de'")
+@query("join_i18n_overlay", f"WITH {_F}, o AS (SELECT * FROM (VALUES {_OVER}) t(lang, wcag_sc, name)) SELECT cat.wcag_sc, coalesce(nullif(trim(o.name), ''), cat.name) AS name, count(*) AS n FROM f JOIN cat ON cat.wcag_sc = f.wcag_sc LEFT JOIN o ON o.wcag_sc = cat.wcag_sc AND o.lang = 'de' GROUP BY ALL")
 def join_i18n_overlay(spark, sf_dir):
-    return overlay_names(catalogue(spark), spark.sql(f"SELECT * FROM VALUES {_OVER} AS t(lang, wcag_sc, name)"), "de").select("wcag_sc", "name")
+    named = overlay_names(catalogue(spark), spark.sql(f"SELECT * FROM VALUES {_OVER} AS t(lang, wcag_sc, name)"), "de").select("wcag_sc", "name")
+    return findings(spark, sf_dir).select("wcag_sc").join(F.broadcast(named), "wcag_sc").groupBy("wcag_sc", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("join_criteria_to_rules", f"WITH {_F} SELECT wcag_sc, any_value(criterion_name) AS criterion_name, count(DISTINCT rule_id) AS rules, count(DISTINCT source) AS sources FROM f WHERE wcag_sc IS NOT NULL GROUP BY wcag_sc")

@@ -3,13 +3,11 @@ arithmetic of its number, so SQL can say by the same arithmetic what must be fou
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from claraudit.functions import urls
 from claraudit.operators import layout, relations
-from claraudit.plans.registry import Registry, table
+from claraudit.plans.registry import Registry, appended
 from claraudit.sources import css, html
 from claraudit.sources.stage import kept
 
@@ -17,17 +15,6 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 
-def appended(spark, sf_dir, *parts):
-    """Pages with parts behind their markup. A part is markup or (condition, markup); {sql} in it becomes that value."""
-    pieces = [F.col("html")]
-    for part in parts:
-        condition, markup = part if isinstance(part, tuple) else (None, part)
-        chunks = re.split(r"(?s)\{\{(.*?)\}\}", markup)
-        piece = F.concat(*[F.lit(x) if i % 2 == 0 else F.expr(f"cast({x} as string)") for i, x in enumerate(chunks)])
-        pieces.append(piece if condition is None else F.when(F.expr(condition), piece).otherwise(""))
-    return table(spark, sf_dir, "pages").select("page_id", "url", F.concat(*pieces).alias("html"))
-
-
 _ORDER = (
     "<style>.fx { display: flex } #o{{page_id % 3}} > .late { order: 7 } .grid { display: grid } @media (max-width: 9px) { div { display: flex; flex-flow: row-reverse } }</style>",
     '<div id="o1" class="fx"><i style="order: {{page_id % 11}}">a</i><i style="order: {{page_id % 13}}">b</i><i class="late">c</i></div>',
@@ -78,7 +65,7 @@ def chk_orientation(spark, sf_dir):
 
 _MOVE = (
     "<style>.spin { animation: {{page_id % 8}}s linear turn } .two { animation-name: a, b; animation-duration: 800ms, 2s; animation-iteration-count: {{page_id % 9}}, infinite } @keyframes turn { from { top: 0 } }</style>",
-    '<div class="spin">x</div><section>{{repeat(\'<div>\', cast(page_id % 4 as int))}}<p class="two">y</p>{{repeat(\'</div>\', cast(page_id % 4 as int))}}<button title="Pause">{{if(page_id % 3 = 0, \'\', \'Play\')}}</button></section>',
+    '<div><div><div class="spin">x</div></div></div><section>{{repeat(\'<div>\', cast(page_id % 4 as int))}}<p class="two">y</p>{{repeat(\'</div>\', cast(page_id % 4 as int))}}<button title="Pause">{{if(page_id % 3 = 0, \'\', \'Play\')}}</button></section>',
     ("page_id % 2 = 0", '<div><div class="page-loading">{{repeat(\'<div>\', cast(page_id % 10 as int))}}<i style="animation: pulse 9s; animation-play-state: paused">z</i></div></div>'),
 )
 

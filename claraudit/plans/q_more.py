@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claraudit.functions import text
 from claraudit.operators import images as im
 from claraudit.operators import reports
 from claraudit.operators import rules_static as st
+from claraudit.plans.q_findings import _F, findings
 from claraudit.plans.q_geometry import _BOX, boxes
 from claraudit.plans.q_rules import _LABEL, _MEDIA, _MOVE
 from claraudit.plans.registry import Records, Registry, table
@@ -121,20 +123,30 @@ def rule_visual_density(spark, sf_dir):
     return _DENS.frame(spark, sf_dir).select("k", F.lit("NEEDS_REVIEW").alias("status"), F.round(share, 4).alias("density"))
 
 
-@query("flt_guide", f"SELECT wcag_sc, level FROM (VALUES {values_sql()}) t(wcag_sc, level, severity, name) WHERE level = 'AA' AND starts_with(wcag_sc, '1.4')")
+_CATALOGUE = f"c AS (SELECT * FROM (VALUES {values_sql()}) t(wcag_sc, level, severity, name))"
+
+
+@query("flt_guide", f"WITH {_F}, {_CATALOGUE} SELECT c.wcag_sc, c.level, count(f.wcag_sc) AS n FROM c LEFT JOIN f ON f.wcag_sc = c.wcag_sc WHERE c.level = 'AA' AND starts_with(c.wcag_sc, '1.4') GROUP BY ALL")
 def flt_guide(spark, sf_dir):
-    return catalogue(spark).filter((F.col("level") == "AA") & F.col("wcag_sc").startswith("1.4")).select("wcag_sc", "level")
+    guide = catalogue(spark).filter((F.col("level") == "AA") & F.col("wcag_sc").startswith("1.4")).select("wcag_sc", "level")
+    found = findings(spark, sf_dir).groupBy("wcag_sc").agg(F.count(F.lit(1)).alias("n"))
+    return guide.join(found, "wcag_sc", "left").na.fill(0, ["n"])
 
 
-@query("src_rules_yaml", f"SELECT level, count(*) AS n, count(severity) AS with_severity FROM (VALUES {values_sql()}) t(wcag_sc, level, severity, name) GROUP BY level")
+@query("src_rules_yaml", f"WITH {_F}, {_CATALOGUE}, n AS (SELECT wcag_sc, count(*) AS n FROM f GROUP BY 1) SELECT c.level, count(*) AS criteria, count(c.severity) AS with_severity, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings FROM c LEFT JOIN n ON n.wcag_sc = c.wcag_sc GROUP BY c.level")
 def src_rules_yaml(spark, sf_dir):
-    return catalogue(spark).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count("severity").alias("with_severity"))
+    found = findings(spark, sf_dir).groupBy("wcag_sc").agg(F.count(F.lit(1)).alias("n"))
+    return catalogue(spark).join(found, "wcag_sc", "left").groupBy("level").agg(F.count(F.lit(1)).alias("criteria"), F.count("severity").alias("with_severity"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
+
+
+_TERMS = {"checks": {"help": {"words": {"en": ["the", "and", "in"], "de": ["der", "und", "In"], "ja": ["ヘルプ", "and"]}}}}
 
 
-@query("src_keywords", "SELECT unnest(['help', 'support', 'ヘルプ']) AS term")
+@query("src_keywords", "SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)the|and|der|und|in')) AS BIGINT) AS hits FROM documents WHERE regexp_matches(text, '(?i)the|and|der|und|in|ヘルプ')")
 def src_keywords(spark, sf_dir):
-    terms = keyword_terms({"checks": {"help": {"words": {"en": ["help", "support"], "ja": ["ヘルプ", "help"]}}}}, "help", "words")
-    return spark.sql(f"SELECT explode(array({', '.join(repr(t) for t in terms)})) AS term")
+    pattern = "(?i)" + text.keyword_pattern(keyword_terms(_TERMS, "help", "words"))
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(pattern))
+    return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).cast("long").alias("hits"))
 
 
 @query("src_seen_dedup", "SELECT o_custkey AS page_url, o_orderkey % 9 AS element_ref_id, min(o_orderkey) AS chunk FROM orders GROUP BY 1, 2")
@@ -188,7 +200,46 @@ def fn_percentile_contrast(spark, sf_dir):
 STAGES = {"1.1.1": "image", "1.2.1": "media", "1.3.3": "sensory", "1.3.4": "orientation", "1.4.3": "ocr", "1.4.4": "resize_text", "1.4.5": "image", "1.4.6": "ocr", "1.4.10": "reflow", "1.4.11": "image", "1.4.12": "text_spacing", "1.4.13": "hover_focus_content", "2.2.2": "pause_stop_hide", "2.4.11": "focus_not_obscured_min", "2.4.12": "focus_not_obscured_enh", "2.5.3": "label_in_name", "2.5.8": "target_size", "3.3.1": "form", "3.3.2": "form"}
 
 
-@query("flt_rule_flags", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{s}')" for c, s in sorted(STAGES.items())) + ") t(wcag_sc, stage)")
+@query("flt_rule_flags", f"WITH {_F}, s AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{s}')" for c, s in sorted(STAGES.items())) + ") t(wcag_sc, stage)) SELECT f.wcag_sc, stage, count(*) AS n FROM f JOIN s ON s.wcag_sc = f.wcag_sc GROUP BY ALL")
 def flt_rule_flags(spark, sf_dir):
     known = F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])
-    return catalogue(spark).select("wcag_sc", F.element_at(known, F.col("wcag_sc")).alias("stage")).filter("stage is not null")
+    rows = findings(spark, sf_dir).filter("wcag_sc is not null").withColumn("stage", F.try_element_at(known, F.col("wcag_sc")))
+    return rows.filter("stage is not null").groupBy("wcag_sc", "stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PIXELS = "SELECT l_suppkey AS image, CAST(floor((l_quantity * 5 + l_linenumber * 7 + l_suppkey % 40) % 256) AS BIGINT) AS v FROM lineitem"
+
+
+@query("fn_otsu", f"""WITH h AS (SELECT image, v, count(*) AS c FROM ({_PIXELS}) GROUP BY ALL),
+s AS (SELECT image, v, CAST(sum(c) OVER w AS DOUBLE) AS n0, CAST(sum(c * v) OVER w AS DOUBLE) AS s0, CAST(sum(c) OVER (PARTITION BY image) AS DOUBLE) AS n, CAST(sum(c * v) OVER (PARTITION BY image) AS DOUBLE) AS s FROM h WINDOW w AS (PARTITION BY image ORDER BY v)),
+b AS (SELECT *, (n * s0 - n0 * s) * (n * s0 - n0 * s) / (n0 * (n - n0)) AS between_ FROM s WHERE n0 < n),
+t AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY between_ DESC, v) AS r FROM b)
+SELECT i.image, v AS threshold, round(s0 / n0, 6) AS dark, round((s - s0) / (n - n0), 6) AS light FROM (SELECT DISTINCT image FROM h) i LEFT JOIN t ON t.image = i.image AND r = 1""")
+def fn_otsu(spark, sf_dir):
+    level = F.floor((F.col("l_quantity") * 5 + F.col("l_linenumber") * 7 + F.col("l_suppkey") % 40) % 256)
+    found = im.otsu(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), level.alias("level")), "image")
+    return found.select("image", "threshold", F.round("dark", 6).alias("dark"), F.round("light", 6).alias("light"))
+
+
+_GRAPH = "g AS (SELECT 'http://h' || (o_custkey % 30) || '.example/p' || (o_custkey % 70) AS source, 'http://h' || (CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 30 ELSE o_custkey % 30 END) || '.example/p' || (o_orderkey * 7 % 70) AS target, o_orderkey AS place FROM orders), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place, target) AS n FROM g) WHERE n <= 50)"
+
+
+def _round(depth: int, seen: str) -> str:
+    """A round of the crawl in SQL: what the last round's pages link to, ranked in its host behind what has been visited."""
+    before = f"d{depth - 1}"
+    return f"""f{depth} AS (SELECT target AS url, min((rank, by_host, place)) AS best FROM (SELECT l.target, b.rank, b.host AS by_host, l.place FROM l JOIN {before} b ON b.url = l.source) WHERE target NOT IN (SELECT url FROM ({seen})) GROUP BY target),
+n{depth} AS (SELECT url, regexp_extract(url, '//([^/]*)', 1) AS host, best FROM f{depth}),
+d{depth} AS (SELECT * FROM (SELECT n.url, n.host, {depth} AS depth, CAST(coalesce(u.c, 0) + row_number() OVER (PARTITION BY n.host ORDER BY best, n.url) - 1 AS BIGINT) AS rank FROM n{depth} n LEFT JOIN (SELECT host, count(*) AS c FROM ({seen}) GROUP BY host) u ON u.host = n.host) WHERE rank < 25)"""
+
+
+_D = [" UNION ALL ".join(f"SELECT * FROM d{i}" for i in range(k)) for k in (1, 2, 3, 4)]
+
+
+@query("src_bfs_crawl_hosts", f"""WITH {_GRAPH}, d0 AS (SELECT url, regexp_extract(url, '//([^/]*)', 1) AS host, 0 AS depth, CAST(0 AS BIGINT) AS rank FROM (VALUES ('http://h1.example/p1'), ('http://h2.example/p2')) t(url)),
+{_round(1, _D[0])}, {_round(2, _D[1])}, {_round(3, _D[2])} {_D[3]}""")
+def src_bfs_crawl_hosts(spark, sf_dir):
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    url = lambda host, page: F.concat(F.lit("http://h"), host.cast("string"), F.lit(".example/p"), page.cast("string"))
+    links = table(spark, sf_dir, "orders").select(url(c % 30, c % 70).alias("source"), url(F.when(o % 3 == 0, o % 30).otherwise(c % 30), o * 7 % 70).alias("target"), o.alias("place"))
+    seeds = links.select("source").distinct().filter(F.col("source").isin("http://h1.example/p1", "http://h2.example/p2")).union(spark.sql("SELECT * FROM VALUES ('http://h1.example/p1'), ('http://h2.example/p2')")).toDF("url")
+    return crawl.frontier(seeds, links, crawl.CrawlPolicy(max_depth=3, max_pages=25, same_origin=False))

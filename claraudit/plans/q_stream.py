@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claraudit.plans.registry import Registry, table
 from claraudit.streaming import stages as sg
+from claraudit.streaming.focus import focus_traps
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -27,10 +28,18 @@ def st_stage_state(spark, sf_dir):
     return sg.stage_records(_events(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum(F.col("ended") - F.col("started")), F.lit(0)), 2).alias("seconds"))
 
 
-@query("st_sliding_rate_limit")
+# a key's requests one after the other, with the times that were accepted
+@query("st_sliding_rate_limit", f"""WITH RECURSIVE {_EV}, q AS (SELECT CASE WHEN job % 10 = 3 THEN NULL ELSE job END AS key, moment, seq FROM ev),
+o AS (SELECT key, CAST(moment AS DOUBLE) AS t, seq, row_number() OVER (PARTITION BY key ORDER BY moment, seq) AS n FROM q),
+r(key, n, seq, accepted, kept) AS (
+  SELECT key, n, seq, true, [t] FROM o WHERE n = 1
+  UNION ALL SELECT o.key, o.n, o.seq, len(list_filter(kept, lambda x: x > o.t - 3600)) < 3,
+    CASE WHEN len(list_filter(kept, lambda x: x > o.t - 3600)) < 3 THEN list_append(list_filter(kept, lambda x: x > o.t - 3600), o.t) ELSE kept END
+  FROM r JOIN o ON o.key IS NOT DISTINCT FROM r.key AND o.n = r.n + 1)
+SELECT key, seq, accepted FROM r""")
 def st_sliding_rate_limit(spark, sf_dir):
-    requests = _events(spark, sf_dir).select(F.col("job").alias("key"), "at", "seq")
-    return sg.rate_limit(requests, limit=3, seconds=3600.0)
+    key = F.when(F.col("job") % 10 != 3, F.col("job")).alias("key")
+    return sg.rate_limit(_events(spark, sf_dir).select(key, "at", "seq"), limit=3, seconds=3600.0)
 
 
 @query("st_trailing_count", "SELECT event_id AS seq, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS n FROM events")
@@ -54,10 +63,39 @@ def st_snapshot_then_tail(spark, sf_dir):
     return sg.snapshot_then_tail(states, e, 7, since).groupBy("block", "what").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("chk_keyboard_trap", """WITH f AS (SELECT user_id, event_id, event_type AS k, lag(event_type, 1) OVER w AS k1, lag(event_type, 2) OVER w AS k2, lag(event_type, 3) OVER w AS k3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+@query("win_lag_cycle", """WITH f AS (SELECT user_id, event_id, event_type AS k, lag(event_type, 1) OVER w AS k1, lag(event_type, 2) OVER w AS k2, lag(event_type, 3) OVER w AS k3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, count(*) FILTER (k = k1 AND k1 = k2) AS stuck, count(*) FILTER (k = k2 AND k1 = k3 AND k <> k1) AS cycles FROM f GROUP BY user_id""")
-def chk_keyboard_trap(spark, sf_dir):
+def win_lag_cycle(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     f = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("k"), *[F.lag("event_type", i).over(w).alias(f"k{i}") for i in (1, 2, 3)])
     c = F.col
     return f.groupBy("user_id").agg(F.count_if((c("k") == c("k1")) & (c("k1") == c("k2"))).alias("stuck"), F.count_if((c("k") == c("k2")) & (c("k1") == c("k3")) & (c("k") != c("k1"))).alias("cycles"))
+
+
+# Escape cuts a session into parts; patterns and probes by arrays of a part
+@query("chk_keyboard_trap", """
+WITH e AS (SELECT user_id AS session, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS key FROM events),
+p AS (SELECT *, count(*) FILTER (key IS NULL) OVER (PARTITION BY session ORDER BY seq) AS part FROM e),
+l AS (SELECT session, part, list(key ORDER BY seq) AS ks, list(seq ORDER BY seq) AS ss FROM p WHERE key IS NOT NULL GROUP BY ALL),
+c AS (SELECT *, CASE WHEN part > 0 THEN ks[2:] ELSE ks END AS k, CASE WHEN part > 0 THEN ss[2:] ELSE ss END AS s FROM l),
+i AS (SELECT *, unnest(generate_series(1, len(k))) AS i FROM c),
+f AS (SELECT session, part, s[i] AS seq, k[i] AS key, i = len(k) AS is_last, CASE
+    WHEN i = 3 AND len(list_distinct(k[1:3])) = 1 OR i > 3 AND len(list_distinct(k[i - 3 : i])) = 1 THEN 'stuck'
+    WHEN i > 3 AND k[i] = k[i - 2] AND k[i - 1] = k[i - 3] AND k[i] <> k[i - 1] THEN 'cycle' END AS pattern FROM i WHERE i >= 3)
+SELECT f.session, f.seq, f.key, pattern, is_last AND coalesce(n.ks[1] = f.key, false) AS trapped FROM f LEFT JOIN l n ON n.session = f.session AND n.part = f.part + 1 WHERE pattern IS NOT NULL""")
+def chk_keyboard_trap(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("key"))
+    return focus_traps(log)
+
+
+_DAY = 86400
+
+
+@query("st_job_states", f"""WITH {_EV}, j AS (SELECT seq // 5 AS job, kind, moment, seq FROM ev), m AS (SELECT max(moment) AS now FROM j),
+s AS (SELECT job, min(moment) AS created, arg_min(kind, (moment, seq)) FILTER (kind IN ('complete', 'error')) AS fin FROM j GROUP BY job)
+SELECT job, round(CAST(created AS DOUBLE), 3) AS created, CASE fin WHEN 'complete' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM s, m WHERE NOT (fin IS NOT NULL AND now - created > 10 * {_DAY})""")
+def st_job_states(spark, sf_dir):
+    status = F.when(F.col("kind") == "complete", "completed").when(F.col("kind") == "error", "failed").otherwise("running")
+    e = _events(spark, sf_dir).select(F.floor(F.col("seq") / 5).alias("job"), "at", "seq", status.alias("status"))
+    now = e.agg(F.max("at")).first()[0] or 0.0
+    return sg.evict(sg.job_states(e), now, 10 * _DAY).select("job", F.round("created", 3).alias("created"), "status")

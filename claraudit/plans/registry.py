@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def appended(spark: SparkSession, sf_dir: str, *parts: str | tuple[str, str]) -> DataFrame:
+    """Pages with parts behind their markup. A part is markup or (condition, markup); {sql} in it becomes that value."""
+    pieces = [F.col("html")]
+    for part in parts:
+        condition, markup = part if isinstance(part, tuple) else (None, part)
+        chunks = re.split(r"(?s)\{\{(.*?)\}\}", markup)
+        piece = F.concat(*[F.lit(x) if i % 2 == 0 else F.expr(f"cast({x} as string)") for i, x in enumerate(chunks)])
+        pieces.append(piece if condition is None else F.when(F.expr(condition), piece).otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.concat(*pieces).alias("html"))
+
+
 def _literal(v) -> str:
     if v is None:
         return "NULL"

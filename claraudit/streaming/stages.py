@@ -4,9 +4,12 @@ form with the same result, for replay and for tests."""
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -56,11 +59,11 @@ def stage_stream(events: DataFrame, seconds: float = 24 * TTL_SECONDS) -> DataFr
 
 
 def _allow(limit: int, seconds: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, kept = None, deque()
-        for rows in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = object(), deque()
+        for batch in batches:
             out = []
-            for key, at in zip(rows["key"].tolist(), rows["at"].tolist(), strict=True):
+            for key, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key != now:
                     now, kept = key, deque()
                 while kept and kept[0] <= at - seconds:
@@ -68,39 +71,59 @@ def _allow(limit: int, seconds: float):
                 out.append(len(kept) < limit)
                 if out[-1]:
                     kept.append(at)
-            rows["accepted"] = out
-            yield rows[["key", "seq", "accepted"]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.bool_())], ["key", "seq", "accepted"])
 
     return run
 
 
 def rate_limit(requests: DataFrame, limit: int = LIMIT, seconds: float = SECONDS) -> DataFrame:
     """Batch: requests (key, at, seq) with whether each is accepted: fewer than `limit` accepted ones of its key in the
-    trailing window; rejected ones don't count. Each partition is read in order once; what is remembered is at most `limit`
-    times of one key, however many requests it has."""
-    ordered = requests.select("key", "at", "seq").repartition("key").sortWithinPartitions("key", "at", "seq")
-    return ordered.mapInPandas(_allow(limit, seconds), "key long, seq long, accepted boolean")
+    trailing window; rejected ones don't count. Requests without a key share one. Each partition is read in order once; what
+    is remembered is at most `limit` times of one key, however many requests it has."""
+    ordered = requests.select(F.col("key").cast("long"), F.col("at").cast("double"), F.col("seq").cast("long")).repartition("key").sortWithinPartitions("key", "at", "seq")
+    return ordered.mapInArrow(_allow(limit, seconds), "key long, seq long, accepted boolean")
+
+
+def _as_key(key) -> object:
+    """A group's key as it came: pandas may hand a null over as NaN."""
+    return None if key is None or key != key else key
 
 
 def _allow_state(limit: int, seconds: float):
     def one(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
+        columns = ["key", "seq", "accepted"]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = deque(state.get[0] if state.exists else [])
         rows = pd.concat(frames).sort_values(["at", "seq"])
         out = []
-        for at, seq in zip(rows["at"], rows["seq"], strict=True):
-            kept = [x for x in kept if x > at - seconds]
-            out.append((key[0], int(seq), len(kept) < limit))
-            if len(kept) < limit:
-                kept.append(float(at))
-        state.update((kept,))
-        yield pd.DataFrame(out, columns=["key", "seq", "accepted"])
+        for at, seq in zip(rows["at"].tolist(), rows["seq"].tolist(), strict=True):
+            while kept and kept[0] <= at - seconds:
+                kept.popleft()
+            out.append((_as_key(key[0]), seq, len(kept) < limit))
+            if out[-1][2]:
+                kept.append(at)
+        if kept:
+            state.update((list(kept),))
+            # nothing of the window counts any more once time has passed it
+            state.setTimeoutTimestamp(max(int((kept[-1] + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        made = pd.DataFrame(out, columns=columns)
+        yield made.astype({"key": "Int64", "seq": "int64", "accepted": "bool"})
 
     return one
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, seconds: float = SECONDS) -> DataFrame:
-    """Streaming: state is the accepted times of the window, `limit` at most for a key."""
-    return requests.groupBy("key").applyInPandasWithState(_allow_state(limit, seconds), "key long, seq long, accepted boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+def _timed(rows: DataFrame, delay: str) -> DataFrame:
+    return rows.withColumn("moment", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("moment", delay)
+
+
+def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, seconds: float = SECONDS, delay: str = "1 minute") -> DataFrame:
+    """Streaming: state is the accepted times of the window, `limit` at most for a key. A timer in event time drops the state
+    of a key whose window has passed, so idle keys leave none. Requests that come later than `delay` get no decision."""
+    return _timed(requests, delay).groupBy("key").applyInPandasWithState(_allow_state(limit, seconds), "key long, seq long, accepted boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def trailing_count(requests: DataFrame, seconds: int = SECONDS) -> DataFrame:
@@ -114,28 +137,140 @@ def evict(jobs: DataFrame, now: float, ttl: float = TTL_SECONDS) -> DataFrame:
     return jobs.filter(~(F.col("status").isin("completed", "failed") & (F.lit(now) - F.col("created") > ttl)))
 
 
+TERMINAL = ("completed", "failed")
+
+
+def _expire(ttl: float):
+    def one(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        columns = ["job", "created", "status"]
+        if state.hasTimedOut:
+            created, status = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], created, status)], columns=columns)
+            return
+        created, status = state.get if state.exists else (None, "running")
+        rows = pd.concat(frames).sort_values(["at", "seq"])
+        created = float(rows["at"].iloc[0]) if created is None else min(created, float(rows["at"].iloc[0]))
+        ended = [x for x in rows["status"] if x in TERMINAL]
+        status = status if status in TERMINAL else ended[0] if ended else "running"
+        due = int((created + ttl) * 1000) + 1
+        if status in TERMINAL and due <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([(key[0], created, status)], columns=columns)
+            return
+        state.update((created, status))
+        if status in TERMINAL:
+            state.setTimeoutTimestamp(due)
+
+    return one
+
+
+def evict_stream(events: DataFrame, ttl: float = TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Streaming: events (job, status, at, seq) to the ended jobs that have outlived `ttl` since their first event: job,
+    created, status, each once. State is a job's first time and end; the timer that makes the row removes it, so what is kept
+    are the jobs that evict() keeps: running ones and those ended not long ago."""
+    return _timed(events, delay).groupBy("job").applyInPandasWithState(_expire(ttl), "job long, created double, status string", "created double, status string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """Batch: job, created (first event), status (the first end, else running) from events (job, status, at, seq)."""
+    first_end = F.min(F.when(F.col("status").isin(*TERMINAL), F.struct("at", "seq", "status")))
+    return events.groupBy("job").agg(F.min("at").alias("created"), F.coalesce(first_end["status"], F.lit("running")).alias("status"))
+
+
 def snapshot_then_tail(states: DataFrame, events: DataFrame, job: int, since: float) -> DataFrame:
     """What a new subscriber gets: the job's state, then the events behind `since`; an ended job's state only."""
     own = states.filter(F.col("job") == job)
-    live = own.filter(~F.col("status").isin("completed", "failed")).select("job")
+    live = own.filter(~F.col("status").isin(*TERMINAL)).select("job")
     tail = events.filter((F.col("job") == job) & (F.col("at") > since)).join(live, "job", "left_semi")
     return own.select(F.lit(0).alias("block"), F.lit(since).alias("at"), F.col("status").alias("what")).unionByName(tail.select(F.lit(1).alias("block"), "at", F.col("kind").alias("what")))
 
 
-def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str):
-    """A streaming query that hands each micro-batch to every sink; the batch is kept for the time of one hand-out."""
+@dataclass(frozen=True)
+class Subscriber:
+    """Who gets events. sink: (rows, number) -> None; number is the micro-batch's, -1 for the snapshot. job: only its events,
+    up to the one whose kind is in `ends`, which closes the subscription. snapshot: a row of the job's state, handed out once
+    before everything else; with an ended job it is all that is. since: only events behind it."""
+
+    name: str
+    sink: Callable[[DataFrame, int], None]
+    job: int | None = None
+    snapshot: DataFrame | None = None
+    since: float | None = None
+    ends: tuple[str, ...] = ("complete", "error")
+
+
+class _Offsets:
+    """What has been handed out to a subscriber: a small table a step, written when the step is done."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def has(self, name: str, step: str) -> bool:
+        try:
+            return not self.spark.read.schema("id long").parquet(f"{self.path}/{name}/{step}").isEmpty()
+        except AnalysisException:
+            return False
+
+    def put(self, name: str, step: str) -> None:
+        self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}/{step}")
+
+
+def _hand_out(offsets: _Offsets, who: Subscriber, batch: DataFrame, number: int) -> None:
+    if offsets.has(who.name, "closed"):
+        return
+    if who.snapshot is not None and not offsets.has(who.name, "snapshot"):
+        who.sink(who.snapshot, -1)
+        if not who.snapshot.filter(F.col("status").isin(*TERMINAL)).isEmpty():
+            offsets.put(who.name, "closed")
+            return
+        offsets.put(who.name, "snapshot")
+    if offsets.has(who.name, str(number)):
+        return
+    rows, closes = batch, False
+    if who.job is not None:
+        rows = rows.filter(F.col("job") == who.job)
+        rows = rows if who.since is None else rows.filter(F.col("at") > who.since)
+        end = rows.filter(F.col("kind").isin(*who.ends)).agg(F.min(F.struct("at", "seq")).alias("end")).first()["end"]
+        if end is not None:
+            closes = True
+            rows = rows.filter((F.col("at") < end["at"]) | ((F.col("at") == end["at"]) & (F.col("seq") <= end["seq"])))
+    if who.job is None or not rows.isEmpty():
+        who.sink(rows, number)
+    offsets.put(who.name, "closed" if closes else str(number))
+
+
+def fan_out(stream: DataFrame, sinks: Sequence[Subscriber | Callable[[DataFrame, int], None]], checkpoint: str):
+    """A streaming query that hands each micro-batch to every subscriber once: the number of a batch is kept for each of
+    them when it has been handed out, so a batch that is run again after a failure reaches only those that haven't had it. A
+    sink that fails after a part of its work gets the same number again and overwrites that part (table_sink does). The
+    batch is kept for the time of one hand-out. Those who subscribe without a name are named by their place."""
+    who = [s if isinstance(s, Subscriber) else Subscriber(f"sink{i}", s) for i, s in enumerate(sinks)]
+    if len({s.name for s in who}) < len(who):
+        raise ValueError("two subscribers of one name")
+    offsets = _Offsets(stream.sparkSession, f"{checkpoint}/handed")
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            for sink in sinks:
-                sink(batch, number)
+            for s in who:
+                _hand_out(offsets, s, batch, number)
         finally:
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def table_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to a folder of its number: writing it again replaces it."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
 def step_log(stream: DataFrame, path: str, checkpoint: str):
     """Append every row as a line of JSON."""
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
