@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 LIMIT, SECONDS, TTL_SECONDS = 30, 60, 3600
+#: Seconds added to event times: a stream's first watermark is 0, and what isn't behind it counts as late.
+_SHIFT = 86_400
 STAGE = "job long, stage string, started double, ended double, status string"
 
 
@@ -107,7 +109,7 @@ def _allow_state(limit: int, seconds: float):
         if kept:
             state.update((list(kept),))
             # nothing of the window counts any more once time has passed it
-            state.setTimeoutTimestamp(max(int((kept[-1] + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(int((kept[-1] + seconds + _SHIFT) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         made = pd.DataFrame(out, columns=columns)
@@ -117,7 +119,7 @@ def _allow_state(limit: int, seconds: float):
 
 
 def _timed(rows: DataFrame, delay: str) -> DataFrame:
-    return rows.withColumn("moment", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("moment", delay)
+    return rows.withColumn("moment", F.timestamp_micros(((F.col("at") + _SHIFT) * 1_000_000).cast("long"))).withWatermark("moment", delay)
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, seconds: float = SECONDS, delay: str = "1 minute") -> DataFrame:
@@ -153,7 +155,7 @@ def _expire(ttl: float):
         created = float(rows["at"].iloc[0]) if created is None else min(created, float(rows["at"].iloc[0]))
         ended = [x for x in rows["status"] if x in TERMINAL]
         status = status if status in TERMINAL else ended[0] if ended else "running"
-        due = int((created + ttl) * 1000) + 1
+        due = int((created + ttl + _SHIFT) * 1000) + 1
         if status in TERMINAL and due <= state.getCurrentWatermarkMs():
             if state.exists:
                 state.remove()
