@@ -31,12 +31,12 @@ check("fn_process_type", R(form=["newsletter", "order and contact", "hello", "
 check("chk_images_of_text", R(alt=["Big summer sale starts now.", "Logo", "", "a cat", "Our new store opens"], src=["/img/banner1.png", "/img/x.png"], **{"class": ["hero-text", None]}, role=[None, "none"]), lambda: fc.images_of_text(),
       "CASE WHEN alt IN ('', 'Logo') OR role = 'none' THEN 'skipped' ELSE CASE WHEN s >= 3 THEN 'fail' WHEN s = 2 THEN 'incomplete' ELSE 'pass' END END".replace("s >=", "(CASE WHEN src LIKE '%banner%' THEN 2 ELSE 0 END + CASE WHEN \"class\" IS NOT NULL THEN 1 ELSE 0 END + CASE alt WHEN 'Big summer sale starts now.' THEN 2 WHEN 'Our new store opens' THEN 1 ELSE 0 END) >=").replace("s = 2", "(CASE WHEN src LIKE '%banner%' THEN 2 ELSE 0 END + CASE WHEN \"class\" IS NOT NULL THEN 1 ELSE 0 END + CASE alt WHEN 'Big summer sale starts now.' THEN 2 WHEN 'Our new store opens' THEN 1 ELSE 0 END) = 2"))
 check("chk_use_of_color", R(link_color=["#000000", "#0000ff", "#0f0f0f"], text_color=["#000", "#101010"], underlined=BN, bold=[False, True], bordered=[False, None]), lambda: fc.use_of_color(), "CASE WHEN underlined IS TRUE OR bold THEN 'pass' WHEN link_color = '#0000ff' OR (link_color = '#000000' AND text_color = '#101010') THEN 'fail' ELSE 'pass' END")
-check("chk_status_messages", R(dynamic=BN, live_region=BN), lambda: fc.status_messages(), "CASE WHEN dynamic AND live_region IS NOT TRUE THEN 'fail' WHEN dynamic THEN 'incomplete' WHEN live_region THEN 'pass' ELSE 'incomplete' END")
+check("chk_status_flags", R(dynamic=BN, live_region=BN), lambda: fc.status_messages(), "CASE WHEN dynamic AND live_region IS NOT TRUE THEN 'fail' WHEN dynamic THEN 'incomplete' WHEN live_region THEN 'pass' ELSE 'incomplete' END")
 check("chk_accessible_auth", R(is_auth=BN, passkey=[False, True], captcha=B, captcha_alternative=BN, paste_blocked=BN, cognitive_test=[False, True]), lambda: F.array_join(fc.accessible_auth(), ","),
       "CASE WHEN is_auth IS NOT TRUE OR passkey THEN '' ELSE concat_ws(',', CASE WHEN captcha AND captcha_alternative IS NOT TRUE THEN 'captcha' END, CASE WHEN paste_blocked THEN 'paste' END, CASE WHEN cognitive_test THEN 'cognitive' END) END")
-check("chk_char_keys", R(accesskey=[None, "s", "", "Enter"], handler=["if (event.key === 'k') go()", "if (event.key === 'k' && event.ctrlKey) go()", None, "go()"]), lambda: fc.char_keys(), "CASE WHEN accesskey = 's' OR (handler LIKE '%event.key%' AND handler NOT LIKE '%ctrlKey%') THEN 'incomplete' ELSE 'pass' END")
-check("chk_pointer_cancel", R(attrs=['onmousedown="submit()"', 'onpointerdown="open()" onpointerup="x()"', 'ontouchstart="hover()"', 'onclick="submit()"', None]), lambda: fc.pointer_cancel(), "CASE WHEN k % 5 = 0 THEN 'incomplete' ELSE 'pass' END")
-check("chk_dragging", R(attrs=['draggable="true"', 'ondragstart="x()"', 'class="y"', None, "data-sortable"], alternative=BN), lambda: fc.dragging(), "CASE WHEN k % 5 IN (0, 1, 4) AND alternative IS NOT TRUE THEN 'incomplete' ELSE 'pass' END")
+check("chk_key_flags", R(accesskey=[None, "s", "", "Enter"], handler=["if (event.key === 'k') go()", "if (event.key === 'k' && event.ctrlKey) go()", None, "go()"]), lambda: fc.char_keys(), "CASE WHEN accesskey = 's' OR (handler LIKE '%event.key%' AND handler NOT LIKE '%ctrlKey%') THEN 'incomplete' ELSE 'pass' END")
+check("chk_pointer_flags", R(attrs=['onmousedown="submit()"', 'onpointerdown="open()" onpointerup="x()"', 'ontouchstart="hover()"', 'onclick="submit()"', None]), lambda: fc.pointer_cancel(), "CASE WHEN k % 5 = 0 THEN 'incomplete' ELSE 'pass' END")
+check("chk_drag_flags", R(attrs=['draggable="true"', 'ondragstart="x()"', 'class="y"', None, "data-sortable"], alternative=BN), lambda: fc.dragging(), "CASE WHEN k % 5 IN (0, 1, 4) AND alternative IS NOT TRUE THEN 'incomplete' ELSE 'pass' END")
 _FOC = R(f_outline=["none", "solid"], f_outline_px=[0.0, 1.0, 2.0], f_shadow=["none", "x"], u_shadow=["none", "x"], f_border=["a", "b"], u_border=["a"], f_background=["w", None], u_background=["w"], ratio=[2.9, 3.0, None])
 check("chk_focus_visible", _FOC, lambda: fc.focus_change(), "CASE WHEN (f_outline <> 'none' AND f_outline_px > 0) OR f_shadow <> u_shadow OR f_border <> u_border THEN 'pass' ELSE 'fail' END")
 check("chk_focus_appearance", _FOC, lambda: F.array_join(fc.focus_indicator(), ","), "CASE WHEN NOT ((f_outline <> 'none' AND f_outline_px > 0) OR f_shadow <> u_shadow) THEN 'no_indicator' ELSE concat_ws(',', CASE WHEN f_outline <> 'none' AND f_outline_px > 0 AND f_outline_px < 2 THEN 'thin' END, CASE WHEN ratio < 3 THEN 'low_contrast' END) END")

@@ -100,6 +100,11 @@ def declarations(text: str) -> list[dict]:
     return out
 
 
+def split_selectors(text: str) -> list[str]:
+    """The selectors of a list."""
+    return [s.strip() for s in _split(text, ",")]
+
+
 def steps_of(selector: str) -> tuple[list[dict], int] | None:
     """(steps, weight) of one selector, None for those that match nothing here."""
     at, out, comb, counts = 0, [], "", [0, 0, 0]
@@ -212,7 +217,7 @@ def parse_sheet(text: str, viewport: tuple[int, int] = VIEWPORT, media: str = ""
 
 _TEXTS = pa.list_(pa.string())
 _ARROW_STEP = pa.struct([("comb", pa.string()), ("key", pa.string()), ("tag", pa.string()), ("id", pa.string()), ("classes", _TEXTS), ("attrs", pa.list_(pa.struct([(c, pa.string()) for c in ("name", "op", "value")]))), ("pseudo", _TEXTS)])
-_ARROW = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("rule", pa.int32()), ("selector", pa.string()), ("steps", pa.list_(_ARROW_STEP)), ("weight", pa.int32()), ("media", _TEXTS), ("applies", pa.bool_()), ("declared", pa.list_(pa.struct([("property", pa.string()), ("value", pa.string()), ("important", pa.bool_())]))), ("css", pa.string())])
+ARROW = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("rule", pa.int32()), ("selector", pa.string()), ("steps", pa.list_(_ARROW_STEP)), ("weight", pa.int32()), ("media", _TEXTS), ("applies", pa.bool_()), ("declared", pa.list_(pa.struct([("property", pa.string()), ("value", pa.string()), ("important", pa.bool_())]))), ("css", pa.string())])
 
 
 def _rules(viewport: tuple[int, int]):
@@ -224,7 +229,7 @@ def _rules(viewport: tuple[int, int]):
                 else:
                     rows = parse_sheet(text, viewport, media or "")
                 if rows:
-                    yield pa.RecordBatch.from_pylist([r | {"page_id": page, "pos": pos} for r in rows], _ARROW)
+                    yield pa.RecordBatch.from_pylist([r | {"page_id": page, "pos": pos} for r in rows], ARROW)
 
     return run
 
