@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,10 @@ def error_prevention(words: Column, safeguard: Column) -> Column:
     return F.struct(kind.alias("kind"), cases((kind.isNull(), "pass"), (yes(safeguard) | words.rlike(REVIEW), "pass"), default="fail").alias("status"))
 
 
+# Whose data two fields of one key may ask for without asking twice.
+DISTINCT_ROLES = (("billing", "shipping"), ("primary", "secondary"), ("emergency", "primary"), ("emergency", "applicant"), ("guardian", "applicant"), ("reference", "applicant"))
+
+
 def process_types(words: Column) -> Column:
     return F.array_compact(F.array(*[F.when(words.rlike(p), F.lit(k)) for k, p in PROCESSES.items()]))
 
@@ -56,7 +62,8 @@ def redundant_entry(fields: DataFrame) -> DataFrame:
     """3.3.7 over fields (page, id, key, form, process, required, words, prefilled): pairs of one key in different forms
     of one page. A pair is the same purpose for equal words, for one process and similarity of .45, or .6; distinct for
     different processes below .25. A key with two required fields and a same pair fails, with other pairs it is to be
-    reviewed, unless a field is prefilled. Pages hold few fields of a key, so pairs stay within that."""
+    reviewed, unless a field is prefilled. Where fields have a role, a key asked of two roles that are different people or
+    purposes by nature is left alone. Pages hold few fields of a key, so pairs stay within that."""
     f = fields.withColumn("_t", text.tokens(C("words")))
     j = f.alias("a").join(f.alias("b"), (C("a.page") == C("b.page")) & (C("a.key") == C("b.key")) & (C("a.id") < C("b.id")) & (C("a.form") != C("b.form")))
     sim = text.jaccard(C("a._t"), C("b._t"))
@@ -65,6 +72,10 @@ def redundant_entry(fields: DataFrame) -> DataFrame:
     kind = cases((yes(same), "same"), (~yes(one) & (sim < 0.25), "distinct"), default="unclear")
     pairs = j.groupBy(C("a.page").alias("page"), C("a.key").alias("key")).agg(F.count_if(kind == "same").alias("same"), F.count_if(kind == "unclear").alias("unclear"), F.round(F.max(sim), 4).alias("best"))
     group = fields.groupBy("page", "key").agg(F.count_if("required").alias("required"), F.coalesce(F.bool_or("prefilled"), F.lit(False)).alias("eased"))
+    if "role" in fields.columns:
+        roles = fields.groupBy("page", "key").agg(F.collect_set("role").alias("_roles"))
+        apart = [F.array_contains("_roles", a) & F.array_contains("_roles", b) for a, b in DISTINCT_ROLES]
+        group = group.join(roles, ["page", "key"]).filter(~reduce(lambda x, y: x | y, apart)).drop("_roles")
     g = pairs.join(group, ["page", "key"]).filter("required >= 2")
     return g.select("page", "key", "best", cases((C("eased"), "pass"), ((C("same") > 0) | (C("best") >= 0.5), "fail"), (C("unclear") > 0, "incomplete"), default="pass").alias("status"))
 

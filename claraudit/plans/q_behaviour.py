@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claraudit.operators import behaviour
+from claraudit.operators.entry_fields import entry_fields
+from claraudit.operators.form_checks import redundant_entry
 from claraudit.plans.audit import AuditConfig, audit
 from claraudit.plans.extract import page_tables
 from claraudit.plans.registry import Registry, appended
@@ -109,3 +111,18 @@ def audit_raw_pages(spark, sf_dir):
     report = audit(spark, tables, AuditConfig(level="AAA", criteria=("1.3.2", "3.3.1", "2.5.7", "1.2.1", "4.1.3")))
     found = report.findings.groupBy("wcag_sc").agg(*[F.count_if(F.col("status") == s).alias(n) for s, n in (("fail", "violations"), ("needs_review", "needs_review"), ("pass", "passes"))])
     return found.select("wcag_sc", "violations", "needs_review", "passes")
+
+
+_ENTRY = (
+    "<form id='one' class='{{if(page_id % 4 = 0, 'checkout', 'contact')}}'><label>Your email <input type='email' name='mail' required></label><input name='phone' {{if(page_id % 3 = 0, 'required', '')}}><input autocomplete='section-a billing postal-code' aria-label='zip' required></form>",
+    "<form id='two' class='checkout'>{{repeat('<div>', cast(page_id % 20 as int))}}<label>Your email <input type='email' name='mail' required {{if(page_id % 5 = 0, 'value=\\'a@b\\'', '')}}></label><label>Confirm email<input type='email' required></label>",
+    "<input name='phone' required {{if(page_id % 7 = 0, 'disabled', '')}}><input autocomplete='shipping postal-code' aria-label='zip' required></form>",
+)
+
+
+@query("chk_redundant_entry_pages", """
+SELECT page_id AS page, 'email' AS key, CAST(1 AS DOUBLE) AS best, CASE WHEN page_id % 5 = 0 THEN 'pass' ELSE 'fail' END AS status FROM pages
+UNION ALL SELECT page_id, 'tel', 1, 'fail' FROM pages WHERE page_id % 3 = 0 AND page_id % 7 <> 0""")
+def chk_redundant_entry_pages(spark, sf_dir):
+    els = kept(html.elements(appended(spark, sf_dir, *_ENTRY)), "elements")
+    return redundant_entry(kept(entry_fields(els), "fields")).select("page", "key", F.col("best").cast("double").alias("best"), "status")

@@ -66,3 +66,13 @@ def test_audit_of_raw_pages(spark):
     worst = {(r.wcag_sc, r.status) for r in rows if r.page_url == "http://bad.example/" and r.status != "pass"}
     assert worst >= {("3.3.1", "fail"), ("3.3.2", "fail"), ("2.5.3", "fail"), ("1.2.1", "fail"), ("2.2.2", "fail"), ("1.3.2", "needs_review"), ("1.3.3", "fail"), ("2.1.4", "needs_review"), ("2.5.7", "needs_review"), ("4.1.3", "fail")}
     assert {r.wcag_sc for r in rows if r.page_url == "http://good.example/" and r.status == "fail"} == set()
+
+
+def test_entry_fields(spark):
+    from claraudit.operators.entry_fields import entry_fields
+
+    page = """<form class="newsletter"><input autocomplete="section-x home tel" name=q><input type=email><input name="memo"><input aria-label="お名前" value=x><input type=email aria-label="もう一度"><input name="city" disabled></form>
+      <fieldset id="Billing">""" + "<div>" * 50 + """<label>Zip code<select aria-required=true></select></label></fieldset>"""
+    els, _ = _read(spark, page)
+    got = {(r.key, r.form >= 0, r.process, r.role, r.required, r.prefilled) for r in entry_fields(els.drop("parent", "prev", "next", "classes", "id")).collect()}
+    assert got == {("tel", True, "subscribe", None, False, False), ("email", True, "subscribe", None, False, False), ("given-name", True, "subscribe", None, False, True), ("postal-code", False, "checkout", "billing", True, False)}
