@@ -36,10 +36,11 @@ r(key, n, seq, accepted, kept) AS (
   UNION ALL SELECT o.key, o.n, o.seq, len(list_filter(kept, lambda x: x > o.t - 3600)) < 3,
     CASE WHEN len(list_filter(kept, lambda x: x > o.t - 3600)) < 3 THEN list_append(list_filter(kept, lambda x: x > o.t - 3600), o.t) ELSE kept END
   FROM r JOIN o ON o.key IS NOT DISTINCT FROM r.key AND o.n = r.n + 1)
-SELECT key, seq, accepted FROM r""")
+SELECT coalesce(key, -1) AS key, seq, accepted FROM r""")
 def st_sliding_rate_limit(spark, sf_dir):
     key = F.when(F.col("job") % 10 != 3, F.col("job")).alias("key")
-    return sg.rate_limit(_events(spark, sf_dir).select(key, "at", "seq"), limit=3, seconds=3600.0)
+    found = sg.rate_limit(_events(spark, sf_dir).select(key, "at", "seq"), limit=3, seconds=3600.0)
+    return found.select(F.coalesce("key", F.lit(-1)).alias("key"), "seq", "accepted")
 
 
 @query("st_trailing_count", "SELECT event_id AS seq, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS n FROM events")
