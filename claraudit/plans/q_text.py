@@ -66,13 +66,25 @@ def rule_transcript_prepare(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tr.prepare(F.col("html"), F.lit("link")).alias("plain"))
 
 
-_SENSE = Records("orders", "o_orderkey", text=["Click the round button.", "Press the green Submit order button. Bye.", "Nothing here.", "Select the item on the left. It is red.", None, "Use the button! Then press the big one at the top."])
+# An instruction of parts: a verb that may not lead, a sensory word, a kind of control, a label that may be missing.
+_SENSE = Records("orders", "o_orderkey", verb=["Click the ", "The old ", "Please press the "], sense=["round", "bright red", "new"], noun=[" icon", " house"], label=["", " Save order", ' "x"'], behind=[".", " on the left.", " to continue. It rained."])
+_SENSE_JA = Records("orders", "o_orderkey", sense=["赤い", "右の丸い", "新規"], noun=["ボタン", "アイコン"], label=["", "「確認」", "送信"], verb=["をクリックしてください。", "は昨日の話。"])
 
 
-@query("rule_1_3_3", f"""WITH r AS ({_SENSE.cte()}), e AS (SELECT * FROM (VALUES ('Click the round button.', 'shape', 'FAILED'), ('Press the green Submit order button.', 'color', 'PASSED'), ('Select the item on the left.', 'position', 'PASSED'), ('Then press the big one at the top.', 'size,position', 'PASSED')) t(sentence, categories, status))
-SELECT r.k, e.sentence, e.categories, e.status FROM r JOIN e ON contains(r.text, e.sentence)""")
+@query("rule_1_3_3", f"""WITH r AS ({_SENSE.cte()}), s AS (SELECT *, noun = ' icon' AND behind = ' on the left.' AS placed, concat_ws(',', CASE sense WHEN 'bright red' THEN 'color' WHEN 'round' THEN 'shape' END, CASE WHEN behind = ' on the left.' THEN 'position' END, CASE sense WHEN 'bright red' THEN 'brightness' END) AS categories FROM r)
+SELECT k, verb || sense || noun || label || replace(behind, ' It rained.', '') AS sentence, categories, CASE WHEN label = '' AND noun = ' icon' AND sense <> 'new' AND verb <> 'The old ' THEN 'FAILED' ELSE 'PASSED' END AS status
+FROM s WHERE (verb <> 'The old ' OR placed OR (noun = ' icon' AND (label = ' Save order' OR behind = ' to continue. It rained.'))) AND categories <> ''""")
 def rule_1_3_3(spark, sf_dir):
-    return sensory.findings(_SENSE.frame(spark, sf_dir)).select("k", "sentence", "categories", "status")
+    rows = _SENSE.frame(spark, sf_dir).select("k", F.concat("verb", "sense", "noun", "label", "behind").alias("text"))
+    return sensory.findings(rows).select("k", "sentence", "categories", "status")
+
+
+@query("rule_1_3_3_ja", f"""WITH r AS ({_SENSE_JA.cte()})
+SELECT k, sense || noun || label || verb AS sentence, CASE sense WHEN '赤い' THEN 'color' ELSE 'shape,position' END AS categories, CASE WHEN label = '' THEN 'FAILED' ELSE 'PASSED' END AS status FROM r WHERE verb = 'をクリックしてください。' AND sense <> '新規'
+UNION ALL SELECT k, sense || noun || label || verb, CASE sense WHEN '赤い' THEN 'color' ELSE 'shape,position' END, 'PASSED' FROM r WHERE verb <> 'をクリックしてください。' AND sense <> '新規' AND label <> ''""")
+def rule_1_3_3_ja(spark, sf_dir):
+    rows = _SENSE_JA.frame(spark, sf_dir).select("k", F.concat("sense", "noun", "label", "verb").alias("text"))
+    return sensory.findings(rows).select("k", "sentence", "categories", "status")
 
 
 _CJK = "[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{AC00}-\\x{D7AF}]"

@@ -112,7 +112,39 @@ def test_sensory_instructions(spark):
     texts = ["Click the round green button on the right.", "Press the red Save button. It rained.", "The red house is big.", "", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     got = {(r.k, r.categories, r.residual, r.status) for r in sensory.findings(rows).collect()}
-    assert got == {(0, "shape,position,color", "", "FAILED"), (1, "color", "Save", "PASSED")}
+    assert got == {(0, "color,shape,position", "", "FAILED"), (1, "color", "Save", "PASSED")}
+
+
+SENSORY = [
+    ("Click the round button to continue.", "shape", "FAILED"),
+    ("Click the blue Submit button.", "color", "PASSED"),
+    ("Required fields are marked in red.", "color", "FAILED"),
+    ("Press the arrow on the right to continue.", "position", "FAILED"),
+    ('Click the "Submit" button on the right.', "position", "PASSED"),
+    ("Select the item on the left.", "position", "FAILED"),
+    ("Then press the big one at the top.", None, None),  # neither a verb in front nor a control
+    ("The round button is disabled.", None, None),
+    ("See 42 on the right side.", "position", "PASSED"),
+    ("See it", None, None),
+    ("赤いボタンをクリックしてください", "color", "FAILED"),
+    ("「送信」ボタンの右をクリックして", "position", "PASSED"),
+    ("赤い確認ボタンをクリック", "color", "PASSED"),
+    ("右の blue ボタンをクリック", "position,color", "PASSED"),
+    ("赤いボタンは昨日の話", None, None),
+]
+
+
+def test_sensory_languages_and_sources(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(SENSORY)], "k int, text string")
+    got = {r.k: (r.categories, r.status) for r in sensory.findings(rows).collect()}
+    assert got == {i: (c, s) for i, (_, c, s) in enumerate(SENSORY) if c}
+    # Japanese sentences need no space between them; the language of the element goes before what its text looks like
+    rows = [(0, "赤いボタンをクリック。左のタブを選択します。", None), (1, "Tap 右", "en"), (2, "Tap 右", "ja-JP")]
+    got = sorted((r.k, r.sentence, r.categories) for r in sensory.findings(spark.createDataFrame(rows, "k int, text string, lang string")).collect())
+    assert got == [(0, "左のタブを選択します。", "position"), (0, "赤いボタンをクリック。", "color")]
+    # every text of an element, each once
+    rows = spark.createDataFrame([(0, "Go", "Click the red one", "Click the red one", None)], "k int, text string, aria_label string, title string, value string")
+    assert [(r.sentence, r.status) for r in sensory.findings(rows).collect()] == [("Click the red one", "PASSED")]
 
 
 def test_boxes_of_full_pages(spark):
