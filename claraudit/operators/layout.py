@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claraudit.functions import urls
+from claraudit.operators import structure
 from claraudit.sources.css import value
-from claraudit.sources.html import attr
+from claraudit.sources.html import ROLES, attr
 
 MOST_CONTAINERS = 2000
 # Languages written from right to left, elements that make up a page's layout, what locks an orientation.
@@ -26,6 +27,11 @@ DEFINITE = ("script-lock", "meta-viewport-orientation", "manifest-orientation",
 STATUS_WORDS = r"(?i)(^|[\s:_-])(spinner|loading|loader|progress|busy|skeleton|shimmer|throbber|preload|placeholder|buffer)([\s:_-]|$)"
 STATUS_TEXT = r"(?i)loading|please wait|working|processing|buffering|syncing|saving|uploading|読み込み|ロード中|処理中|進行中"
 PAUSE = "pause|stop|一時停止|停止|止める|再生停止"
+# Inputs that are targets, those that browsers draw, elements that flow in a line, the least size in pixels.
+TARGET_INPUTS = ("submit", "button", "reset", "image", "checkbox", "radio")
+DRAWN_INPUTS = ("checkbox", "radio")
+INLINE_TAGS = ("a", "abbr", "b", "bdi", "bdo", "cite", "code", "em", "i", "kbd", "label", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "u")
+LEAST_TARGET = 24.0
 
 
 def _whole(c: Column) -> Column:
@@ -164,3 +170,48 @@ def animations(styled: DataFrame, longer_than: float = 5.0) -> DataFrame:
     pause = F.coalesce("_pause", F.lit(False))
     exception = F.when(F.col("_busy") | F.col("_loading"), "loading_indicator")
     return rows.select("page_id", "pos", "tag", "animation_name", "seconds", "iterations", "loops", "duration_seconds", pause.alias("has_pause_button"), (pause | value("animation-play-state", "").contains("paused")).alias("has_mechanism"), exception.alias("exception"))
+
+
+def _px(name: str) -> Column:
+    """A declared length in pixels, by numbers, px and rem; null for any other."""
+    v = value(name)
+    number = F.regexp_extract(v, r"^([\d.]+)(?:px|rem)$", 1).try_cast("double")
+    return F.when(v.rlike(r"^0(\.0*)?$"), 0.0).otherwise(number * F.when(F.endswith(v, F.lit("rem")), 16.0).otherwise(1.0))
+
+
+def targets(styled: DataFrame, least: float = LEAST_TARGET) -> DataFrame:
+    """Visible targets of raw pages with the size that styles declare (2.5.8): page_id, pos, tag, role, input_type,
+    rendered_width_px and rendered_height_px (null where nothing declares them), least_width_px and least_height_px (what
+    least sizes and padding leave no doubt of), the inline and user-agent exceptions, status and reason. What else a browser
+    computes isn't known here: a target that is too small may still have room around it, so it is to be reviewed, and one of
+    unknown size has no status. Elements in one that isn't displayed are left out, however deep."""
+    display = value("display", "")
+    rows = styled.withColumn("_gone", structure.inside(display == "none", "page_id") | (display == "none") | value("visibility", "").isin("hidden", "collapse"))
+    role, kind = F.lower(attr("role")), F.when(F.col("tag") == "input", F.lower(F.coalesce(attr("type"), F.lit("text"))))
+    native = (F.col("tag") == "button") | ((F.col("tag") == "a") & attr("href").isNotNull()) | F.coalesce(kind.isin(*TARGET_INPUTS), F.lit(False))
+    by_role = F.coalesce(role.isin(*ROLES), F.lit(False)) & ~F.col("tag").isin("button", "a", "input", "select", "textarea")
+    rows = rows.filter(~F.col("hidden") & ~F.col("_gone") & (native | by_role)).withColumns({"role": attr("role"), "input_type": kind})
+    flows = F.when(display != "", display == "inline").otherwise(F.col("tag").isin(*INLINE_TAGS))
+    flows = flows & ~value("float", "none").isin("left", "right") & ~value("position", "static").isin("absolute", "fixed")
+    # buttons and fields are sized with their padding, other elements if they say so
+    whole = F.when(value("box-sizing").isNotNull(), value("box-sizing") == "border-box").otherwise(F.col("tag").isin("button", "input"))
+    border = F.coalesce(_px("border-width"), F.regexp_extract(value("border", ""), r"(?:^|\s)([\d.]+)px", 1).try_cast("double"), F.lit(0.0)) * 2
+    sizes = {}
+    for name, sides in (("width", ("left", "right")), ("height", ("top", "bottom"))):
+        around = F.coalesce(_px(f"padding-{sides[0]}"), F.lit(0.0)) + F.coalesce(_px(f"padding-{sides[1]}"), F.lit(0.0)) + border
+        stated = F.coalesce(_px(name), F.when(kind == "image", F.regexp_extract(attr(name), r"^(\d+)$", 1).try_cast("double")))
+        low, high = F.coalesce(_px(f"min-{name}"), F.lit(0.0)), F.coalesce(_px(f"max-{name}"), F.lit(float("inf")))
+        box = lambda c, around=around: F.when(whole, F.greatest(c, around)).otherwise(c + around)
+        sizes[f"rendered_{name}_px"] = F.when(~flows & stated.isNotNull(), box(F.greatest(low, F.least(stated, high))))
+        sizes[f"least_{name}_px"] = F.when(flows, around).otherwise(F.coalesce(F.col(f"rendered_{name}_px"), box(low)))
+    rows = rows.withColumns({k: v for k, v in sizes.items() if k.startswith("rendered")}).withColumns({k: v for k, v in sizes.items() if k.startswith("least")})
+    rows = structure.with_of(rows, "parent", styled, F.length("text").alias("_around"))
+    # the parent has words besides the link's
+    inline = (F.col("tag") == "a") & flows & F.coalesce(F.col("_around") > F.length("text"), F.lit(False))
+    drawn = F.coalesce(kind.isin(*DRAWN_INPUTS), F.lit(False)) & (F.coalesce(value("appearance"), value("-webkit-appearance"), F.lit("auto")) != "none")
+    rows = rows.withColumns({"is_inline_exception": inline, "is_ua_controlled_exception": drawn})
+    small = (F.col("rendered_width_px") < least) | (F.col("rendered_height_px") < least)
+    enough = (F.col("least_width_px") >= least) & (F.col("least_height_px") >= least)
+    reason = F.when(F.col("is_inline_exception"), "inline").when(F.col("is_ua_controlled_exception"), "user_agent").when(enough, "size").when(small, "small")
+    status = F.when(reason.isin("inline", "user_agent"), "N/A").when(reason == "size", "PASSED").when(reason == "small", "NEEDS_REVIEW")
+    return rows.select("page_id", "pos", "tag", "role", "input_type", *sizes, "is_inline_exception", "is_ua_controlled_exception", status.alias("status"), reason.alias("reason"))

@@ -82,6 +82,7 @@ def _register() -> None:
     rule("pointer_cancel_page", "2.5.2", "styled", "page_handler")(lambda styled, own: _per_page(behaviour.pointer_cancellation(styled, own), styled, "NEEDS_REVIEW"))
     rule("dragging_page", "2.5.7", "styled", "page_handler")(lambda styled, own: _per_page(behaviour.dragging(styled, own).filter("not alternative"), styled, "NEEDS_REVIEW"))
     rule("status_messages_page", "4.1.3", "styled")(lambda styled: behaviour.status_messages(styled).join(styled.select("page_id", "page_url").distinct(), "page_id").select("page_url", "status", C("contexts").alias("reason")))
+    rule("target_size_page", "2.5.8", "styled")(lambda styled: _per_page(layout.targets(styled).filter("reason = 'small'"), styled, "NEEDS_REVIEW"))
     rule("help_order", "3.2.6", "styled", "pages")(lambda styled, pages: _help(styled, pages))
 
 

@@ -82,6 +82,31 @@ def ext_moving_css(spark, sf_dir):
     return found.select("page_id", "tag", "animation_name", F.round("duration_seconds", 3).alias("duration_seconds"), "has_pause_button", "has_mechanism", F.coalesce("exception", F.lit("")).alias("exception"))
 
 
+_TARGETS = (
+    "<style>.t { padding: {{page_id % 9}}px {{page_id % 7}}px } .w { width: {{page_id % 40}}px; height: 30px } .none { display: none } .c { box-sizing: border-box; width: 1.5rem; height: 20px; min-height: {{page_id % 30}}px } .auto { appearance: none }</style>",
+    '<section><button id="b" class="t w">b</button><div id="d" role="tab" class="t w">d</div><p>See <a id="i" href="/i" class="w">this</a> now</p><p><a id="l" href="/l" class="t">alone</a></p>',
+    '<div><span id="s" role="Button" class="c">s</span><input id="k" type="checkbox" class="{{if(page_id % 2 = 0, \'auto c\', \'c\')}}"><input id="g" type="image" width="{{page_id % 50}}" height="24"></div>',
+    '<div class="{{if(page_id % 3 = 0, \'none\', \'some\')}}">{{repeat(\'<div>\', cast(page_id % 40 as int))}}<button id="n" style="width: 10px">n</button></section>',
+)
+
+
+@query("ext_targets_page", """
+WITH r AS (
+  SELECT page_id, 'b' AS id, greatest(page_id % 40, 2 * (page_id % 7)) AS w, 30 AS h, NULL AS exception FROM pages
+  UNION ALL SELECT page_id, 'd', page_id % 40 + 2 * (page_id % 7), 30 + 2 * (page_id % 9), NULL FROM pages
+  UNION ALL SELECT page_id, 'i', NULL, NULL, 'inline' FROM pages UNION ALL SELECT page_id, 'l', NULL, NULL, NULL FROM pages
+  UNION ALL SELECT page_id, 's', NULL, NULL, NULL FROM pages
+  UNION ALL SELECT page_id, 'k', 24, greatest(20, page_id % 30), CASE WHEN page_id % 2 = 1 THEN 'user_agent' END FROM pages
+  UNION ALL SELECT page_id, 'g', page_id % 50, 24, NULL FROM pages
+  UNION ALL SELECT page_id, 'n', 10, NULL, NULL FROM pages WHERE page_id % 3 <> 0)
+SELECT page_id, id, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, coalesce(CASE WHEN exception IS NOT NULL THEN exception WHEN w >= 24 AND h >= 24 THEN 'size' WHEN w < 24 OR h < 24 THEN 'small' END, '') AS reason FROM r""")
+def ext_targets_page(spark, sf_dir):
+    styled, _ = css.read(appended(spark, sf_dir, *_TARGETS))
+    named = styled.filter(html.attr("id").isin("b", "d", "i", "l", "s", "k", "g", "n")).select("page_id", "pos", html.attr("id").alias("id"))
+    found = layout.targets(styled).join(named, ["page_id", "pos"])
+    return found.select("page_id", "id", F.col("rendered_width_px").alias("w"), F.col("rendered_height_px").alias("h"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 _DEEP = "{{repeat('<div>', cast(page_id % 40 as int))}}"
 _RELATED = (
     f"<fieldset><legend>Group {{{{page_id % 6}}}}</legend>{_DEEP}{{{{if(page_id % 3 = 0, '<table><tr><td>', if(page_id % 3 = 1, '<table role=\"presentation\"><tr><td>', '<fieldset>'))}}}}",

@@ -58,6 +58,9 @@ def _longhands(name: str, value: str) -> list[tuple[str, str]]:
         return [("flex-direction", next((x for x in value.split() if x.startswith(("row", "column"))), "row"))]
     if name in ("grid-row", "grid-column"):
         return [(f"{name}-start", value.split("/")[0].strip())]
+    if name == "padding":
+        sides = (value.split() * 4)[:4] if len(value.split()) in (1, 2) else [*value.split(), *value.split()[1:2]][:4]
+        return [(f"padding-{side}", x) for side, x in zip(("top", "right", "bottom", "left"), sides, strict=False)]
     if name == "grid-area":
         parts = [x.strip() for x in value.split("/")]
         return [("grid-row-start", parts[0]), ("grid-column-start", parts[1] if len(parts) > 1 else parts[0] if not parts[0][:1].isdigit() else "auto")]

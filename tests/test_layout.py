@@ -144,3 +144,20 @@ def test_help_over_sites(spark):
     got = {r.page_id: (r.kinds, r.departs, r.status) for r in relations.consistent_help(pages, relations.help_mechanisms(html.elements(pages)), F.lit("s")).collect()}
     assert got[0] == ("phone,link", "", "pass") and got[5] == ("link,phone", "order:link-phone", "fail") and got[6] == ("phone,link", "place:link", "fail")
     assert got[7] == ("widget", "", "pass") and got[8] == ("", "", "incomplete")
+
+
+def test_targets_from_styles(spark):
+    page = """<style>.big { min-width: 30px; min-height: 2rem } .side { padding: 12px 13px 12px } .line { width: 90px; height: 90px }</style>
+      <button id="b0" style="width: 10px; max-width: 4px">x</button><button id="b1" class="big">x</button><button id="b2" style="width: 50%; height: 30px">x</button>
+      <p>in <a id="a0" href="/" class="line">a</a> text <a id="a1" href="/" style="display: inline-block; width: 8px">b</a></p><p><a id="a2" href="/" class="side">c</a></p><p><a id="a3" class="line">no target</a></p>
+      <div role="LINK" id="r0" style="width: 20px; height: 23px; border: 2px solid">r</div><div style="display: none"><i><b role="tab" id="gone" style="width: 1px">r</b></i></div><input type="radio" id="k0"><input type="text" id="no" style="width: 3px">"""
+    styled, _ = css.read(_pages(spark, page, "", None))
+    found = layout.targets(styled).join(styled.select("page_id", "pos", html.attr("id").alias("id")), ["page_id", "pos"])
+    got = {r.id: (r.rendered_width_px, r.least_width_px, r.status, r.reason) for r in found.collect()}
+    assert got == {
+        "b0": (4.0, 4.0, "NEEDS_REVIEW", "small"), "b1": (None, 30.0, "PASSED", "size"), "b2": (None, 0.0, None, None),
+        "a0": (None, 0.0, "N/A", "inline"), "a1": (8.0, 8.0, "NEEDS_REVIEW", "small"), "a2": (None, 26.0, "PASSED", "size"),
+        "r0": (24.0, 24.0, "PASSED", "size"), "k0": (None, 0.0, "N/A", "user_agent"),
+    }
+    assert dict(css._longhands("padding", "1px 2px 3px")) == {"padding-top": "1px", "padding-right": "2px", "padding-bottom": "3px", "padding-left": "2px"}
+    assert dict(css._longhands("padding", "1px 2px 3px 4px"))["padding-left"] == "4px" and dict(css._longhands("padding", "1px 2px"))["padding-left"] == "2px"
