@@ -1,4 +1,4 @@
-"""Exact top-k search over binary codes by incremental multi-index hashing (operator 10). DataFrame functions only.
+"""Exact top-k search over binary codes by incremental multi-index hashing (operator 10).
 
 A vector's code is its number of components d and the signs of all of them, 64 to a long. Codes are cut into segments
 over their d bits; the index has a row for each (d, segment, value, code). Two codes within distance m (r + 1) - 1 agree
@@ -6,7 +6,7 @@ on one of m segments up to r bits, so probing every value within r bits of a que
 distance: the covered distance. Rounds grow r from 0. A round keeps the codes at a covered distance only, each from the
 first segment that shows it; a query leaves when its k-th distance is covered, and what is left goes on. Queries for
 which probing would take more values than there are codes of their length are compared with all of these in blocks,
-which is exact too.
+which is exact too: a task compares a block of queries with a block of codes and keeps each query's k nearest.
 
 Vectors of equal codes are one index row that carries its k smallest ids: no result ever needs another.
 
@@ -22,6 +22,8 @@ from collections.abc import Callable
 from functools import reduce
 from math import comb
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from claraudit.llm.common import bucket, staged
 
 #: Codes of up to UNROLLED longs are compared by an expression for each, longer ones in a loop.
 K, QUERY_STEP, UNROLLED = 10, 20, 16
+#: Queries and codes of a block of the scan, about.
+QUERY_BLOCK, CODE_BLOCK = 512, 8192
 
 
 def sign_code(vector: Column) -> Column:
@@ -151,7 +155,7 @@ def hamming_top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         left = staged(left.join(full, "q_code", "left_anti"), "left")
         radius += 1
     if not done or not left.isEmpty():
-        done.append(_scan(left.select("q_code"), codes, k + 1, words).select("q_code", "distance", "id"))
+        done.append(_scan(left.select("q_code"), codes, lengths, k + 1))
     answers = done[0]
     for x in done[1:]:
         answers = answers.unionByName(x)
@@ -160,17 +164,51 @@ def hamming_top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def _scan(left: DataFrame, codes: DataFrame, k: int, words: int) -> DataFrame:
-    """The k nearest of the queries left over all codes of their length, in blocks of both: a block pair keeps only its k nearest."""
-    b = 256
-    q = left.withColumn("qb", bucket(b, "q_code")).groupBy(F.col("q_code.d").alias("d"), "qb").agg(F.collect_list("q_code").alias("qs"))
-    c = codes.withColumn("cb", bucket(b, "code")).withColumn("d", F.col("code.d"))
-    # each code block meets each query block once: blocks of queries are spread by an explicit block number
-    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long"))))
-    met = c.join(q, ["d", "qb"]).select("cb", "ids", "code", F.explode("qs").alias("q_code")).select("q_code", "cb", _distance("q_code", "code", words).alias("distance"), "ids")
-    near = Window.partitionBy("q_code", "cb").orderBy("distance")
-    met = met.withColumn("r", F.rank().over(near)).filter(F.col("r") <= k)
-    return _top(met.select("q_code", "distance", "ids"), k)
+def _block_top(k: int):
+    """The k nearest (distance, id) of each query of a block over the codes of another: queries (d, words), codes (words, ids)."""
+
+    def run(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
+        out = {"d": [], "words": [], "distance": [], "id": []}
+        if len(queries) and len(codes):
+            q, c = (np.stack(x["words"].to_numpy()).astype(np.int64).view(np.uint64) for x in (queries, codes))
+            lists, few = codes["ids"].to_numpy(), min(k, len(c))
+            step = max(1, (1 << 22) // len(c))
+            for lo in range(0, len(q), step):
+                apart = np.zeros((len(q[lo : lo + step]), len(c)), np.int32)
+                for w in range(q.shape[1]):
+                    apart += np.bitwise_count(q[lo : lo + step, w, None] ^ c[None, :, w])
+                # every code has an id at least: none beyond the k-th nearest code is needed
+                most = np.partition(apart, few - 1, axis=1)[:, few - 1]
+                for i, row in enumerate(apart):
+                    near = np.flatnonzero(row <= most[i])
+                    ids = np.concatenate([lists[j] for j in near])
+                    far = np.repeat(row[near], [len(lists[j]) for j in near])
+                    best = np.lexsort((ids, far))[:k]
+                    out["d"] += [queries["d"].iloc[0]] * len(best)
+                    out["words"] += [queries["words"].iloc[lo + i]] * len(best)
+                    out["distance"] += far[best].tolist()
+                    out["id"] += ids[best].tolist()
+        return pd.DataFrame(out)
+
+    return run
+
+
+def _scan(left: DataFrame, codes: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    """q_code, distance, id: the k nearest of the queries left over all codes of their length. Blocks of both, by numbers of
+    rows, meet once each in a task that gives only its k nearest of each query: k rows a query and block are shuffled."""
+    asked = left.groupBy(F.col("q_code.d").alias("d")).agg(F.count(F.lit(1)).alias("asked"))  # a row a length
+    sizes = F.broadcast(asked.join(lengths, "d").select("d", F.ceil(F.col("asked") / QUERY_BLOCK).alias("qbs"), F.ceil(F.col("n") / CODE_BLOCK).alias("cbs")))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    q = left.select(F.col("q_code.d").alias("d"), F.col("q_code.words").alias("words")).join(sizes, "d")
+    q = q.withColumn("qb", part("words", "qbs")).select("d", "qb", every("cbs").alias("cb"), "words")
+    c = codes.select(F.col("code.d").alias("d"), F.col("code.words").alias("words"), "ids").join(sizes, "d")
+    c = c.withColumn("cb", part("words", "cbs")).select("d", every("qbs").alias("qb"), "cb", "words", "ids")
+    by = ["d", "qb", "cb"]
+    met = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(_block_top(k), "d int, words array<long>, distance int, id long")
+    order = Window.partitionBy("d", "words").orderBy("distance", "id")
+    best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.select(F.struct("d", "words").alias("q_code"), "distance", "id")
 
 
 def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

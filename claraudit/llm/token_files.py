@@ -27,6 +27,8 @@ from claraudit.llm.tokens import SLICE_BYTES, encoder, vocabulary, with_end
 from claraudit.llm.words import Texts
 
 BLOCK_IDS, LEVEL, END_ID = 1 << 16, 3, 1
+#: Text bytes that a task encodes and writes to one file, about.
+TASK_BYTES = 128 << 20
 SEGMENT = "shard int, segment int, n_ids long, doc_ids array<long>, doc_lengths array<int>, planes string, block_ids array<int>, plane_bytes array<int>, payload binary"
 DOCUMENT = "shard int, segment int, place int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
@@ -86,6 +88,7 @@ def unpack_segment(sizes: list[int], lengths: list[int], payload: bytes, planes:
 def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, splits: str = "words", end_id: int = END_ID, planes: str = "byte", block_ids: int = BLOCK_IDS, level: int = LEVEL) -> None:
     """Encode the whole text of each document, append end_id and write segments, in ascending doc_id order."""
     spark, vocab = docs.sparkSession, tokenizer or vocabulary("word_bpe_49k.json")
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 16)).first()[0] or 0
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -105,7 +108,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, sp
 
     (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange(groups_for(spark, 1, 1, 2), "doc_id", F.xxhash64("text"))
+        .repartitionByRange(groups_for(spark, total, TASK_BYTES, 2), "doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
         .mapInArrow(encode, SEGMENT)
         .write.option("compression", "none")

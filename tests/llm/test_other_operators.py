@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claraudit.llm import flat_graph, hamming_search, language_id, mixing
 from tests.conftest import DATA
@@ -222,8 +223,12 @@ def code_of(v):
     return sum(1 << i for i, x in enumerate(v) if x > 0)
 
 
-@pytest.mark.parametrize("n", [60, 700])
-def test_hamming_top_k(spark, n):
+@pytest.mark.parametrize(("n", "blocks"), [(60, None), (700, None), (700, (7, 40))])
+def test_hamming_top_k(spark, n, blocks, monkeypatch):
+    if blocks:  # every query scans, in many blocks
+        monkeypatch.setattr(hamming_search, "QUERY_BLOCK", blocks[0])
+        monkeypatch.setattr(hamming_search, "CODE_BLOCK", blocks[1])
+        monkeypatch.setattr(hamming_search, "_affordable", lambda radius: F.lit(False))
     rng = np.random.default_rng(n)
     rows = [(i, rng.normal(size=64).astype(np.float32).tolist()) for i in range(n)]
     rows += [(1000 + i, rows[20][1]) for i in range(45)] + [(2000, None), (2020, [float("nan")] * 64), (2040, [])]
