@@ -29,6 +29,8 @@ from claraudit.llm.words import Texts
 BLOCK_IDS, LEVEL, END_ID = 1 << 16, 3, 1
 #: Text bytes that a task encodes and writes to one file, about.
 TASK_BYTES = 128 << 20
+#: What a worker remembers of encoded words: common ones are encoded again only when that is full.
+REMEMBERED_BYTES = 64 << 20
 SEGMENT = "shard int, segment int, n_ids long, doc_ids array<long>, doc_lengths array<int>, planes string, block_ids array<int>, plane_bytes array<int>, payload binary"
 DOCUMENT = "shard int, segment int, place int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
@@ -93,7 +95,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, sp
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, shard, k = encoder(vocab, splits), TaskContext.get().partitionId(), 0
+        enc, shard, k = encoder(vocab, splits, REMEMBERED_BYTES), TaskContext.get().partitionId(), 0
         for batch in batches:
             names = batch.column(0).to_pylist()
             for a, part in Texts.of(batch.column(1)).parts(SLICE_BYTES):

@@ -29,13 +29,14 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """splits: 'words' for vocabularies that drop white space, 'spaced' for those that keep it."""
 
-    def __init__(self, path: str, splits: str):
+    def __init__(self, path: str, splits: str, remembered: int = REMEMBERED_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cut = Tokenizer.from_file(path), {"words": partial(words, points=True), "spaced": spaced_words}[splits]
         plain = [(i, x.content) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not (x.lstrip or x.rstrip or x.single_word or x.normalized)]
         self.mark_id, self.mark = min(plain, default=(None, None))
+        self.most = remembered
         self._forget()
 
     def _forget(self) -> None:
@@ -68,7 +69,7 @@ class Encoder:
         pieces: Pieces = self.cut(texts)
         hashes = pieces.hashes()
         codes, first = pieces.exact_codes(hashes)
-        if self.known.bytes() + 4 * len(self.flat) > REMEMBERED_BYTES:
+        if self.known.bytes() + 4 * len(self.flat) > self.most:
             self._forget()
         starts, ends, hashes = pieces.starts[first], pieces.ends[first], hashes[first]
         rows = self.known.find(texts.data, starts, ends, hashes)
@@ -81,9 +82,9 @@ class Encoder:
         return ragged(self.flat, self.offsets[known], lengths), bounds[pieces.first]
 
 
-def encoder(path: str, splits: str) -> Encoder:
-    """One for each Python worker, for as long as its tasks encode."""
-    return held(("encoder", path, splits), lambda: Encoder(path, splits))
+def encoder(path: str, splits: str, remembered: int = REMEMBERED_BYTES) -> Encoder:
+    """One for each Python worker, for as long as its tasks encode; it remembers words up to so many bytes."""
+    return held(("encoder", path, splits, remembered), lambda: Encoder(path, splits, remembered))
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
