@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claraudit.functions import text
-from claraudit.operators import layout, relations
+from claraudit.operators import layout, relations, structure
 from claraudit.plans.audit import rule
 from claraudit.sources import css, html, scripts
 from claraudit.sources.html import attr
@@ -31,6 +31,14 @@ def _media(els: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", "tag", C("tag").alias("kind"), "src", "muted", "loop", "autoplay", "controls", track.alias("has_track"), F.concat_ws(" ", link, F.array_join("details", " ")).alias("link_text"), F.lit(None).cast("string").alias("described_by"), F.lit(None).cast("boolean").alias("is_labelled_alternative"), F.coalesce(C("_hidden") == "true", F.lit(False)).alias("is_decorative"))
 
 
+def _texts(els: DataFrame) -> DataFrame:
+    """Elements that bear text with their other texts and the language of the nearest element around that states one."""
+    around = structure.nearest(els.select("page_id", "pos", "last", "attrs"), F.coalesce(attr("lang") != "", F.lit(False)), "_at")
+    around = structure.with_of(around, "_at", els, attr("lang").alias("_around"))
+    more = around.select("page_id", "pos", attr("aria-label").alias("aria_label"), attr("title").alias("title"), F.coalesce(F.nullif(attr("lang"), F.lit("")), "_around").alias("lang"))
+    return html.sensory(els).join(more, ["page_id", "pos"])
+
+
 def _moving(els: DataFrame, styled: DataFrame) -> DataFrame:
     """Moving content of markup (as far as it starts by itself) and of style sheets."""
     marked = html.moving(els).filter("content_type in ('marquee', 'blink')").select("page_id", "pos", "tag", "content_type", F.lit(-1.0).alias("duration_seconds"), F.lit("infinite").alias("iteration_count"), F.lit(True).alias("loops"), F.lit(False).alias("has_mechanism"), F.lit(None).cast("string").alias("exception"))
@@ -56,7 +64,7 @@ def page_tables(pages: DataFrame) -> dict[str, DataFrame]:
         "interactive": at(controls.select("page_id", "pos", "tag", names("visible_label").alias("label"), names("accessible_name").alias("name"))),
         "media": at(_media(els)),
         "moving_content": at(_moving(els, styled)),
-        "text_block": at(html.sensory(els)),
+        "text_block": at(_texts(els)),
         "styled": at(styled),
         "style_rule": sheet,
         "page_handler": scripts.handlers(styled, scripts.listeners(els)),

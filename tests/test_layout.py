@@ -161,3 +161,14 @@ def test_targets_from_styles(spark):
     }
     assert dict(css._longhands("padding", "1px 2px 3px")) == {"padding-top": "1px", "padding-right": "2px", "padding-bottom": "3px", "padding-left": "2px"}
     assert dict(css._longhands("padding", "1px 2px 3px 4px"))["padding-left"] == "4px" and dict(css._longhands("padding", "1px 2px"))["padding-left"] == "2px"
+
+
+def test_texts_of_pages_with_language(spark):
+    from claraudit.operators import sensory
+    from claraudit.plans.extract import page_tables
+
+    page = """<html lang="en"><body><p>Click the round icon.</p><div lang="ja-JP"><div><p>Tap 右</p></div></div><p lang="">Tap 右</p><p title="Press the red button" aria-label="ok">Plain words here</p></body></html>"""
+    rows = page_tables(_pages(spark, page, "", None))["text_block"]
+    assert {(r.text, r.lang) for r in rows.collect()} == {("Click the round icon.", "en"), ("Tap 右", "ja-JP"), ("Tap 右", "en"), ("Plain words here", "en")}
+    got = {(r.sentence, r.categories, r.status) for r in sensory.findings(rows).collect()}
+    assert got == {("Click the round icon.", "shape", "FAILED"), ("Press the red button", "color", "FAILED")}
