@@ -53,3 +53,24 @@ def test_rules_of_one_table_share_a_scan(spark):
     report = au.audit(spark, {"pages": spark.read.parquet(f"{DATA}/pages.parquet")}, au.AuditConfig(level="AAA"))
     plan = report.findings._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("] parquet") == 1
+
+
+def test_pages_of_one_address_stay_apart(spark):
+    html = "<html lang='en'><body><a href='/x'>here</a></body></html>"
+    pages = spark.createDataFrame([(1, "http://p/", html), (2, "http://p/", html), (3, "http://q/", html)], "page_id long, url string, html string")
+    scanner = spark.createDataFrame([("axe", "link", "2.4.9", "fail", "scanner", "medium", u, "a:1") for u in ("http://p/", "http://r/")], "source string, rule_id string, wcag_sc string, status string, reason string, severity string, page_url string, selector string")
+    found = au.audit(spark, {"pages": pages}, au.AuditConfig(level="AAA", criteria=("2.4.9", "2.4.8")), scanner=scanner).findings.collect()
+    links = sorted((r.source, r.page_id or "", r.element.page_url) for r in found if r.wcag_sc == "2.4.9")
+    assert links == [("axe", "", "http://r/"), ("python", "1", "http://p/"), ("python", "2", "http://p/"), ("python", "3", "http://q/")]
+    assert sorted(r.page_id for r in found if r.wcag_sc == "2.4.8") == ["1", "2", "3"]
+
+
+def test_findings_without_page_meet_by_address(spark):
+    from claraudit.operators import findings as fi
+
+    kind = "source string, page_id string, pos long, wcag_sc string, status string, element struct<html:string,element_id:string,tag:string,target:array<string>,selector:string,element_ref_id:string,frame_path:string,page_url:string>"
+    about = lambda url: (None, None, None, None, "#a", None, None, url)
+    rows = [("python", "1", 1, "x", "fail", about("p")), ("python", "1", 2, "x", "fail", about("p")), ("python", "2", 3, "x", "fail", about("p")), ("python", None, 4, "x", "fail", about("p")), ("axe", None, 5, "x", "fail", about("p"))]
+    rows += [("python", None, 6, "x", "fail", about("q")), ("axe", "3", 7, "x", "fail", about("q")), ("axe", "4", 8, "x", "fail", about("r")), ("axe", None, 9, "x", "fail", about("r"))]
+    got = {(r.source, r.page_id, r.pos, r.merged_pos.pos) for r in fi.merge_findings(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {("python", "1", 2, 1), ("python", "2", 3, 3), ("python", None, 6, 6), ("axe", "4", 8, 8)}
