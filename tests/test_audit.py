@@ -65,6 +65,16 @@ def test_pages_of_one_address_stay_apart(spark):
     assert sorted(r.page_id for r in found if r.wcag_sc == "2.4.8") == ["1", "2", "3"]
 
 
+def test_rules_over_raw_pages_keep_pages_of_one_address(spark):
+    from claraudit.plans.extract import page_tables
+
+    html = "<form><label for='n'>Name</label><input id='n' autocomplete='name' required></form><audio src='a.mp3'></audio><b draggable='true'>x</b>"
+    tables = page_tables(spark.createDataFrame([(1, "http://p/", html), (2, "http://p/", html)], "page_id long, url string, html string"))
+    report = au.audit(spark, tables, au.AuditConfig(level="AAA", criteria=("1.3.2", "3.3.1", "2.5.7", "1.2.1")))
+    got = {(r.value, r.n) for r in report.by_dimension.filter("dimension = 'wcag_sc'").selectExpr("value", "violations + needs_review + passes AS n").collect()}
+    assert got == {(c, 2) for c in ("1.3.2", "3.3.1", "2.5.7", "1.2.1")}
+
+
 def test_findings_without_page_meet_by_address(spark):
     from claraudit.operators import findings as fi
 
