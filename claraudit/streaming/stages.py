@@ -181,12 +181,14 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job").agg(F.min("at").alias("created"), F.coalesce(first_end["status"], F.lit("running")).alias("status"))
 
 
-def snapshot_then_tail(states: DataFrame, events: DataFrame, job: int, since: float) -> DataFrame:
-    """What a new subscriber gets: the job's state, then the events behind `since`; an ended job's state only."""
+def snapshot_then_tail(states: DataFrame, events: DataFrame, job: int, since: float | None) -> DataFrame:
+    """What a new subscriber gets: the job's state, then the events behind `since` (None: there is no such place, so none); an
+    ended job's state only."""
+    since = F.lit(since).cast("double")
     own = states.filter(F.col("job") == job)
     live = own.filter(~F.col("status").isin(*TERMINAL)).select("job")
     tail = events.filter((F.col("job") == job) & (F.col("at") > since)).join(live, "job", "left_semi")
-    return own.select(F.lit(0).alias("block"), F.lit(since).alias("at"), F.col("status").alias("what")).unionByName(tail.select(F.lit(1).alias("block"), "at", F.col("kind").alias("what")))
+    return own.select(F.lit(0).alias("block"), since.alias("at"), F.col("status").alias("what")).unionByName(tail.select(F.lit(1).alias("block"), "at", F.col("kind").alias("what")))
 
 
 @dataclass(frozen=True)

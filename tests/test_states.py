@@ -156,3 +156,15 @@ def test_generated_code_stays_small(spark, capfd):
     finally:
         spark.sparkContext.setLogLevel("ERROR")
     assert "grows beyond 64 KB" not in capfd.readouterr().err
+
+
+def test_snapshot_without_earlier_events(spark, tmp_path):
+    from claraudit.plans.q_stream import QUERIES
+    from tests.conftest import DATA
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    for name, job in (("late", 7), ("other", 8)):  # the job's first event comes after the snapshot, or it has none
+        rows = events.filter("event_id < 50").withColumn("event_id", F.col("event_id") + 5000).withColumn("user_id", F.lit(job).cast("long"))
+        rows.write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got = QUERIES["st_snapshot_then_tail"](spark, f"{tmp_path}/{name}").collect()
+        assert [tuple(r) for r in got] == [(0, "running", 1)]
