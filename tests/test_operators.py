@@ -236,3 +236,28 @@ def test_snapshot_buckets(spark):
     got, bad = sinks.normalize_snapshot(raw, {"forms": "name string", "media": "src string"}, "http://d/")
     assert got["forms"].first().name == "a" and got["media"].first().src == "b"
     assert {r.code for r in bad.collect()} == {"unknown_bucket", "normalization_error"}
+
+
+def test_parser_holds_few_elements_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from claraudit.sources import html
+
+    def parsed(texts):
+        batch = pa.RecordBatch.from_pydict({"page_id": list(range(len(texts))), "html": texts})
+        tracemalloc.start()
+        rows = [(b.num_rows, b.nbytes) for b in html._parse(iter([batch]))]
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return sum(n for n, _ in rows), max(n for n, _ in rows), max(size for _, size in rows), top
+
+    page = "<ul>" + "<li class='a'>x</li>" * 50 + "</ul>"
+    few, many = parsed([page] * 200), parsed([page] * 2000)
+    assert few[0] == 200 * 51 and many[0] == 2000 * 51 and many[3] < 1.5 * few[3]
+    assert many[1] <= html.ROWS_MADE
+    whole, _, most, _ = parsed(["<script>" + "x" * (1 << 20) + "</script>"] * 40)
+    assert whole == 40 and most < 2 * html.CHARS_MADE
+    own, most, _, _ = parsed(["<p>" + "<b>y</b>" * 10_000 + "</p>"])
+    assert own == 10_001 and most <= html.ROWS_MADE
