@@ -261,3 +261,35 @@ def test_parser_holds_few_elements_at_once():
     assert whole == 40 and most < 2 * html.CHARS_MADE
     own, most, _, _ = parsed(["<p>" + "<b>y</b>" * 10_000 + "</p>"])
     assert own == 10_001 and most <= html.ROWS_MADE
+
+
+def test_sheets_and_scripts_hold_few_texts_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from claraudit.sources import css, scripts
+
+    def top(step, extra, text, n):
+        batch = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "pos": pa.array([0] * n, pa.int32()), **{k: [v] * n for k, v in extra.items()}, "text": [text] * n, **({"inline": [False] * n} if extra else {})})
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in step(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n
+        return most
+
+    for step, extra, text in ((css._rules(css.VIEWPORT), {"media": ""}, f"/*{'x' * 8000}*/ p {{ top: 0 }}"), (scripts._listeners, {}, f"/*{'x' * 8000}*/ document.onkeydown = go")):
+        top(step, extra, text, 10)  # fills caches
+        assert top(step, extra, text, 1000) < 1.5 * top(step, extra, text, 100)
+
+
+@pytest.mark.parametrize("name", "ext_described_by ext_accessible_name join_frame_refs ext_consent_filter ext_media_tracks ext_forms ext_moving ext_visible_label".split())
+def test_pages_are_parsed_once(spark, capsys, name):
+    from claraudit.plans.catalog import all_queries
+    from tests.conftest import DATA
+
+    asked = all_queries()[name](spark, DATA)
+    capsys.readouterr()
+    asked.explain()
+    assert capsys.readouterr().out.count("MapInArrow") <= 1
