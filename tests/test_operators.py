@@ -293,3 +293,35 @@ def test_pages_are_parsed_once(spark, capsys, name):
     capsys.readouterr()
     asked.explain()
     assert capsys.readouterr().out.count("MapInArrow") <= 1
+
+
+@pytest.mark.parametrize("name", "ext_relationships ext_elements ext_media ext_moving ext_sensory".split())
+def test_pages_of_queries_are_handed_on_in_parts(spark, monkeypatch, capsys, name):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from claraudit.plans.catalog import all_queries
+    from claraudit.sources import html
+    from tests.conftest import DATA
+
+    given, elements = [], html.elements
+    monkeypatch.setattr(html, "elements", lambda pages: given.append(pages) or elements(pages))
+    asked = all_queries()[name](spark, DATA)
+    assert len(given) == 1
+    capsys.readouterr()
+    asked.explain()
+    # where elements are kept, Python ran once and doesn't run again
+    assert capsys.readouterr().out.count("MapInArrow") == (name not in ("ext_relationships", "ext_media"))
+    pages = given[0].select("page_id", "html").limit(100).toArrow().combine_chunks().to_batches()[0]
+
+    def parsed(times):
+        batch = pa.Table.from_batches([pages] * times).combine_chunks().to_batches()[0]
+        tracemalloc.start()
+        made = [b.num_rows for b in html._parse(iter([batch]))]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return sum(made), max(made), most
+
+    few, many = parsed(4), parsed(20)
+    assert many[0] == 5 * few[0] and many[1] <= 4096 and many[2] < 1.5 * few[2]
