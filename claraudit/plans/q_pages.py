@@ -161,7 +161,11 @@ def st_dedup(spark, sf_dir):
     return page_links.links(table(spark, sf_dir, "pages")).dropDuplicates(["page_id", "href"]).groupBy("href").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("audit_pages", f"""WITH a AS (SELECT '2.4.9' AS wcag_sc, CASE WHEN generic THEN 'fail' ELSE 'pass' END AS status FROM ({SQL["chk_link_purpose"]})
+# all links, where chk_link_purpose has the first ones of a page
+_PURPOSE = f"WITH {_LINKS_SQL} SELECT regexp_matches(lower(text), '^({checks.GENERIC_LINKS})\\.?$') AS generic FROM links WHERE text <> ''"
+
+
+@query("audit_pages", f"""WITH a AS (SELECT '2.4.9' AS wcag_sc, CASE WHEN generic THEN 'fail' ELSE 'pass' END AS status FROM ({_PURPOSE})
   UNION ALL SELECT '2.4.8', status FROM ({SQL["chk_location"]}) UNION ALL SELECT '2.4.5', status FROM ({SQL["chk_multiple_ways"]}) UNION ALL SELECT '3.2.6', status FROM ({SQL["chk_consistent_help"]})
   UNION ALL SELECT '4.1.1', status FROM ({SQL["chk_html_parsing"]}) UNION ALL SELECT '3.1.6', status FROM ({SQL["chk_pronunciation"]}))
 SELECT wcag_sc, count(*) FILTER (status = 'fail') AS violations, count(*) FILTER (status = 'incomplete') AS needs_review, count(*) FILTER (status = 'pass') AS passes FROM a GROUP BY wcag_sc""")

@@ -84,3 +84,11 @@ def test_findings_without_page_meet_by_address(spark):
     rows += [("python", None, 6, "x", "fail", about("q")), ("axe", "3", 7, "x", "fail", about("q")), ("axe", "4", 8, "x", "fail", about("r")), ("axe", None, 9, "x", "fail", about("r"))]
     got = {(r.source, r.page_id, r.pos, r.merged_pos.pos) for r in fi.merge_findings(spark.createDataFrame(rows, kind)).collect()}
     assert got == {("python", "1", 2, 1), ("python", "2", 3, 3), ("python", None, 6, 6), ("axe", "4", 8, 8)}
+
+
+def test_all_links_of_a_page_are_judged(spark):
+    page = "".join(f"<a href='/{i}'>link {i}</a>" for i in range(2500)) + "<a href='/last'>here</a>"
+    pages = spark.createDataFrame([(1, "http://p/", page)], "page_id long, url string, html string")
+    report = au.audit(spark, {"pages": pages}, au.AuditConfig(level="AAA", criteria=("2.4.9",)))
+    total = report.summary.first()
+    assert (total.violations, total.passes) == (1, 2500)
