@@ -11,7 +11,6 @@ from claraudit.operators import structure
 from claraudit.sources.css import value
 from claraudit.sources.html import ROLES, attr
 
-MOST_CONTAINERS = 2000
 # Languages written from right to left, elements that make up a page's layout, what locks an orientation.
 RTL = r"(?i)^(ar|he|fa|ur|yi|arc|ckb)\b"
 LAYOUT_TAGS = ("body", "main", "header", "footer", "section", "article", "aside", "nav")
@@ -39,9 +38,9 @@ def _whole(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"^\s*([+-]?\d{1,9})", 1), F.lit("")).cast("int"), F.lit(0))
 
 
-def reordered(styled: DataFrame, most: int = MOST_CONTAINERS) -> DataFrame:
+def reordered(styled: DataFrame, most: int | None = None) -> DataFrame:
     """1.3.2: page_id, pos, tag, code of flex and grid containers whose children are shown in another order than they are
-    written; the first `most` containers of a page are looked at."""
+    written. most: only so many containers of a page, its first ones; without it all."""
     from claraudit.operators.structure import inside
 
     page = F.first(F.when(F.col("tag") == "html", F.struct(F.lower(attr("dir")).alias("dir"), attr("lang").alias("lang"))), ignorenulls=True).over(Window.partitionBy("page_id"))

@@ -76,3 +76,10 @@ def test_entry_fields(spark):
     els, _ = _read(spark, page)
     got = {(r.key, r.form >= 0, r.process, r.role, r.required, r.prefilled) for r in entry_fields(els.drop("parent", "prev", "next", "classes", "id")).collect()}
     assert got == {("tel", True, "subscribe", None, False, False), ("email", True, "subscribe", None, False, False), ("given-name", True, "subscribe", None, False, True), ("postal-code", False, "checkout", "billing", True, False)}
+
+
+def test_all_containers_of_a_page_are_audited(spark):
+    page = "<style>.f { display: flex } .r { display: flex; flex-direction: row-reverse }</style>" + "<div class=f><p>a</p><p>b</p></div>" * 2000 + "<div class=r><p>a</p><p>b</p></div>"
+    pages = spark.createDataFrame([(1, "http://p/", page)], "page_id long, url string, html string")
+    found = au.audit(spark, page_tables(pages), au.AuditConfig(level="AAA", criteria=("1.3.2",))).findings
+    assert [r.status for r in found.collect()] == ["needs_review"]
