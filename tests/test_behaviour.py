@@ -83,3 +83,20 @@ def test_all_containers_of_a_page_are_audited(spark):
     pages = spark.createDataFrame([(1, "http://p/", page)], "page_id long, url string, html string")
     found = au.audit(spark, page_tables(pages), au.AuditConfig(level="AAA", criteria=("1.3.2",))).findings
     assert [r.status for r in found.collect()] == ["needs_review"]
+
+
+LONG = "/* " + "x" * 5000 + " */ " + "y(); " * 1000
+
+
+def test_character_keys_far_inside_a_handler(spark):
+    els, own = _read(spark, f"<script>function go(e) {{ {LONG} if (e.key === 'q') z() }} document.addEventListener('keydown', go)</script>", f"<script>document.onkeyup = e => {{ {LONG} if (e.altKey && e.key === 'q') z() }}</script>")
+    assert [(r.page_id, r.kind, r.detail) for r in behaviour.character_keys(els, own).collect()] == [(0, "script-listener", ".key === 'q'")]
+
+
+def test_whole_handlers_are_handed_on_in_parts():
+    import pyarrow as pa
+
+    source = f"function f() {{ {LONG} }} " + "document.onclick = f; " * 3000
+    batch = pa.RecordBatch.from_pydict({"page_id": [1], "pos": pa.array([0], pa.int32()), "text": [source]})
+    made = [(b.num_rows, b.nbytes) for b in scripts._listeners(iter([batch]))]
+    assert sum(n for n, _ in made) == 3000 and max(size for _, size in made) < 2 * html.CHARS_MADE
