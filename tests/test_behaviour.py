@@ -93,6 +93,11 @@ def test_character_keys_far_inside_a_handler(spark):
     assert [(r.page_id, r.kind, r.detail) for r in behaviour.character_keys(els, own).collect()] == [(0, "script-listener", ".key === 'q'")]
 
 
+def test_pointer_cancellation_far_inside_a_handler(spark):
+    els, own = _read(spark, f"<b id=b>x</b><i id=i>y</i><script>document.getElementById('b').onmousedown = () => {{ {LONG} save() }}; document.getElementById('i').onmousedown = () => {{ {LONG} look() }}</script>")
+    assert [r.tag for r in behaviour.pointer_cancellation(els, own).collect()] == ["b"]
+
+
 def test_whole_handlers_are_handed_on_in_parts():
     import pyarrow as pa
 
