@@ -325,3 +325,15 @@ def test_pages_of_queries_are_handed_on_in_parts(spark, monkeypatch, capsys, nam
 
     few, many = parsed(4), parsed(20)
     assert many[0] == 5 * few[0] and many[1] <= 4096 and many[2] < 1.5 * few[2]
+
+
+def test_accessible_names(spark):
+    from claraudit.sources import html
+
+    long = "w " * 400 + "end"
+    page = f"""<label>Mail <select><option>1<option>2</select> to <input id=a title=T> me</label><input id=b type=SUBMIT title=T><input id=c type=reset value=' '><input id=d type=button title=T><input id=e type=image title=T>
+      <label for=f>First</label><label for=f>Second</label><input id=f><button id=g title=T>Go</button><button id=h>{long}</button><span id=i role=tab>Tab</span><label>Q <button id=j>x</button></label><label for=k></label><input id=k title=T>
+      <section id=s>{long}</section><input id=l aria-labelledby='none s e'>"""
+    rows = html.interactive(html.elements(spark.createDataFrame([(1, page)], "page_id long, html string"))).collect()
+    names = {r.id: r.accessible_name for r in rows if r.id}
+    assert names == {"a": "Mail to me", "b": "Submit", "c": "Reset", "d": None, "e": None, "f": "First", "g": "T", "h": long, "i": "Tab", "j": "Q", "k": None, "l": long}
