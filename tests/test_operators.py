@@ -337,3 +337,17 @@ def test_accessible_names(spark):
     rows = html.interactive(html.elements(spark.createDataFrame([(1, page)], "page_id long, html string"))).collect()
     names = {r.id: r.accessible_name for r in rows if r.id}
     assert names == {"a": "Mail to me", "b": "Submit", "c": "Reset", "d": None, "e": None, "f": "First", "g": "T", "h": long, "i": "Tab", "j": "Q", "k": None, "l": long}
+
+
+def _with_pages(spark, tmp_path, *bodies):
+    spark.createDataFrame([(i, f"http://h{i}/", b) for i, b in enumerate(bodies)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path)
+
+
+def test_descriptions_of_any_element_are_read_whole(spark, tmp_path):
+    from claraudit.plans.catalog import all_queries
+
+    long = "w " * 400 + "end"
+    at = _with_pages(spark, tmp_path, f"<section id=s>{long}</section><i id=e></i><b id=s>later</b><div aria-describedby='e s'>x</div><a aria-describedby='t'>y</a><em id=t>told</em>")
+    got = [r.described_by for r in all_queries()["ext_described_by"](spark, at).collect()]
+    assert sorted(got) == sorted([long, "told", "x0 bad"])
