@@ -351,3 +351,10 @@ def test_descriptions_of_any_element_are_read_whole(spark, tmp_path):
     at = _with_pages(spark, tmp_path, f"<section id=s>{long}</section><i id=e></i><b id=s>later</b><div aria-describedby='e s'>x</div><a aria-describedby='t'>y</a><em id=t>told</em>")
     got = [r.described_by for r in all_queries()["ext_described_by"](spark, at).collect()]
     assert sorted(got) == sorted([long, "told", "x0 bad"])
+
+
+def test_references_of_any_element_are_resolved(spark, tmp_path):
+    from claraudit.plans.catalog import all_queries
+
+    at = _with_pages(spark, tmp_path, "<div aria-labelledby='h i'>x</div><h2 id=h>Head</h2><p id=i>of it</p>")
+    assert sorted(r.ref_text for r in all_queries()["join_frame_refs"](spark, at).collect()) == ["Head of it", "x0 bad"]
