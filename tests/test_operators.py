@@ -358,3 +358,24 @@ def test_references_of_any_element_are_resolved(spark, tmp_path):
 
     at = _with_pages(spark, tmp_path, "<div aria-labelledby='h i'>x</div><h2 id=h>Head</h2><p id=i>of it</p>")
     assert sorted(r.ref_text for r in all_queries()["join_frame_refs"](spark, at).collect()) == ["Head of it", "x0 bad"]
+
+
+def test_sensory_elements(spark):
+    from claraudit.sources import html
+
+    long = "w " * 400 + "end"
+    page = f"""<html lang=en><body><h2>Head <a title=t>x</a></h2><ul lang=ja><li id=1>Click the round <a id=2>one</a></li></ul><p id=3>ab</p><p id=4>右</p><h3>Next</h3>
+      <div id=5>or <p id=6>inner</p></div><div id=7>texts <p>inner</p></div><div><div id=8><b>{long}</b></div></div><input id=9 placeholder='Type the red' value=' '><input id=10 type=checkbox><img title=no>
+      <select id=11><option id=12>one<option id=13 value=2 selected>two</select><select id=14><option disabled>none<optgroup><option>free</optgroup></select><textarea id=15>note</textarea><p hidden id=16>hidden</p><span id=17 aria-label=go></span>
+      <select multiple id=18><option>one</select></body></html><p id=19>after</p><section id=20>no bearer</section>"""
+    els = html.elements(spark.createDataFrame([(1, page)], "page_id long, html string")).withColumn("id", html.attr("id"))
+    ids = {r.pos: r.id for r in els.collect()}
+    got = {ids[r.pos]: r for r in html.sensory(els).collect() if ids[r.pos]}
+    assert set(got) == {str(i) for i in range(1, 20) if i not in (3, 5, 16)}
+    assert got["8"].text == long and got["1"].text == "Click the round one" and got["9"].placeholder == "Type the red" and got["9"].value is None
+    assert {i: got[i].value for i in ("10", "11", "12", "13", "14", "15", "18", "1")} == {"10": "on", "11": "2", "12": "one", "13": "2", "14": "free", "15": "note", "18": None, "1": None}
+    assert {i: got[i].lang for i in ("1", "2", "4", "19")} == {"1": "ja", "2": "ja", "4": "en", "19": "en"}
+    assert {i: got[i].nearest_heading for i in ("1", "2", "4", "7", "6", "19")} == {"1": None, "2": None, "4": "Head x", "7": "Next", "6": None, "19": None}
+    before = "<p id=a>first</p><div><p id=b>inside</p></div><h1>Late <span id=c>part</span></h1>"
+    rows = html.sensory(html.elements(spark.createDataFrame([(1, before)], "page_id long, html string"))).collect()
+    assert [(r.tag, r.nearest_heading) for r in sorted(rows, key=lambda r: r.pos)] == [("p", "Late part"), ("p", None), ("h1", None), ("span", "Late part")]
