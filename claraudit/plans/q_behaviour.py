@@ -18,7 +18,9 @@ QUERIES, SQL = query.queries, query.sql
 
 
 def _behaving(spark, sf_dir, *parts):
-    els = kept(css.placed(html.elements(appended(spark, sf_dir, *parts))), "elements")
+    # what these checks read of elements; texts stay behind
+    els = html.elements(appended(spark, sf_dir, *parts)).select("page_id", "pos", "tag", "attrs", "last", "ancestors", "content")
+    els = kept(css.placed(els).drop("ancestors"), "elements")
     return els, kept(scripts.handlers(els, kept(scripts.listeners(els), "listeners")), "handlers")
 
 
